@@ -12,7 +12,7 @@ def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
     """``(id, slot, first_t, first_v, last_t, last_v, n)``: the readings of each grid slot that has any.
 
     Only rows of ``samples`` inside the grid of their ``id`` with ``v`` neither NULL nor NaN are readings. Of
-    several rows of one ``(id, t)`` the greatest ``v`` counts. The rows are reduced inside the map tasks, so a
+    several rows of one ``(id, t)`` the greatest ``v`` counts; ``n`` counts rows as they stand. The rows are reduced inside the map tasks, so a
     result with many samples is no heavy group afterwards.
     """
     grid = grids.select("id", "mint", "maxt", "step_ms")

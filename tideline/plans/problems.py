@@ -72,10 +72,10 @@ daily AS (SELECT series_id, CAST(floor(t / 86400000.0) AS INT) AS day_no, count(
 span AS (SELECT series_id, min(day_no) AS a, max(day_no) AS b FROM daily GROUP BY 1),
 calendar AS (SELECT series_id, CAST(unnest(range(a, b + 1)) AS INT) AS day_no FROM span)"""
 
-_SLOTS_SQL = """WITH valid AS (SELECT id, t, max(v) AS v FROM query_samples WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2),
+_SLOTS_SQL = """WITH valid AS (SELECT id, t, max(v) AS v, count(*) AS m FROM query_samples WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2),
 slots AS (SELECT id, mint, step_ms, maxt, unnest(range(0, (maxt - mint) // step_ms + 1)) AS slot FROM query_in),
-inside AS (SELECT s.id, (s.t - q.mint) // q.step_ms AS slot, s.t, s.v FROM valid s JOIN query_in q ON s.id = q.id AND s.t BETWEEN q.mint AND q.maxt),
-occ AS (SELECT id, slot, min(t) AS ft, arg_min(v, t) AS fv, max(t) AS lt, arg_max(v, t) AS lv, count(*) AS n FROM inside GROUP BY 1, 2),
+inside AS (SELECT s.id, (s.t - q.mint) // q.step_ms AS slot, s.t, s.v, s.m FROM valid s JOIN query_in q ON s.id = q.id AND s.t BETWEEN q.mint AND q.maxt),
+occ AS (SELECT id, slot, min(t) AS ft, arg_min(v, t) AS fv, max(t) AS lt, arg_max(v, t) AS lv, sum(m)::BIGINT AS n FROM inside GROUP BY 1, 2),
 cells AS (SELECT s.id, s.slot, s.mint + s.slot * s.step_ms AS slot_t, 5 * s.step_ms AS gap, o.n, o.lv,
   last_value(o.lt IGNORE NULLS) OVER w AS pt, last_value(o.lv IGNORE NULLS) OVER w AS pv,
   first_value(o.ft IGNORE NULLS) OVER x AS nt, first_value(o.fv IGNORE NULLS) OVER x AS nv
