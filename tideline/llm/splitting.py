@@ -4,37 +4,51 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.tokens import VOCABULARY, TokenCounter, units
+from tideline.llm.tokens import PATTERN, VOCABULARY, TokenCounter, units
 
 WORD, SENTENCE, PARAGRAPH, CLAIM = 0, 1, 2, 3
-SLICE = 16  # characters of the parts of a unit that is itself too long
+FINE = 32  # tokens of the largest unit: how closely an overlap is met
 _NUMBERED = re.compile(r"\s*(\d{1,4}\s?[.)．、]|\[\d+\]|[【请]?\s?請?求項)")
 _ENDS = ".!?;。！？；"
 
 PIECES = "piece_no int, start_char int, end_char int, n_tokens int, piece string"
 
 
-def legal_units(text: str, counter: TokenCounter, limit: int) -> tuple[list[str], np.ndarray]:
-    """Units no larger than ``limit``, with their token counts. A cut before any of them is legal.
+def legal_units(text: str, counter: TokenCounter, fine: int) -> tuple[list[str], np.ndarray, int]:
+    """Units of at most ``fine`` tokens, their token counts, and the tokens of the whole text.
 
-    A single unit over the limit is sliced by characters; its slices are counted apart, which is never
-    fewer tokens than they have together in practice, and a slice larger than the limit is cut to characters.
+    A cut before any unit is legal. Larger units are taken apart where the tokenizer's pattern cuts them,
+    which leaves the counts exact, and a single run of letters or marks that is still too large by characters, at
+    most four bytes each; its parts are counted apart.
     """
     parts = units(text)
     counts = counter.counts(parts)
-    if len(counts) and counts.max() > limit:
-        fine = []
-        for part, n in zip(parts, counts, strict=True):
-            step = SLICE if limit >= 4 * SLICE else 1
-            fine += [part] if n <= limit else [part[i : i + step] for i in range(0, len(part), step)]
-        parts, counts = fine, counter.counts(fine)
-    return parts, counts
+    total = int(counts.sum())
+    if not len(counts) or counts.max() <= fine:
+        return parts, counts, total
+    cut = []
+    for part, n in zip(parts, counts, strict=True):
+        if n <= fine:
+            cut.append(part)
+            continue
+        step = max(1, fine // 4)
+        for run in _pattern().findall(part):
+            cut += [run] if counter[run] <= fine else [run[i : i + step] for i in range(0, len(run), step)]
+    return cut, counter.counts(cut), total
+
+
+@cache
+def _pattern():
+    import regex
+
+    return regex.compile(PATTERN)
 
 
 def boundary_levels(parts: list[str]) -> np.ndarray:
@@ -42,7 +56,7 @@ def boundary_levels(parts: list[str]) -> np.ndarray:
     out = np.zeros(len(parts), dtype=np.int8)
     previous = ""
     for i, part in enumerate(parts):
-        if part[0] == "\n" or "\n" in part[:3]:
+        if "\n" in part[:3]:
             out[i] = CLAIM if _NUMBERED.match(part) else PARAGRAPH
         elif previous and previous[-1] in _ENDS:
             out[i] = SENTENCE
@@ -99,6 +113,7 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
     """
     if not 0 <= overlap < limit / 2:
         raise ValueError("overlap must be at least 0 and less than half of the limit")
+    fine = max(1, min(FINE, (limit // 2 - overlap) // 2))
     kind = docs.schema[key].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +122,8 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
             for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
                 keys, parts, counts, sizes, texts = [], [], [], [], []
                 for i, body in enumerate(batch.column("_text").to_pylist()):
-                    own, n = legal_units(body, counter, limit)
-                    if n.sum() > limit:
+                    own, n, total = legal_units(body, counter, fine)
+                    if total > limit:
                         keys.append(i)
                         texts.append(body)
                         parts.append(boundary_levels(own))
