@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tideline.llm.tokens import PATTERN, VOCABULARY, TokenCounter, units
 
 WORD, SENTENCE, PARAGRAPH, CLAIM = 0, 1, 2, 3
+SURE = 0.9  # of a run taken apart by characters, the share of its tokens that its parts surely make
 FINE = 32  # tokens of the largest unit: how closely an overlap is met
 _NUMBERED = re.compile(r"\s*(\d{1,4}\s?[.)．、]|\[\d+\]|[【请]?\s?請?求項)")
 _ENDS = ".!?;。！？；"
@@ -21,27 +22,29 @@ _ENDS = ".!?;。！？；"
 PIECES = "piece_no int, start_char int, end_char int, n_tokens int, piece string"
 
 
-def legal_units(text: str, counter: TokenCounter, fine: int) -> tuple[list[str], np.ndarray, int]:
-    """Units of at most ``fine`` tokens, their token counts, and the tokens of the whole text.
+def legal_units(text: str, counter: TokenCounter, fine: int) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+    """Units of at most ``fine`` tokens, the most and the least tokens they make in a piece, and those of the text.
 
     A cut before any unit is legal. Larger units are taken apart where the tokenizer's pattern cuts them,
     which leaves the counts exact, and a single run of letters or marks that is still too large by characters, at
-    most four bytes each; its parts are counted apart.
+    most four bytes each. Its parts make at most the tokens they have apart, and at least about their share of the run.
     """
     parts = units(text)
     counts = counter.counts(parts)
     total = int(counts.sum())
     if not len(counts) or counts.max() <= fine:
-        return parts, counts, total
-    cut = []
-    for part, n in zip(parts, counts, strict=True):
-        if n <= fine:
-            cut.append(part)
-            continue
-        step = max(1, fine // 4)
-        for run in _pattern().findall(part):
-            cut += [run] if counter[run] <= fine else [run[i : i + step] for i in range(0, len(run), step)]
-    return cut, counter.counts(cut), total
+        return parts, counts, counts.astype(float), total
+    cut, most, least = [], [], []
+    step = max(1, fine // 4)
+    for part, n in zip(parts, counts.tolist(), strict=True):
+        for run in (part,) if n <= fine else _pattern().findall(part):
+            whole = counter[run]
+            own = [run] if whole <= fine else [run[i : i + step] for i in range(0, len(run), step)]
+            apart = [counter[x] for x in own]
+            cut += own
+            most += apart
+            least += [x * SURE * whole / sum(apart) for x in apart] if len(own) > 1 else apart
+    return cut, np.array(most), np.array(least, dtype=float), total
 
 
 @cache
@@ -64,10 +67,10 @@ def boundary_levels(parts: list[str]) -> np.ndarray:
     return out
 
 
-def greedy_pieces(cum: np.ndarray, level: np.ndarray, first: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def greedy_pieces(cum: np.ndarray, least: np.ndarray, level: np.ndarray, first: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end place of every piece, for many texts at once.
 
-    Places are numbered through all texts; ``cum`` has the tokens before each, ``first`` and ``end`` the first
+    Places are numbered through all texts; ``cum`` has the most and ``least`` the least tokens before each, ``first`` and ``end`` the first
     and last place of each text. Every place is joined to its farthest legal end within ``limit``, at the
     highest level that leaves the piece at least half full, and from there to its successor, the last place that
     repeats at least ``overlap`` tokens. The successor table is then squared until the cuts reached from
@@ -86,7 +89,7 @@ def greedy_pieces(cum: np.ndarray, level: np.ndarray, first: np.ndarray, end: np
         take = undecided & (seen > place) & (cum[np.maximum(seen, 0)] - cum[place] >= limit / 2)
         stop[take] = seen[take]
         undecided &= ~take
-    back = np.searchsorted(cum, cum[stop] - overlap, side="right") - 1
+    back = np.searchsorted(least, least[stop] - overlap, side="right") - 1
     succ = np.where(stop == last, place, np.maximum(back, place + 1))
     reached = np.zeros(n, dtype=bool)
     reached[first] = True
@@ -106,7 +109,8 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
     Each piece has at most ``limit`` tokens, counted with the tokenizer of ``vocabulary``. It ends before a
     claim or numbered paragraph if that leaves it at least half full, else at a line break, else after a
     sentence, else before a word. Each next piece begins so that it repeats the last ``overlap`` tokens of the
-    one before, or the little more up to a word. Pieces are verbatim: ``piece`` is ``text`` from ``start_char``
+    one before, or the little more up to a word. ``n_tokens`` is exact but for pieces cut inside a run of letters
+    (text without spaces), which may have a few tokens less. Pieces are verbatim: ``piece`` is ``text`` from ``start_char``
     to ``end_char``, and together they cover it. A text within the limit, NULL or empty has no pieces. Texts of
     no more bytes than ``limit`` are left out before tokenizing, as a token has at least one byte. A text is a
     row of its own task's batch; nothing is shuffled.
@@ -120,28 +124,28 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
         counter = TokenCounter.of(vocabulary)
         for whole in batches:
             for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
-                keys, parts, counts, sizes, texts = [], [], [], [], []
+                keys, levels, most, least, sizes, texts = [], [], [], [], [], []
                 for i, body in enumerate(batch.column("_text").to_pylist()):
-                    own, n, total = legal_units(body, counter, fine)
+                    own, high, low, total = legal_units(body, counter, fine)
                     if total > limit:
                         keys.append(i)
                         texts.append(body)
-                        parts.append(boundary_levels(own))
-                        counts.append(n)
+                        levels.append(boundary_levels(own))
+                        most.append(high)
+                        least.append(low)
                         sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
                 if keys:
-                    yield _emit(batch.column(key), keys, texts, parts, counts, sizes)
+                    yield _emit(batch.column(key), keys, texts, levels, most, least, sizes)
 
-    def _emit(ids, keys, texts, levels, counts, sizes) -> pa.RecordBatch:
-        lengths = np.array([len(c) + 1 for c in counts])
+    def _emit(ids, keys, texts, levels, most, least, sizes) -> pa.RecordBatch:
+        lengths = np.array([len(c) + 1 for c in most])
         end = np.cumsum(lengths) - 1
         first = end - lengths + 1
         # The place after the last unit closes a text; a gap of limit + 1 keeps the next text out of reach.
-        cum = np.cumsum(np.concatenate([np.append(c, limit + 1) for c in counts]))
-        cum = np.concatenate(([0], cum[:-1]))
+        cum, low = (np.concatenate(([0], np.cumsum(np.concatenate([np.append(c, limit + 1) for c in counts]))[:-1])) for counts in (most, least))
         level = np.concatenate([np.append(x, np.int8(CLAIM)) for x in levels])
         chars = np.concatenate([np.append(np.concatenate(([0], np.cumsum(s)[:-1])), s.sum()) for s in sizes])
-        a, b = greedy_pieces(cum, level, first, end, limit, overlap)
+        a, b = greedy_pieces(cum, low, level, first, end, limit, overlap)
         owner = np.searchsorted(end, a)
         number = np.arange(len(a)) - np.searchsorted(owner, owner)
         pieces = [texts[o][s:e] for o, s, e in zip(owner, chars[a], chars[b], strict=True)]
