@@ -21,7 +21,7 @@ def parse_inserts(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def is_group(id_column: str = "id"):
     """Whether an id is a group's: bit 63 of the unsigned number."""
-    return F.col(id_column) >= F.lit(2**63).cast("decimal(20,0)")
+    return F.col(id_column) >= F.lit(str(2**63)).cast("decimal(20,0)")
 
 
 def parse_query(text: str) -> tuple[list[Eq], int, int, bool]:

@@ -16,7 +16,7 @@ def devops_lines(spark: SparkSession, path: str, metrics: Sequence[str]) -> Data
     Of a name that a line repeats the first value counts; parts without ``=`` are left out.
     """
     parts = F.split(F.element_at(F.split("value", ",", 2), 2), ",")
-    entries = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("="))), lambda p: F.struct(F.split(p, "=", 2)[0].alias("key"), F.split(p, "=", 2)[1].alias("value")))
+    entries = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("="))), lambda p: F.named_struct(F.lit("key"), F.split(p, "=", 2)[0], F.lit("value"), F.split(p, "=", 2)[1]))
     named = spark.read.text(path).where(F.size(F.split("value", ",", 2)) == 2).select(entries.alias("e"), F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
     key = F.concat(F.array(F.struct(F.lit("__name__").alias("key"), F.col("metric").alias("value"))), F.col("e"))
     return named.select(L.from_key(key).alias("labels"))
