@@ -22,6 +22,7 @@ HALO = 16  # rows of the neighbouring chunks that a reading may need: SIDE + LON
 SIDE = 6  # readings on each side that make the level
 LONGEST = 3  # readings of a spike
 STUCK = 10  # readings of a frozen stretch
+BLOCK = 400_000  # readings whose levels are worked out together
 ROUNDS = 3  # of thresholding, each with the flagged readings replaced by the level
 USUAL = 0.95  # quantile of the deviations that counts as usual; the LONGEST greatest never do
 BURSTY = 6.0  # usual deviation over usual step from which a series has bursts of its own
@@ -57,6 +58,15 @@ def _deviation(v: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     no deviation, so trends, counters, restarts and new levels that stay have none. With one side only
     (ends of a series), nothing can be said to have come back: no deviation.
     """
+    parts = []
+    for a in range(0, len(v), BLOCK):  # the columns of the medians need memory: a block at a time, with what its edges need
+        low = max(0, a - SIDE)
+        own = slice(low, a + BLOCK + SIDE)
+        parts.append([x[a - low : a - low + BLOCK] for x in _band(v[own], seg[own])])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _band(v: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = _row_median([_shifted(v, seg, k) for k in range(1, SIDE + 1)])
     after = _row_median([_shifted(v, seg, -k) for k in range(1, SIDE + 1)])
     low, high = np.fmin(before, after), np.fmax(before, after)
