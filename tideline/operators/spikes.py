@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.batches import starts, whole_groups
+from tideline.session import cut_lineage
 
 HALO = 16  # rows of the neighbouring chunks that a reading may need: SIDE + LONGEST and STUCK - 1 fit into it
 SIDE = 6  # readings on each side that make the level
@@ -270,7 +271,7 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     """
     rows = limited.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
     ordered = rows.sortWithinPartitions("series_id", "chunk", "t")
-    stats = ordered.mapInArrow(_stats, STATS)
+    stats = cut_lineage(ordered.mapInArrow(_stats, STATS))  # read three times: scales, halo and chunks
     limits = ["min_value", "max_value", "same_tol"]
     whole = ["series_n", *AXES, "w0", "same", "moved"]
     per_chunk = stats.select("series_id", "chunk").join(series_scales(stats), "series_id")
