@@ -89,13 +89,16 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, s
     ranked = own.join(F.broadcast(planned), [source, "_class"]).withColumn("_rank", F.when(p > 0, odds))
     bucket = F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS).cast("int")
     ranked = ranked.withColumn("_bucket", bucket)
-    # Sizes per bucket, a bounded table, give the bucket in which the wanted size is reached.
+    # Sizes per bucket, a bounded table, give the bucket of each source in which the wanted size is reached.
     sizes = ranked.where("_bucket IS NOT NULL").groupBy(source, "_bucket").agg(F.sum(size).alias("_sum"), F.first("_wanted").alias("_wanted"))
-    up_to = Window.partitionBy(source).orderBy("_bucket")
-    before = F.sum("_sum").over(up_to) - F.col("_sum")
-    limits = sizes.select(source, "_bucket", before.alias("_before"), (before + F.col("_sum") <= F.col("_wanted")).alias("_all"), (before >= F.col("_wanted")).alias("_none"))
-    placed = ranked.join(F.broadcast(limits), [source, "_bucket"], "left")
-    sure = placed.withColumn("_taken", F.when(F.col("_bucket").isNull() | F.col("_none"), 0).when(F.col("_all"), 1))
+    up_to = F.sum("_sum").over(Window.partitionBy(source).orderBy("_bucket"))
+    reached_in = sizes.withColumn("_up_to", up_to).where("_up_to >= _wanted AND _up_to - _sum < _wanted")
+    limits = reached_in.select(source, F.col("_bucket").alias("_border"), (F.col("_up_to") - F.col("_sum")).alias("_before"))
+    # One row per target source. A source whose wanted size is never reached takes all it ranked.
+    placed = ranked.join(F.broadcast(limits), source, "left")
+    before_border = F.col("_border").isNull() | (F.col("_bucket") < F.col("_border"))
+    none = F.col("_bucket").isNull() | (F.col("_wanted") <= 0) | (F.col("_bucket") > F.col("_border"))
+    sure = placed.withColumn("_taken", F.when(none, 0).when(before_border, 1))
     border = sure.where("_taken IS NULL")
     in_bucket = Window.partitionBy(source, "_bucket").orderBy("_rank", key)
     reached = F.col("_before") + F.sum(size).over(in_bucket)
