@@ -213,7 +213,7 @@ def _decide(spike_factor: float, usual_factor: float, burst_factor: float, livel
             bad, w = _clean(v, low, high)
             spike = _spikes(w, v, bad, seg, n, s0, s1, s2, w0, spike_factor, usual_factor, burst_factor)
             _, run = _stuck_runs(v, np.nan_to_num(tol, nan=0.0), first)
-            stuck = (run >= STUCK) & (moved_n >= STUCK) & (moved_n >= lively * (moved_n + same_n)) & ~np.isnan(tol)
+            stuck = (run >= STUCK) & (moved_n >= n / 2) & (moved_n >= lively * (moved_n + same_n)) & ~np.isnan(tol)
             keep = core & (bad | spike | stuck)
             arrays = [sid[keep], t[keep], v[keep], bad[keep], spike[keep], stuck[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["series_id", "t", "v", "out_of_bounds", "spike", "stuck"])
@@ -266,7 +266,8 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     the robust ellipsoid over value, first and second difference, off the level on both sides by more
     than ``spike_factor`` times the usual step and ``usual_factor`` times the deviation that one reading in
     twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a run of ten readings or more that all repeat,
-    in a series of which at least the share ``lively`` of the other readings changes. Infinite values
+    in a series of which at least half of all readings, and the share ``lively`` of those outside such runs,
+    differ from the one before. Infinite values
     within the limits count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. An empty input gives an empty result.
     """
     rows = limited.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
