@@ -21,6 +21,14 @@ def p2_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _implausible(spark, sf_dir)
 
 
+def p2_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implausible(spark, sf_dir).where("out_of_bounds").select("series_id", "t", "v")
+
+
+def p2_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implausible(spark, sf_dir).where("stuck").select("series_id", "t", "v")
+
+
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.trailing(rolling.daily_totals(table(spark, sf_dir, "samples_in")))
 
@@ -59,7 +67,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tag_totals(spark, sf_dir).select("name", "value", "left_rows", "pair_rows", "pair_values", F.when(finite, F.round(F.col("pair_sum") + 0.00003, 0)).alias("pair_sum"), "pair_min", "pair_max")
 
 
-QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p2_bounds": p2_bounds, "p2_stuck": p2_stuck, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_totals": p5_totals}
 
 READINGS_SQL = """readings AS (
   SELECT series_id, t, v FROM (
@@ -72,6 +80,10 @@ daily AS (SELECT series_id, CAST(floor(t / 86400000.0) AS INT) AS day_no, count(
 span AS (SELECT series_id, min(day_no) AS a, max(day_no) AS b FROM daily GROUP BY 1),
 calendar AS (SELECT series_id, CAST(unnest(range(a, b + 1)) AS INT) AS day_no FROM span)"""
 
+_LIMITED_SQL = f"""WITH {READINGS_SQL},
+metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
+limited AS (SELECT r.series_id, t, v, min_value, max_value, same_tol FROM readings r LEFT JOIN metric USING (series_id) LEFT JOIN metric_ref USING (metric_name))"""
+
 _SLOTS_SQL = """WITH valid AS (SELECT id, t, max(v) AS v, count(*) AS m FROM query_samples WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2),
 slots AS (SELECT id, mint, step_ms, maxt, unnest(range(0, (maxt - mint) // step_ms + 1)) AS slot FROM query_in),
 inside AS (SELECT s.id, (s.t - q.mint) // q.step_ms AS slot, s.t, s.v, s.m FROM valid s JOIN query_in q ON s.id = q.id AND s.t BETWEEN q.mint AND q.maxt),
@@ -89,6 +101,12 @@ CASE WHEN isfinite(sum(m * r_sum)) THEN round(sum(m * r_sum) + 0.00003, 0) END A
 FROM t LEFT JOIN s USING (series_id) GROUP BY 1, 2"""
 
 SQL = {
+    "p2_bounds": f"{_LIMITED_SQL} SELECT series_id, t, v FROM limited WHERE v < min_value OR (v > max_value AND NOT isnan(max_value))",
+    "p2_stuck": f"""{_LIMITED_SQL}, steps AS (SELECT *, lag(v) OVER w IS NULL AS first, coalesce(isfinite(v) AND isfinite(lag(v) OVER w) AND abs(v - lag(v) OVER w) <= same_tol, false) AS same FROM limited WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+runs AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM steps),
+long AS (SELECT *, count(*) OVER (PARTITION BY series_id, run) AS length FROM runs),
+lively AS (SELECT series_id, count(*) AS n, count(CASE WHEN NOT first AND NOT same THEN 1 END) AS moved, count(CASE WHEN same AND length < 10 THEN 1 END) AS still FROM long GROUP BY 1)
+SELECT series_id, t, v FROM long JOIN lively USING (series_id) WHERE length >= 10 AND moved >= n / 2 AND moved >= 0.7 * (moved + still)""",
     "p3_found": f"""{_DAILY_SQL} SELECT c.series_id, c.day_no FROM calendar c
 WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.series_id = c.series_id AND d.day_no BETWEEN c.day_no - 6 AND c.day_no)""",
     "p3_rolling": f"""{_DAILY_SQL}, r AS (SELECT c.series_id, c.day_no,
