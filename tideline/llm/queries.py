@@ -21,20 +21,25 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", F.col("chunk").cast("int").alias("day_no")).distinct()
 
 
+def _stated(counts: DataFrame) -> DataFrame:
+    """Counts with their relative standard error."""
+    return counts.withColumn("rel_error", F.lit(round(distinct.relative_error(P), 5)))
+
+
 def p1_day_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "series_tags").select("series_id", "name", "value").distinct()
-    return distinct.distinct_counts(_active(spark, sf_dir).join(tags, "series_id"), ["day_no", "name", "value"], "series_id", P)
+    return _stated(distinct.distinct_counts(_active(spark, sf_dir).join(tags, "series_id"), ["day_no", "name", "value"], "series_id", P))
 
 
 def p1_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "series_tags").where(F.col("name").isin(COMBINED))
     wide = tags.groupBy("series_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in COMBINED])
     keys = ["day_no", *COMBINED]
-    return distinct.combinations(distinct.registers(_active(spark, sf_dir).join(wide, "series_id"), keys, "series_id", P), keys, P)
+    return _stated(distinct.combinations(distinct.registers(_active(spark, sf_dir).join(wide, "series_id"), keys, "series_id", P), keys, P))
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct.distinct_counts(table(spark, sf_dir, "series_tags"), ["name"], "value", P)
+    return _stated(distinct.distinct_counts(table(spark, sf_dir, "series_tags"), ["name"], "value", P))
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
