@@ -10,6 +10,7 @@ memory for the same error.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -132,6 +133,8 @@ def combinations(finest: DataFrame, keys: Sequence[str], p: int = 12) -> DataFra
     Keys that are rolled up are NULL in the result; ``level`` has a bit for each, the last key lowest, as in
     GROUPING_ID, so a NULL of the data is told from a rolled-up key.
     """
-    cube = finest.cube(*keys, "register").agg(F.bit_or("ranks").alias("ranks"), F.grouping_id().alias("g"), F.grouping("register").alias("no_register"))
-    kept = cube.where("no_register = 0").select(*keys, F.expr("g div 2").cast("int").alias("level"), "register", _trim(F.col("ranks")).alias("ranks"))
+    # The register is in every grouping set, so a row is spread over the combinations of keys alone.
+    sets = [[*chosen, "register"] for n in range(len(keys) + 1) for chosen in itertools.combinations(keys, n)]
+    cube = finest.groupingSets(sets, *keys, "register").agg(F.bit_or("ranks").alias("ranks"), F.grouping_id().alias("g"))
+    kept = cube.select(*keys, F.expr("g div 2").cast("int").alias("level"), "register", _trim(F.col("ranks")).alias("ranks"))
     return estimate(pack(kept, [*keys, "level"]), p)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES_PER_OCTAVE = 4  # size classes; all documents of a class have the same inclusion probability
+MOST_SOURCES = 10_000  # target sources, so that the plan per source is of bounded size
 BUCKETS = 4096  # of Pareto ranks: only the documents of the bucket with the last selected one are put in order
 
 
@@ -78,7 +79,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, s
     own = docs.where(F.col(source).isNotNull() & F.col(key).isNotNull() & (F.col(size) > 0)).select(key, source, size, size_class(size).alias("_class"))
     # One row per target source and size class: bounded by 4 classes per doubling of size, whatever the documents.
     listed = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    asked = [tuple(r) for r in listed.collect()]
+    asked = [tuple(r) for r in listed.limit(MOST_SOURCES + 1).collect()]
+    if len(asked) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
     wanted = own.join(F.broadcast(listed.select(F.col("source").alias(source))), source, "left_semi")
     stats = [tuple(r) for r in wanted.groupBy(source, "_class").agg(F.count(F.lit(1)), F.sum(size)).collect()]
     rows, _ = plan(stats, asked, power)
