@@ -268,9 +268,11 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a run of ten readings or more that all repeat,
     in a series of which at least half of all readings, and the share ``lively`` of those outside such runs,
     differ from the one before. Infinite values
-    within the limits count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. An empty input gives an empty result.
+    within the limits count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. Rows with a
+    NULL series, chunk, time or value, or a NaN value, are left out. An empty input gives an empty result.
     """
-    rows = limited.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
+    valid = limited.dropna(subset=["series_id", "chunk", "t", "v"])
+    rows = valid.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
     ordered = rows.sortWithinPartitions("series_id", "chunk", "t")
     stats = cut_lineage(ordered.mapInArrow(_stats, STATS))  # read three times: scales, halo and chunks
     limits = ["min_value", "max_value", "same_tol"]

@@ -550,3 +550,16 @@ def stream_ingest(spark, sf_dir):
     stream = ingest.file_stream(spark, arriving, "id bigint, t bigint, v double", 2).selectExpr("id AS series_id", "t", "v", "t AS seq")
     ingest.into_store(stream, store, _fresh(spark, "stream")).awaitTermination()
     return store.samples().groupBy("series_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"""WITH {_MEMBERS}, named AS (SELECT group_key, slot, '{{' || array_to_string(list_transform(list_sort(list_concat(list_filter(map_entries(group_labels), lambda e: NOT list_contains(map_keys(labels), e.key)), map_entries(labels))), lambda e: e.key || '=' || e.value), ',') || '}}' AS labels FROM m),
+l AS (SELECT group_key, t, seq, unnest(CASE WHEN len(slots) > 0 THEN slots ELSE range(0, len(v)) END) AS slot, unnest(v) AS v FROM g)
+SELECT labels, t, CASE WHEN NOT isnan(v) THEN v END AS v FROM (SELECT labels, t, v, row_number() OVER (PARTITION BY labels, t ORDER BY seq DESC, v DESC NULLS LAST) AS rn FROM l JOIN named USING (group_key, slot)) WHERE rn = 1""")
+def group_ingest(spark, sf_dir):
+    """Group inserts in two batches into a store, the second by slots of members that the first named, and read again."""
+    store = Store(spark, _fresh(spark, "store"), 30 * DAY)
+    rows = table(spark, sf_dir, "group_in")
+    store.add_groups(rows.where("size(lsets) > 0"), 0)
+    store.add_groups(rows.where("size(lsets) = 0"), 1)
+    everything = store.query([lambda labels: F.lit(True)], at=None)
+    return finite(everything.select(L.text(F.col("labels")).alias("labels"), "t", "v"))

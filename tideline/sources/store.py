@@ -1,7 +1,7 @@
 """A store of labelled series: Parquet partitioned by time, append with late data, merge on read, compaction, retention.
 
 Layout under a root: ``samples/p_start=<ms>/`` (``series_id, t, v, seq, batch``), ``series/`` (``series_id, labels,
-label_key, batch``) and ``tombs/`` (``series_id, min_t, max_t``). Samples are only ever appended; versions are merged
+label_key, batch``), ``members/`` (``group_key, slot, series_id``) and ``tombs/`` (``series_id, min_t, max_t``). Samples are only ever appended; versions are merged
 when read, or in place by :meth:`compact`. There is one writer at a time; readers see whole batches.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import labels as L
-from tideline.operators import intervals, scan
+from tideline.operators import groups, intervals, scan
 from tideline.operators.ids import dense_ids
 from tideline.operators.matchers import Matcher
 from tideline.operators.merge import last_write_wins
@@ -22,6 +22,7 @@ from tideline.session import cut_lineage
 SAMPLES = "series_id bigint, t bigint, v double, seq bigint, batch bigint, p_start bigint"
 SERIES = "series_id bigint, labels map<string,string>, label_key array<struct<key:string,value:string>>, batch bigint"
 TOMBS = "series_id bigint, min_t bigint, max_t bigint"
+MEMBERS = "group_key string, slot int, series_id bigint"
 TWO_HOURS = 7_200_000
 
 
@@ -90,6 +91,26 @@ class Store:
         self.append(known, batch)
         return known.select("series_id", "labels").dropDuplicates(["series_id"])
 
+    def members(self) -> DataFrame:
+        """``(group_key, slot, series_id)`` of the group members known so far."""
+        return self._read("members", MEMBERS)
+
+    def add_groups(self, inserts: DataFrame, batch: int) -> DataFrame:
+        """Group inserts (``group_labels, lsets, slots, t, v, seq``); returns values of slots that no insert ever named.
+
+        A member is a series with the labels of its group and its own; the first insert that names a slot
+        gives it its labels, later ones go by slot alone. Slots that an insert does not mention keep their value.
+        """
+        rows = inserts.withColumn("group_key", L.text(F.col("group_labels")))
+        own = rows.groupBy("group_key").agg(F.any_value("group_labels").alias("group_labels"), F.min("seq").alias("seq"))
+        named = groups.members(rows).join(self.members(), ["group_key", "slot"], "left_anti").join(own, "group_key")
+        fresh = named.select("group_key", "slot", L.merged(F.col("group_labels"), F.col("labels")).alias("labels"), "seq")
+        created = cut_lineage(self.register(fresh, batch).select("group_key", "slot", "series_id"))
+        created.write.mode("append").parquet(self._path("members"))
+        values = groups.long_form(rows)
+        self.append(values.join(self.members(), ["group_key", "slot"]), batch)
+        return values.join(self.members(), ["group_key", "slot"], "left_anti")
+
     def add_fast(self, samples: DataFrame, batch: int) -> DataFrame:
         """Samples by id; returns those of unknown series, which are not stored."""
         ids = self.series().select("series_id")
