@@ -145,7 +145,8 @@ def test_runs_do_not_depend_on_chunks(spark, chunk, least):
                 if i - start >= least:
                     want.append((s, start * 10, (i - 1) * 10, i - start, (i - 1 - start) * 10))
                 start = i
-    frame = spark.createDataFrame(data, "series_id bigint, chunk bigint, t bigint, v double, tol double, n int")
+    junk = [(None, 0, 5, 1.0, 0.1, 1), (0, None, 5, 1.0, 0.1, 1), (0, 0, None, 1.0, 0.1, 1), (0, 0, 5, None, 0.1, 1), (0, 0, 5, float("nan"), 0.1, 1)]
+    frame = spark.createDataFrame(data + junk, "series_id bigint, chunk bigint, t bigint, v double, tol double, n int")
     assert rows(runs.collapse(frame, least), "series_id", "t_start", "t_end", "n", "duration_ms") == sorted(want)
     assert runs.collapse(frame.where("false"), least).count() == 0
 

@@ -98,7 +98,8 @@ def collapse(rows: DataFrame, min_run: int = 1, by_level: bool = False) -> DataF
 
     ``rows`` has ``series_id, chunk, t, v, tol``, ``t`` unique within a series and ``chunk`` a span of time;
     ``tol`` is the boundary penalty of the series: consecutive readings that differ by no more share a run. A
-    NULL ``tol`` counts as 0. Time gaps do not end a run.
+    NULL ``tol`` counts as 0. Time gaps do not end a run. Rows with a NULL elsewhere or a NaN value are left out;
+    of equal times the lower value comes first.
 
     Each chunk is segmented by :func:`optimal_cuts`. As the costs add up over consecutive readings, the cuts
     inside a chunk are those of the whole series, and only the place between two chunks is still to be decided,
@@ -109,8 +110,8 @@ def collapse(rows: DataFrame, min_run: int = 1, by_level: bool = False) -> DataF
     """
     if min_run < 1:
         raise ValueError("min_run must be at least 1")
-    known = rows.select("series_id", "chunk", "t", "v", F.coalesce("tol", F.lit(0.0)).alias("tol"))
-    pieces = known.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t").mapInArrow(_segments(level_cuts if by_level else optimal_cuts, min_run), PIECES)
+    known = rows.select("series_id", "chunk", "t", "v", F.coalesce("tol", F.lit(0.0)).alias("tol")).dropna()
+    pieces = known.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t", "v").mapInArrow(_segments(level_cuts if by_level else optimal_cuts, min_run), PIECES)
     result = lambda df: df.select("series_id", "t_start", "t_end", "n", (F.col("t_end") - F.col("t_start")).alias("duration_ms"), (F.col("v_sum") / F.col("n")).alias("v_mean"))
     inner = pieces.where(f"NOT opens AND NOT closes AND n >= {min_run}")
     order = Window.partitionBy("series_id").orderBy("t_start")
