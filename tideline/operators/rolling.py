@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.readings import DAY_MS, readings
+from tideline.session import cut_lineage
 
 
 def daily_totals(samples: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def trailing(daily: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFrame:
     sum to NaN. Rows with a NULL series or day have no place in a calendar and are left out.
     """
     longest = max(periods)
-    own = daily.where("series_id IS NOT NULL AND day_no IS NOT NULL").select("series_id", "day_no", "n", "total").repartition("series_id")
+    # Read three times below: a row per series and active day, worked out once.
+    own = cut_lineage(daily.where("series_id IS NOT NULL AND day_no IS NOT NULL").select("series_id", "day_no", "n", "total")).repartition("series_id")
     span = own.groupBy("series_id").agg(F.min("day_no").alias("first_day"), F.max("day_no").alias("last_day"))
     bounded = own.join(span, "series_id")
     reach = bounded.select("series_id", "n", "total", F.col("day_no").alias("from_day"), F.explode(F.expr(f"sequence(day_no, least(day_no + {longest - 1}, last_day))")).alias("day_no"))
