@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import cut_lineage
+
 BLOCK = 4096  # grid slots of one result that are put in order together
 
 
@@ -41,7 +43,8 @@ def regular(grids: DataFrame, samples: DataFrame, max_gap_ms: int | None = None)
     or impossible bounds (``step_ms`` <= 0, ``maxt`` < ``mint``) have no slots.
     """
     valid = grids.select("id", "mint", "maxt", "step_ms").where("id IS NOT NULL AND step_ms > 0 AND maxt >= mint").dropDuplicates(["id"])
-    occupied = slot_readings(valid, samples).withColumn("block", F.expr(f"slot div {BLOCK}"))
+    # Read three times below: a row per occupied slot, worked out once.
+    occupied = cut_lineage(slot_readings(valid, samples)).withColumn("block", F.expr(f"slot div {BLOCK}"))
     inner = Window.partitionBy("id", "block").orderBy("slot")
     nxt = F.struct("slot", "first_t", "first_v")
     paired = occupied.withColumn("next", F.lead(nxt).over(inner))
