@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.batches import starts, whole_groups
+from tideline.session import cut_lineage
 
 PIECES = "series_id long, chunk long, t_start long, t_end long, n long, v_first double, v_last double, v_sum double, tol double, opens boolean, closes boolean"
 
@@ -112,6 +113,8 @@ def collapse(rows: DataFrame, min_run: int = 1, by_level: bool = False) -> DataF
         raise ValueError("min_run must be at least 1")
     known = rows.select("series_id", "chunk", "t", "v", F.coalesce("tol", F.lit(0.0)).alias("tol")).dropna()
     pieces = known.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t", "v").mapInArrow(_segments(level_cuts if by_level else optimal_cuts, min_run), PIECES)
+    if min_run > 1:
+        pieces = cut_lineage(pieces)  # few rows, read twice below
     result = lambda df: df.select("series_id", "t_start", "t_end", "n", (F.col("t_end") - F.col("t_start")).alias("duration_ms"), (F.col("v_sum") / F.col("n")).alias("v_mean"))
     inner = pieces.where(f"NOT opens AND NOT closes AND n >= {min_run}")
     order = Window.partitionBy("series_id").orderBy("t_start")
