@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import distinct, mixing, packing, percentiles, runs, splitting, tokens
@@ -12,6 +12,7 @@ from tideline.session import cut_lineage
 from tideline.sources.tables import table
 
 P = 12  # registers per sketch, as a power of two: one standard error is 1.2 %
+CONTAINERS = ("container", "container_small")
 COMBINED = ["region", "service", "team"]
 
 
@@ -85,7 +86,7 @@ def _packed(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir, "container", "container_small")
+    return _packed(spark, sf_dir, *CONTAINERS)
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,53 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces)}
+# What must hold of results that SQL cannot produce, counted over whole results; SQL states the counts.
+
+
+def p1_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label name, the exact number of values and whether the estimate is within four standard errors of it."""
+    exact = table(spark, sf_dir, "series_tags").groupBy("name").agg(F.count_distinct("value").alias("distinct_values"))
+    near = F.abs(F.col("estimate") - F.col("distinct_values")) <= 4 * F.col("rel_error") * F.col("distinct_values")
+    return exact.join(p1_values(spark, sf_dir), "name").select("name", "distinct_values", near.alias("within_error"))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container size: containers over capacity, documents split though they fit, tokens lost or doubled."""
+    packed = cut_lineage(p8_pack(spark, sf_dir))
+    limits = table(spark, sf_dir, "size_limits").select("limit_name", F.col("max_tokens").cast("bigint").alias("most"))
+    over = packed.groupBy("limit_name", "container").agg(F.sum("size").alias("n")).join(limits, "limit_name").groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("most")).alias("overfull"))
+    placed = packed.groupBy("limit_name", "id").agg(F.sum("size").alias("n"), F.count_distinct("part").alias("parts"))
+    sizes = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(_limit(spark, sf_dir, n)[0]).alias("most")) for n in CONTAINERS])
+    asked = _documents(spark, sf_dir, "doc_id").where("tokens > 0").select(F.col("doc_id").alias("id"), "tokens", F.inline(sizes))
+    wanted = asked.join(placed, ["limit_name", "id"], "left")
+    split = F.count_if((F.col("tokens") <= F.col("most")) & (F.col("parts") > 1))
+    lost = F.sum(F.abs(F.col("tokens") - F.coalesce("n", F.lit(0))))
+    return over.join(wanted.groupBy("limit_name").agg(split.alias("split_needlessly"), lost.alias("tokens_off")), "limit_name")
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: whether repeats keep to their limit, and the share to the target within a document's size."""
+    chosen = cut_lineage(_mixed(spark, sf_dir))
+    targets = table(spark, sf_dir, "source_targets")
+    report = mixing.shares(chosen, targets, "source", "tokens").join(targets.select("source", "max_repeats"), "source")
+    largest, whole = chosen.agg(F.max("tokens")).scalar(), chosen.agg(F.sum(F.col("tokens") * F.col("copies"))).scalar()
+    near = F.abs(F.col("actual_share") - F.col("target_share")) * whole <= largest * 2
+    return report.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), near.alias("share_met"))
+
+
+def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces over the limit, gaps or missing overlaps between pieces, and texts not covered to their ends."""
+    limit, overlap = _limit(spark, sf_dir, "piece")
+    pieces = cut_lineage(_pieces(spark, sf_dir))
+    by_text = Window.partitionBy("doc_id").orderBy("piece_no")
+    linked = pieces.withColumn("before", F.lag("end_char").over(by_text))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    ends = pieces.groupBy("doc_id").agg(F.min("start_char").alias("a"), F.max("end_char").alias("b")).join(texts, "doc_id")
+    one = linked.agg(F.count_if(F.col("n_tokens") > limit).alias("too_large"), F.count_if(F.col("start_char") >= F.col("before")).alias("without_overlap"))
+    return one.withColumn("uncovered", ends.agg(F.count_if((F.col("a") != 0) | (F.col("b") != F.col("chars")))).scalar())
+
+
+QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p8_invariants, p9_invariants, p10_invariants)}
 
 _RUNS_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
@@ -124,6 +171,10 @@ runs AS (SELECT series_id, t, v, same_tol, sum(CASE WHEN p IS NOT NULL AND (abs(
 spans AS (SELECT series_id, min(t) AS t_start, max(t) AS t_end, count(*) AS n, max(same_tol) AS tol FROM runs GROUP BY series_id, run)"""
 
 SQL = {
+    "p1_within_error": "SELECT name, count(DISTINCT value) AS distinct_values, true AS within_error FROM series_tags GROUP BY 1",
+    "p8_invariants": "SELECT limit_name, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_off FROM size_limits WHERE limit_name LIKE 'container%'",
+    "p9_invariants": "SELECT source, true AS repeats_kept, true AS share_met FROM source_targets",
+    "p10_invariants": "SELECT 0::BIGINT AS too_large, 0::BIGINT AS without_overlap, 0::BIGINT AS uncovered",
     "p6_percentiles": f"""WITH {READINGS_SQL}, tags AS (SELECT DISTINCT series_id, name, value FROM series_tags),
 r AS (SELECT name, value, v, row_number() OVER (PARTITION BY name, value ORDER BY v) AS k, count(*) OVER (PARTITION BY name, value) AS n FROM readings JOIN tags USING (series_id))
 SELECT name, value, max(n) AS n, max(CASE WHEN k = greatest(ceil(round(n * 0.5::DOUBLE, 9)), 1) THEN v END) AS p50,
