@@ -30,7 +30,7 @@ BURSTY = 6.0  # usual deviation over usual step from which a series has bursts o
 KNOWN = 28  # readings a series must have for its spikes to be judged
 POINTS = 32  # order statistics a chunk keeps of a distribution
 AXES = ("s0", "s1", "s2")
-STATS = "series_id long, chunk long, n long, s0 double, s2 double, steps array<double>, offs array<double>, n_steps long, same double, moved double, head array<struct<t:long,v:double>>, tail array<struct<t:long,v:double>>"
+STATS = "series_id long, chunk long, n long, s0 double, s2 double, steps array<double>, offs array<double>, n_steps long, same double, moved double, min_value double, max_value double, same_tol double, head array<struct<t:long,v:double>>, tail array<struct<t:long,v:double>>"
 FLAGS = "series_id long, t long, v double, out_of_bounds boolean, spike boolean, stuck boolean"
 
 
@@ -158,7 +158,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offs, _ = _points(np.abs(off), first)
         s0 = _per_segment(np.where(off != 0, np.abs(off), np.nan), first, 0.5)
         s2 = _per_segment(np.where(d2 > 0, d2, np.nan), first, 0.5)
-        columns = [sid[at], chunk[at], n, s0, s2, steps, offs, n_steps, flat, moved]
+        columns = [sid[at], chunk[at], n, s0, s2, steps, offs, n_steps, flat, moved, low[at], high[at], tol[at]]
         arrays = [c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns]
         names = [p.split()[0] for p in STATS.split(", ")]
         yield pa.RecordBatch.from_arrays([*arrays, _edges(t, v, at, n, False), _edges(t, v, at, n, True)], names)
@@ -177,6 +177,7 @@ def series_scales(stats: DataFrame) -> DataFrame:
     """
     pooled = stats.groupBy("series_id").agg(
         F.sum("n").alias("series_n"),
+        F.count(F.lit(1)).alias("chunks"),
         F.median("s0").alias("s0"),
         F.median("s2").alias("s2"),
         F.flatten(F.collect_list(F.expr("transform(steps, x -> named_struct('x', x, 'w', n_steps / size(steps)))"))).alias("steps"),
@@ -187,7 +188,7 @@ def series_scales(stats: DataFrame) -> DataFrame:
     )
     s1 = _weighted_quantile("array_sort(steps)", "n_steps * 0.5D")
     w0 = _weighted_quantile("array_sort(offs)", f"least(series_n * {USUAL}D, series_n - 1.5D - {LONGEST})")
-    return pooled.select("series_id", "series_n", "s0", F.expr(s1).alias("s1"), "s2", F.expr(w0).alias("w0"), "same", "moved")
+    return pooled.select("series_id", "series_n", "chunks", "s0", F.expr(s1).alias("s1"), "s2", F.expr(w0).alias("w0"), "same", "moved")
 
 
 def halo_rows(stats: DataFrame) -> DataFrame:
@@ -265,11 +266,11 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     not bind and without ``same_tol`` nothing is stuck. A *spike* is a run of one to three readings outside
     the robust ellipsoid over value, first and second difference, off the level on both sides by more
     than ``spike_factor`` times the usual step and ``usual_factor`` times the deviation that one reading in
-    twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a run of ten readings or more that all repeat,
-    in a series of which at least half of all readings, and the share ``lively`` of those outside such runs,
-    differ from the one before. Infinite values
-    within the limits count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. Rows with a
-    NULL series, chunk, time or value, or a NaN value, are left out. An empty input gives an empty result.
+    twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a
+    run of ten readings or more that all repeat, in a series of which at least half of all readings, and the
+    share ``lively`` of those outside such runs, differ from the one before. Infinite values within the limits
+    count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. Rows with a NULL series, chunk,
+    time or value, or a NaN value, are left out. An empty input gives an empty result.
     """
     valid = limited.dropna(subset=["series_id", "chunk", "t", "v"])
     rows = valid.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
@@ -277,9 +278,11 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     stats = cut_lineage(ordered.mapInArrow(_stats, STATS))  # read three times: scales, halo and chunks
     limits = ["min_value", "max_value", "same_tol"]
     whole = ["series_n", *AXES, "w0", "same", "moved"]
-    per_chunk = stats.select("series_id", "chunk").join(series_scales(stats), "series_id")
-    core = rows.join(per_chunk, ["series_id", "chunk"]).withColumn("core", F.lit(True))
-    chunk_limit = rows.groupBy("series_id", "chunk").agg(*[F.first(c).alias(c) for c in limits])
-    halo = halo_rows(stats).join(per_chunk, ["series_id", "chunk"]).join(chunk_limit, ["series_id", "chunk"]).withColumn("core", F.lit(False))
+    per_chunk = stats.select("series_id", "chunk", *limits).join(series_scales(stats), "series_id")
+    core = rows.join(per_chunk.select("series_id", "chunk", *whole), ["series_id", "chunk"]).withColumn("core", F.lit(True))
+    # Series of one chunk, most of them, need no halo.
+    several = per_chunk.where("chunks > 1").select("series_id", "chunk", *limits, *whole)
+    shared = stats.select("series_id", "chunk", "head", "tail").join(several.select("series_id", "chunk"), ["series_id", "chunk"], "left_semi")
+    halo = halo_rows(shared).join(several, ["series_id", "chunk"]).withColumn("core", F.lit(False))
     both = core.unionByName(halo.select(*core.columns)).repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t")
     return both.mapInArrow(_decide(spike_factor, usual_factor, burst_factor, lively), FLAGS)
