@@ -24,8 +24,10 @@ def optimal_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.nd
     F(s) + dissimilarity(s..i) is at least F(i) (of equal costs the one with fewer boundaries stays), as
     whatever follows costs both alike. With a dissimilarity that adds up over consecutive events every
     candidate but one is pruned at each step: opening a run at i costs F(i-1) + penalty, going on costs
-    F(i-1) + |v_i - v_(i-1)|, and F(i-1) drops out of the comparison, which is therefore exact and needs
-    no running sum. All entities of a batch are stepped at once.
+    F(i-1) + |v_i - v_(i-1)|, and as all open runs grow by the same step from then on, the dearer of the two can
+    never win again. F(i-1) drops out of the comparison that is left at each place, so it is exact, needs no
+    running sum, and is worked out for a whole batch at once. :func:`level_cuts` is the same recursion for a
+    cost that does not add up, where several candidates stay open.
     """
     step = np.zeros(len(v))
     with np.errstate(invalid="ignore"):
