@@ -100,7 +100,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         if count is None:
             level = cut_lineage(level)
             count = level.count()
-        tasks = max(1, -(-count // TASK_ITEMS)) if cut is None else max(1, min(-(-cut // FAN_IN), -(-count // (TASK_ITEMS // 2))))
+        tasks = max(1, -(-count // TASK_ITEMS), -(-cut // FAN_IN) if cut else 0)
         last = tasks == 1
         spread = F.pmod(F.xxhash64("id", "part", F.lit(len(emitted))), F.lit(tasks)).cast("int")
         placed = level.withColumn("task", spread)
