@@ -94,3 +94,17 @@ def test_loaders(spark, tmp_path):
     hosts = loaders.devops_hosts(spark, 3)
     assert hosts.count() == 3 and hosts.first().labels["hostname"] == "host_100000"
     assert loaders.regular_samples(spark.createDataFrame([(1,)], "series_id bigint"), 0, 1000, 5).count() == 5
+
+
+def test_groups_in_a_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 1000)
+    shape = "group_labels map<string,string>, lsets array<map<string,string>>, slots array<int>, t bigint, v array<double>, seq bigint"
+    g = {"group": "g"}
+    named = [(g, [{"m": "a"}, {"m": "b"}], [0, 1], 0, [1.5, 2.5], 1), (g, [], [], 10, [1.6, None], 2)]
+    assert store.add_groups(spark.createDataFrame(named, shape), 0).count() == 0
+    later = [(g, [], [1], 0, [9.0], 3), (g, [{"m": "c"}], [2], 20, [4.0], 4), (g, [], [7], 20, [5.0], 5), ({}, [], [0], 1, [1.0], 6)]
+    unknown = store.add_groups(spark.createDataFrame(later, shape), 1)
+    assert sorted(r.slot for r in unknown.collect()) == [0, 7]
+    got = store.query([Eq("group", "g")]).where("v IS NOT NULL").select(F.col("labels")["m"].alias("m"), "t", "v")
+    assert rows(got) == [("a", 0, 1.5), ("a", 10, 1.6), ("b", 0, 9.0), ("c", 20, 4.0)]
+    assert store.series().count() == 3 and store.members().count() == 3
