@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import cut_lineage
+
 
 def eager_totals(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], value: str, how: str = "left") -> DataFrame:
     """Totals per ``keys`` of ``left`` over its join with ``right``, without ever forming the joined rows.
@@ -37,6 +39,10 @@ def eager_totals(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str]
 
 
 def frequent(totals: DataFrame, share: float, rows: str = "left_rows") -> DataFrame:
-    """The keys of :func:`eager_totals` that hold at least ``share`` of all rows counted in ``rows``."""
+    """The keys of :func:`eager_totals` that hold at least ``share`` of all rows counted in ``rows``.
+
+    The totals, a row per key, are worked out once for both the sum and the comparison.
+    """
+    totals = cut_lineage(totals)
     whole = totals.agg(F.sum(rows).alias("whole")).select("whole")
     return totals.where(F.col(rows) >= whole.scalar() * F.lit(share))
