@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tideline", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume: UTC, adaptive plans, Arrow."""
+    """A session with the settings the operators assume: UTC, adaptive plans, Arrow.
+
+    Python workers import this package by its name. Workers started from this process find it by the path
+    set here; on other machines it has to be installed or passed along (``--py-files``).
+    """
+    root, known = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
