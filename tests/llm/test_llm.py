@@ -157,6 +157,20 @@ def test_levels(spark):
     assert rows(runs.collapse(frame, by_level=True), "t_start", "n") == [(0, 4), (4, 3), (7, 1)]
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5, 24, 1000])
+def test_levels_do_not_depend_on_chunks(spark, chunk):
+    rng, data, want = np.random.default_rng(8), [], []
+    for s, tol in enumerate([0.3, 1.0, 4.0, 0.0]):
+        v = np.cumsum(rng.normal(0, 0.6, 240)) + rng.normal(0, 0.4, 240)
+        v[60:90] = v[60]
+        v[[100, 101, 170]] = float("inf")
+        data += [(s, i // chunk, i, float(x), tol) for i, x in enumerate(v)]
+        at = np.flatnonzero(runs.level_cuts(v, np.arange(240) == 0, np.full(240, tol)))
+        want += [(s, int(a), int(b - a)) for a, b in itertools.pairwise([*at, 240]) if b - a >= 2]
+    frame = spark.createDataFrame(data, "series_id bigint, chunk bigint, t bigint, v double, tol double")
+    assert rows(runs.collapse(frame, 2, by_level=True), "series_id", "t_start", "n") == want
+
+
 # Packing
 
 

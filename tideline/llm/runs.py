@@ -13,6 +13,9 @@ from tideline.operators.batches import starts, whole_groups
 from tideline.session import cut_lineage
 
 PIECES = "series_id long, chunk long, t_start long, t_end long, n long, v_first double, v_last double, v_sum double, tol double, opens boolean, closes boolean"
+LEVEL_PIECES = f"{PIECES}, froms array<long>, tos array<long>, levels array<double>, weights array<long>"
+RUNS = "series_id long, t_start long, t_end long, n long, v_sum double"
+FORCED = 6.0  # penalties in the squared step at which every cheapest segmentation by level cuts
 
 
 def optimal_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -38,18 +41,34 @@ def optimal_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.nd
     return first | open_wins
 
 
-def level_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+def forced_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Mask of places where every cheapest segmentation by level begins a run, whatever comes before or after.
+
+    A run that holds both readings of a step d has squared distances of d^2/2 for these two and at least those
+    of what it holds before and after them. To set both apart costs three boundaries more, so no cheapest
+    segmentation holds them together if d^2 > 6 penalties. Without a penalty, and at infinite values, every
+    reading is a run of its own. What lies between two such places can be segmented for itself.
+    """
+    cut = first.copy()
+    with np.errstate(invalid="ignore", over="ignore"):
+        step = v[1:] - v[:-1]
+        cut[1:] |= ~((step * step <= FORCED * penalty[1:]) & (penalty[1:] > 0) & np.isfinite(v[1:]) & np.isfinite(v[:-1]))
+    return cut
+
+
+def level_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """As :func:`optimal_cuts`, with the squared distances from the mean of the run as dissimilarity.
 
     Here a run may drift by less than any step shows, and earlier boundaries stay in question: each candidate
     keeps count, mean and squared distances of its last run, and is pruned once its cost without a further
     boundary is no longer below the least cost with one. Costs are kept relative to the least, so sums do not
-    grow. Infinite values are runs of their own.
+    grow. Infinite values are runs of their own. ``weight`` is how many equal readings each value stands for.
     """
     cut = first.copy()
     begin = np.flatnonzero(first | ~np.isfinite(v) | np.append(False, ~np.isfinite(v[:-1])))
     cut[begin] = True
     values, costs = v.tolist(), penalty.tolist()
+    weights = [1] * len(values) if weight is None else weight.tolist()
     for a, b in zip(begin.tolist(), np.append(begin[1:], len(v)).tolist(), strict=True):
         if b - a < 2:
             continue
@@ -57,13 +76,13 @@ def level_cuts(v: np.ndarray, first: np.ndarray, penalty: np.ndarray) -> np.ndar
         best = [a] * (b - a)
         open_runs = [(a, -beta, 0, 0.0, 0.0)]  # start, cost before it, count, mean, squared distances
         for i in range(a, b):
-            x = values[i]
+            x, w = values[i], weights[i]
             least, start, grown = None, a, []
             for s, before, n, mean, spread in open_runs:
-                n += 1
+                n += w
                 delta = x - mean
-                mean += delta / n
-                spread += delta * (x - mean)
+                mean += delta * w / n
+                spread += w * delta * (x - mean)
                 grown.append((s, before, n, mean, spread))
                 cost = before + spread + beta
                 if least is None or cost < least:
@@ -96,6 +115,66 @@ def _segments(cuts, min_run: int):
     return segments
 
 
+def _level_segments(min_run: int):
+    """Runs of each chunk inside its first and last forced cut; what lies outside these, with equal neighbours as one.
+
+    A cheapest segmentation never cuts between equal readings: the one further from its run's mean, or both if
+    they are equally far, would cost less on the other side.
+    """
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["series_id", "chunk"]):
+            sid, chunk, t, v, tol = (table.column(c).to_numpy() for c in ("series_id", "chunk", "t", "v", "tol"))
+            first = starts([sid, chunk])
+            forced = forced_cuts(v, first, tol)
+            block = np.cumsum(forced) - 1
+            at = np.flatnonzero(forced)
+            end = np.append(at[1:], len(v)) - 1
+            outer = (first[at] | np.append(first[1:], True)[end])[block]
+            # An outer stretch is one row, its cuts are still to be found; inside it equal neighbours are one point.
+            point = forced.copy()
+            point[1:] |= v[1:] != v[:-1]
+            cut = forced.copy()
+            if not outer.all():
+                cut[~outer] = level_cuts(v[~outer], forced[~outer], tol[~outer])
+            at = np.flatnonzero(cut)
+            end = np.append(at[1:], len(v)) - 1
+            opens, closes = first[at] & outer[at], np.append(first[1:], True)[end] & outer[at]
+            n = end - at + 1
+            keep = (n >= min_run) | outer[at]
+            own = np.flatnonzero(point & outer)
+            last = np.append(np.flatnonzero(point)[1:], len(v))[(np.cumsum(point) - 1)[own]] - 1
+            run = np.cumsum(keep) - 1
+            counts = np.bincount(run[(np.cumsum(cut) - 1)[own]], minlength=int(keep.sum()))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            columns = [sid[at], chunk[at], t[at], t[end], n, v[at], v[end], np.add.reduceat(v, at), tol[at], opens, closes]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (t[own], t[last], v[own], last - own + 1)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), *lists], [p.split()[0] for p in LEVEL_PIECES.split(", ")])
+
+    return segments
+
+
+def _stretches(min_run: int):
+    """Runs of each stretch that pieces of several chunks make up."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["series_id", "stretch"], 50_000):
+            sid, stretch, tol = (table.column(c).to_numpy() for c in ("series_id", "stretch", "tol"))
+            lists = [table.column(c).combine_chunks() for c in ("froms", "tos", "levels", "weights")]
+            size = lists[0].value_lengths().to_numpy()
+            t_from, t_to, v, w = (c.flatten().to_numpy() for c in lists)
+            of = np.repeat(np.arange(len(size)), size)
+            cut = level_cuts(v, starts([sid[of], stretch[of]]), tol[of], w)
+            at = np.flatnonzero(cut)
+            end = np.append(at[1:], len(v)) - 1
+            n = np.add.reduceat(w, at)
+            keep = n >= min_run
+            columns = [sid[of][at], t_from[at], t_to[end], n, np.add.reduceat(v * w, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], [p.split()[0] for p in RUNS.split(", ")])
+
+    return stretches
+
+
 def collapse(rows: DataFrame, min_run: int = 1, by_level: bool = False) -> DataFrame:
     """``(series_id, t_start, t_end, n, duration_ms, v_mean)`` of every run of at least ``min_run`` readings.
 
@@ -107,23 +186,34 @@ def collapse(rows: DataFrame, min_run: int = 1, by_level: bool = False) -> DataF
     Each chunk is segmented by :func:`optimal_cuts`. As the costs add up over consecutive readings, the cuts
     inside a chunk are those of the whole series, and only the place between two chunks is still to be decided,
     by the same comparison: the first and last runs of the chunks of a series are put in order and joined.
-    So a series with any share of the rows is spread over as many tasks as it has chunks. With ``by_level`` the
-    chunks are segmented by :func:`level_cuts`, ``tol`` being in squared units of ``v``; that cost does not add
-    up, so runs that meet at the edge of two chunks are joined only if first and last value are equal.
+    So a series with any share of the rows is spread over as many tasks as it has chunks.
+
+    With ``by_level`` the chunks are segmented by :func:`level_cuts`, ``tol`` being in squared units of ``v``.
+    That cost does not add up, but no run goes past one of the :func:`forced_cuts`: what lies between the
+    first and the last of a chunk is settled there, and what lies outside is segmented together with what
+    meets it from the neighbouring chunks, one task a stretch. So here too the cuts are those of the whole series. A stretch
+    holds equal neighbours as one point; one without any forced cut over many chunks is still one task.
     """
     if min_run < 1:
         raise ValueError("min_run must be at least 1")
     known = rows.select("series_id", "chunk", "t", "v", F.coalesce("tol", F.lit(0.0)).alias("tol")).dropna()
-    pieces = known.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t", "v").mapInArrow(_segments(level_cuts if by_level else optimal_cuts, min_run), PIECES)
+    pieces = known.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t", "v").mapInArrow(*(_level_segments(min_run), LEVEL_PIECES) if by_level else (_segments(optimal_cuts, min_run), PIECES))
     if min_run > 1:
         pieces = cut_lineage(pieces)  # few rows, read twice below
     result = lambda df: df.select("series_id", "t_start", "t_end", "n", (F.col("t_end") - F.col("t_start")).alias("duration_ms"), (F.col("v_sum") / F.col("n")).alias("v_mean"))
     inner = pieces.where(f"NOT opens AND NOT closes AND n >= {min_run}")
     order = Window.partitionBy("series_id").orderBy("t_start")
-    near = F.lit(False) if by_level else F.abs(F.col("v_first") - F.lag("v_last").over(order)) <= F.col("tol")
-    same = near | (F.col("v_first") == F.lag("v_last").over(order))
+    step = F.col("v_first") - F.lag("v_last").over(order)
+    if by_level:
+        same = (step * step <= FORCED * F.col("tol")) & (F.col("tol") > 0) & (F.abs("v_first") < float("inf")) & (F.abs(F.lag("v_last").over(order)) < float("inf"))
+    else:
+        same = (F.abs(step) <= F.col("tol")) | (F.col("v_first") == F.lag("v_last").over(order))
     goes_on = F.col("opens") & F.coalesce(F.lag("closes").over(order) & same, F.lit(False))
     edge = pieces.where("opens OR closes").withColumn("begins", F.when(goes_on, 0).otherwise(1))
     edge = edge.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if by_level:
+        stretched = edge.select("series_id", F.col("run").alias("stretch"), "t_start", "tol", "froms", "tos", "levels", "weights")
+        ordered = stretched.repartition("series_id", "stretch").sortWithinPartitions("series_id", "stretch", "t_start")
+        return result(inner).unionByName(result(ordered.mapInArrow(_stretches(min_run), RUNS)))
     joined = edge.groupBy("series_id", "run").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.sum("n").alias("n"), F.sum("v_sum").alias("v_sum"))
     return result(inner).unionByName(result(joined.where(f"n >= {min_run}")))
