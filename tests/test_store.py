@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tideline.operators.matchers import Eq, Re
+from tideline.plans import core
 from tideline.sources import loaders
 from tideline.sources.store import Store
 from tideline.streaming import ingest
@@ -108,3 +109,14 @@ def test_groups_in_a_store(spark, tmp_path):
     got = store.query([Eq("group", "g")]).where("v IS NOT NULL").select(F.col("labels")["m"].alias("m"), "t", "v")
     assert rows(got) == [("a", 0, 1.5), ("a", 10, 1.6), ("b", 0, 9.0), ("c", 20, 4.0)]
     assert store.series().count() == 3 and store.members().count() == 3
+
+
+def test_late_append_takes_all_samples_in_order_of_arrival(spark):
+    data = "/root/testdata/sf0.001"
+    store, raw = core._late_store(spark, data), core.samples(spark, data)
+    kept = store.samples().select("series_id", "t", "seq", "batch", "p_start")
+    assert kept.select("series_id", "t").distinct().count() == raw.select("series_id", "t").distinct().count()
+    last = raw.groupBy("series_id", "t").agg(F.max("seq").alias("seq"))
+    assert kept.select("series_id", "t", "seq").exceptAll(last).count() == 0  # versions are merged
+    spans = sorted(tuple(r) for r in kept.groupBy("batch").agg(F.min("seq"), F.max("seq")).collect())
+    assert [s[0] for s in spans] == [0, 1, 2, 3] and all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))

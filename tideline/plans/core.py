@@ -529,17 +529,31 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _late_store(spark, sf_dir, batches: int = 4) -> Store:
+    """All samples in batches of equal spans of ``seq``, the order of arrival, so what is late or rewritten later comes in a later batch; compacted in place."""
+    store = Store(spark, _fresh(spark, "store"), 30 * DAY)
+    series(spark, sf_dir).withColumn("label_key", L.label_key(F.col("labels"))).withColumn("batch", F.lit(0).cast("bigint")).write.parquet(store.root + "/series")
+    rows = samples(spark, sf_dir)
+    arrived = F.coalesce("seq", F.lit(0))
+    low, high = rows.agg(F.min(arrived), F.max(arrived)).first()
+    edges = [(low or 0) + ((high or 0) - (low or 0) + 1) * k // batches for k in range(1, batches)]
+    for k in range(batches):
+        after = arrived >= edges[k - 1] if k else F.lit(True)
+        store.append(rows.where(after & (arrived < edges[k] if k < batches - 1 else F.lit(True))), k)
+    store.compact(1)  # every partition, also those that one batch filled
+    return store
+
+
 @register(f"WITH {_LIVE}, t AS (SELECT DISTINCT series_id FROM series_in WHERE labels['__name__'] = 'probe_ok_pct') SELECT series_id, t, v FROM live JOIN t USING (series_id)")
 def ooo_late_append(spark, sf_dir):
-    """Two batches, the second with the late rewrites, compacted in place and read again."""
-    store = Store(spark, _fresh(spark, "store"), 30 * DAY)
-    own = series(spark, sf_dir).where(F.col("labels")["__name__"] == "probe_ok_pct")
-    rows = samples(spark, sf_dir).join(own.select("series_id"), "series_id", "left_semi")
-    own.withColumn("label_key", L.label_key(F.col("labels"))).withColumn("batch", F.lit(0).cast("bigint")).write.parquet(store.root + "/series")
-    store.append(rows.where("seq % 2 = 0"), 0)
-    store.append(rows.where("seq % 2 = 1"), 1)
-    store.compact(2)
-    return finite(store.query([Eq("__name__", "probe_ok_pct")]).select("series_id", "t", "v"))
+    """One metric out of a store that took in all samples as they arrived."""
+    return finite(_late_store(spark, sf_dir).query([Eq("__name__", "probe_ok_pct")]).select("series_id", "t", "v"))
+
+
+@register(f"WITH {_LIVE}, t AS (SELECT DISTINCT series_id FROM series_in) SELECT series_id, t, v FROM live JOIN t USING (series_id)")
+def ooo_late_append_all(spark, sf_dir):
+    """Everything out of that store."""
+    return finite(_late_store(spark, sf_dir).query([lambda labels: F.lit(True)]).select("series_id", "t", "v"))
 
 
 @register(f"WITH l AS (SELECT id AS series_id, t, v FROM query_samples) SELECT series_id, t, count(*) AS n FROM l GROUP BY 1, 2")
