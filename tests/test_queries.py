@@ -26,3 +26,11 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_averages_keep_large_and_infinite_readings(spark):
+    data = DATA.replace("0.001", "0.01")
+    whole, name = views(data), "tsbs_double_groupby_1"
+    assert compare(spark, whole, data, QUERIES[f"{name}_all"], SQL[f"{name}_all"]) == ""
+    got = {n: sum(r.n for r in QUERIES[n](spark, data).select("n").collect()) for n in (name, f"{name}_all")}
+    assert got[f"{name}_all"] == got[name] + 2  # one of them infinite
