@@ -34,3 +34,11 @@ def test_averages_keep_large_and_infinite_readings(spark):
     assert compare(spark, whole, data, QUERIES[f"{name}_all"], SQL[f"{name}_all"]) == ""
     got = {n: sum(r.n for r in QUERIES[n](spark, data).select("n").collect()) for n in (name, f"{name}_all")}
     assert got[f"{name}_all"] == got[name] + 2  # one of them infinite
+
+
+def test_trailing_averages_and_infinite_sums_are_returned(spark):
+    data = DATA.replace("0.001", "0.01")
+    got = QUERIES["p3_averages"](spark, data)
+    assert {"avg_7", "avg_30"} <= set(got.columns)
+    assert got.where("abs(sum_7) = double('infinity') AND abs(avg_7) = double('infinity')").count() > 0
+    assert got.where("sum_7 IS NULL AND NOT nan_7 OR sum_30 IS NULL AND NOT nan_30 OR avg_7 IS NULL AND n_7 > 0 AND NOT nan_7").count() == 0

@@ -42,6 +42,15 @@ def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trailing(spark, sf_dir).select("series_id", "day_no", "n_7", kept("sum_7"), "n_30", kept("sum_30"))
 
 
+def p3_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and averages of both periods. Infinite ones stay infinite, ``nan_p`` tells opposite infinities from no readings."""
+    rounded = lambda c, off=0.0: F.when(~F.isnan(c), F.round(F.col(c) + off, 5) + 0.0).alias(c)
+    rolled = _trailing(spark, sf_dir)
+    # Averages often end in a half of the last place kept; the offset rounds these one way in both engines.
+    columns = [x for p in (7, 30) for x in (f"n_{p}", rounded(f"sum_{p}"), rounded(f"avg_{p}", 1e-8), F.isnan(f"sum_{p}").alias(f"nan_{p}"))]
+    return rolled.select("series_id", "day_no", *columns)
+
+
 def _regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.regular(table(spark, sf_dir, "query_in"), table(spark, sf_dir, "query_samples"))
 
@@ -67,7 +76,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tag_totals(spark, sf_dir).select("name", "value", "left_rows", "pair_rows", "pair_values", F.when(finite, F.round(F.col("pair_sum") + 0.00003, 0)).alias("pair_sum"), "pair_min", "pair_max")
 
 
-QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p2_bounds": p2_bounds, "p2_stuck": p2_stuck, "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p2_bounds": p2_bounds, "p2_stuck": p2_stuck, "p3_found": p3_found, "p3_rolling": p3_rolling, "p3_averages": p3_averages, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_totals": p5_totals}
 
 READINGS_SQL = """readings AS (
   SELECT series_id, t, v FROM (
@@ -80,6 +89,9 @@ daily AS (SELECT series_id, CAST(floor(t / 86400000.0) AS INT) AS day_no, count(
 span AS (SELECT series_id, min(day_no) AS a, max(day_no) AS b FROM daily GROUP BY 1),
 calendar AS (SELECT series_id, CAST(unnest(range(a, b + 1)) AS INT) AS day_no FROM span)"""
 
+_ROUNDED_SQL = lambda x, c: f"CASE WHEN isfinite({x}) THEN round({x}, 5) + 0.0 WHEN NOT isnan({x}) THEN {x} END AS {c}"
+_TRAILING_SQL = lambda p: f"n_{p}, {_ROUNDED_SQL(f'sum_{p}', f'sum_{p}')}, {_ROUNDED_SQL(f'(CASE WHEN n_{p} > 0 THEN sum_{p} / n_{p} + 1e-8 END)', f'avg_{p}')}, isnan(sum_{p}) AS nan_{p}"
+
 _LIMITED_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
 limited AS (SELECT r.series_id, t, v, min_value, max_value, same_tol FROM readings r LEFT JOIN metric USING (series_id) LEFT JOIN metric_ref USING (metric_name))"""
@@ -114,6 +126,11 @@ WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.series_id = c.series_id AND d.da
   coalesce(sum(n), 0)::BIGINT AS n_30, coalesce(sum(total), 0) AS sum_30
   FROM calendar c LEFT JOIN daily d ON d.series_id = c.series_id AND d.day_no BETWEEN c.day_no - 29 AND c.day_no GROUP BY 1, 2)
 SELECT series_id, day_no, n_7, CASE WHEN isfinite(sum_7) THEN round(sum_7, 5) + 0.0 END AS sum_7, n_30, CASE WHEN isfinite(sum_30) THEN round(sum_30, 5) + 0.0 END AS sum_30 FROM r""",
+    "p3_averages": f"""{_DAILY_SQL}, r AS (SELECT c.series_id, c.day_no,
+  coalesce(sum(CASE WHEN d.day_no > c.day_no - 7 THEN n END), 0)::BIGINT AS n_7, coalesce(sum(CASE WHEN d.day_no > c.day_no - 7 THEN total END), 0) AS sum_7,
+  coalesce(sum(n), 0)::BIGINT AS n_30, coalesce(sum(total), 0) AS sum_30
+  FROM calendar c LEFT JOIN daily d ON d.series_id = c.series_id AND d.day_no BETWEEN c.day_no - 29 AND c.day_no GROUP BY 1, 2)
+SELECT series_id, day_no, {_TRAILING_SQL(7)}, {_TRAILING_SQL(30)} FROM r""",
     "p4_found": f"{_SLOTS_SQL} SELECT id, slot_t FROM cells WHERE n IS NULL",
     "p4_grid": f"""{_SLOTS_SQL}, out AS (SELECT id, slot_t, coalesce(n, 0) AS n,
   CASE WHEN n IS NOT NULL THEN 'read' WHEN pt IS NULL AND nt IS NULL THEN 'none' WHEN pt IS NULL THEN 'before' WHEN nt IS NULL THEN 'after' WHEN nt - pt <= gap THEN 'filled' ELSE 'gap' END AS state,
