@@ -190,3 +190,19 @@ def test_faults_without_limits_or_rows(spark):
     assert {r.t for r in got.collect()} == {60, 61, 100, 150, 151, 152, 270, 1000}
     assert spikes.implausible(readings.readings_with_limits(data.where("false"), none, ref)).count() == 0
     assert got.where(F.col("out_of_bounds") | F.col("stuck")).count() == 0
+
+
+def test_frozen_runs_count_whole_over_chunks(spark):
+    v = [float(i * 37 % 101) for i in range(100)]
+    frozen = [i for a in (13, 43, 77) for i in range(a, a + 12)]
+    for i in frozen:
+        v[i] = v[max(a for a in (13, 43, 77) if a <= i)]
+    short = [(2, d, float("inf") if d == 4 else float(d % 3), d) for d in range(9)]
+    data = [(1, d, x, d) for d, x in enumerate(v)] + short
+    frame = spark.createDataFrame([(s, d * readings.DAY_MS, x, q) for s, d, x, q in data], "series_id bigint, t bigint, v double, seq bigint")
+    series = spark.createDataFrame([(s, {"__name__": "m"}) for s in (1, 2)], "series_id bigint, labels map<string,string>")
+    ref = spark.createDataFrame([("m", None, None, 0.01)], "metric_name string, min_value double, max_value double, same_tol double")
+    for chunk_ms in (readings.DAY_MS, readings.CHUNK_MS, 400 * readings.DAY_MS):
+        got = spikes.implausible(readings.readings_with_limits(frame, series, ref, chunk_ms)).collect()
+        assert sorted(r.t // readings.DAY_MS for r in got if r.series_id == 1 and r.stuck) == frozen
+        assert [r.t // readings.DAY_MS for r in got if r.series_id == 2 and r.spike] == [4]

@@ -30,7 +30,7 @@ BURSTY = 6.0  # usual deviation over usual step from which a series has bursts o
 KNOWN = 28  # readings a series must have for its spikes to be judged
 POINTS = 32  # order statistics a chunk keeps of a distribution
 AXES = ("s0", "s1", "s2")
-STATS = "series_id long, chunk long, n long, s0 double, s2 double, steps array<double>, offs array<double>, n_steps long, same double, moved double, min_value double, max_value double, same_tol double, head array<struct<t:long,v:double>>, tail array<struct<t:long,v:double>>"
+STATS = "series_id long, chunk long, n long, head_run long, tail_run long, v_first double, v_last double, s0 double, s2 double, steps array<double>, offs array<double>, n_steps long, same double, moved double, min_value double, max_value double, same_tol double, head array<struct<t:long,v:double>>, tail array<struct<t:long,v:double>>"
 FLAGS = "series_id long, t long, v double, out_of_bounds boolean, spike boolean, stuck boolean"
 
 
@@ -152,13 +152,16 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d2 = np.abs(_shifted(w, seg, -1) - 2 * w + _shifted(w, seg, 1))
         same, run = _stuck_runs(v, np.nan_to_num(tol, nan=0.0), first)
         loose = ~first & ~(same & (run >= STUCK))
-        flat = np.bincount(seg[loose & same], minlength=len(at)).astype(float)
+        # Repeats at the edges may belong to a frozen run of several chunks and are counted in series_scales.
+        number = np.cumsum(~same)
+        inner = (number != number[at][seg]) & (number != number[at + n - 1][seg])
+        flat = np.bincount(seg[loose & same & inner], minlength=len(at)).astype(float)
         moved = np.bincount(seg[loose & ~same], minlength=len(at)).astype(float)
         steps, n_steps = _points(np.where(d1 > 0, d1, np.nan), first)
         offs, _ = _points(np.abs(off), first)
         s0 = _per_segment(np.where(off != 0, np.abs(off), np.nan), first, 0.5)
         s2 = _per_segment(np.where(d2 > 0, d2, np.nan), first, 0.5)
-        columns = [sid[at], chunk[at], n, s0, s2, steps, offs, n_steps, flat, moved, low[at], high[at], tol[at]]
+        columns = [sid[at], chunk[at], n, run[at], run[at + n - 1], v[at], v[at + n - 1], s0, s2, steps, offs, n_steps, flat, moved, low[at], high[at], tol[at]]
         arrays = [c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns]
         names = [p.split()[0] for p in STATS.split(", ")]
         yield pa.RecordBatch.from_arrays([*arrays, _edges(t, v, at, n, False), _edges(t, v, at, n, True)], names)
@@ -170,6 +173,22 @@ def _weighted_quantile(points: str, rank: str) -> str:
     return f"aggregate({points}, named_struct('w', 0D, 'x', cast(null as double), 'r', {rank}), {step}).x"
 
 
+def _edge_counts(edges: str) -> str:
+    """SQL for what the chunks of a series, in order, add to its changes (``moved``) and repeats (``same``) where they meet.
+
+    A run of repeats goes on into the next chunk if the readings on both sides of the edge repeat; only with its
+    whole length is it known to be frozen or not.
+    """
+    closed = lambda same, run: f"{same} + if({run} < {STUCK}, {run} - 1D, 0D)"
+    zero = "named_struct('run', 0L, 'v', cast(null as double), 'moved', 0D, 'same', 0D)"
+    meets = "coalesce(abs(e.v_first - a.v) <= e.tol, false)"
+    at_edge = f"""named_struct('run', if({meets}, a.run, 0L) + e.head_run, 'v', e.v_last, 'moved', a.moved + if(a.run > 0 and not {meets}, 1D, 0D),
+        'same', if(a.run > 0 and not {meets}, {closed('a.same', 'a.run')}, a.same))"""
+    inside = f"if(e.head_run = e.n, b, named_struct('run', e.tail_run, 'v', b.v, 'moved', b.moved, 'same', {closed('b.same', 'b.run')}))"
+    step = f"(a, e) -> transform(array({at_edge}), b -> {inside})[0]"
+    return f"aggregate({edges}, {zero}, {step}, a -> named_struct('moved', a.moved, 'same', {closed('a.same', 'a.run')}))"
+
+
 def series_scales(stats: DataFrame) -> DataFrame:
     """The scales of each series: medians of its moves, the usual deviation, how many readings change or repeat.
 
@@ -185,10 +204,11 @@ def series_scales(stats: DataFrame) -> DataFrame:
         F.sum("n_steps").alias("n_steps"),
         F.sum("same").alias("same"),
         F.sum("moved").alias("moved"),
-    )
+        F.array_sort(F.collect_list(F.expr("named_struct('chunk', chunk, 'n', n, 'head_run', head_run, 'tail_run', tail_run, 'v_first', v_first, 'v_last', v_last, 'tol', coalesce(nanvl(same_tol, 0D), 0D))"))).alias("edges"),
+    ).withColumn("met", F.expr(_edge_counts("edges")))
     s1 = _weighted_quantile("array_sort(steps)", "n_steps * 0.5D")
     w0 = _weighted_quantile("array_sort(offs)", f"least(series_n * {USUAL}D, series_n - 1.5D - {LONGEST})")
-    return pooled.select("series_id", "series_n", "chunks", "s0", F.expr(s1).alias("s1"), "s2", F.expr(w0).alias("w0"), "same", "moved")
+    return pooled.select("series_id", "series_n", "chunks", "s0", F.expr(s1).alias("s1"), "s2", F.expr(w0).alias("w0"), (F.col("same") + F.col("met.same")).alias("same"), (F.col("moved") + F.col("met.moved")).alias("moved"))
 
 
 def halo_rows(stats: DataFrame) -> DataFrame:
@@ -246,7 +266,7 @@ def _spikes(w, v, bad, seg, n, s0, s1, s2, w0, spike_factor, usual_factor, burst
         usual = np.nan_to_num(w0)
         scale = np.fmax(spike_factor * s1, np.where(usual > BURSTY * s1, burst_factor, usual_factor) * usual)
         far = flagged & (np.abs(candidate_off) > scale) & (n >= KNOWN)
-        far |= np.isinf(v) & ~bad & (n >= KNOWN)
+        far |= np.isinf(v) & ~bad
     odd = far | bad
     edge = np.ones(len(w), dtype=bool)
     edge[1:] = (odd[1:] != odd[:-1]) | (seg[1:] != seg[:-1])
@@ -269,7 +289,7 @@ def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: flo
     twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a
     run of ten readings or more that all repeat, in a series of which at least half of all readings, and the
     share ``lively`` of those outside such runs, differ from the one before. Infinite values within the limits
-    count as spikes. Series of fewer than ``KNOWN`` readings have no spikes. Rows with a NULL series, chunk,
+    count as spikes. Series of fewer than ``KNOWN`` readings have no other spikes. Rows with a NULL series, chunk,
     time or value, or a NaN value, are left out. An empty input gives an empty result.
     """
     valid = limited.dropna(subset=["series_id", "chunk", "t", "v"])
