@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideline.llm import distinct, mixing, packing, percentiles, runs, splitting, tokens
+from tideline.llm import distinct, mixing, packing, percentiles, queries, runs, splitting, tokens
 
 ENCODING = tokens.TokenCounter.of(tokens.VOCABULARY).encoding
 
@@ -338,3 +338,14 @@ def test_pointer_doubling_equals_one_cut_after_the_other():
 def test_overlap_must_leave_room(spark):
     with pytest.raises(ValueError):
         splitting.split_oversized(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", 10, 5)
+
+
+def test_combinations_keep_untagged_series_and_pairs_cover_names(spark, tmp_path):
+    day = 86_400_000
+    spark.createDataFrame([(s, day, 1.0, s) for s in range(1, 6)], "series_id bigint, t bigint, v double, seq bigint").write.parquet(f"{tmp_path}/samples_in.parquet")
+    tags = [("region", "r", 1), ("region", "r", 2), ("os", "x", 1), ("os", "x", 2), ("os", None, 3), ("arch", "a", 3), ("hostname", "h", 4)]
+    spark.createDataFrame(tags, "name string, value string, series_id bigint").write.parquet(f"{tmp_path}/series_tags.parquet")
+    total = queries.p1_combinations(spark, str(tmp_path)).where("level = 7").collect()
+    assert [round(r.estimate) for r in total] == [5]
+    pairs = queries.p1_pairs(spark, str(tmp_path))
+    assert {(r.name_a, r.value_a, r.name_b, r.value_b, round(r.estimate)) for r in pairs.collect()} == {("os", "x", "region", "r", 2), ("arch", "a", "os", None, 1)}

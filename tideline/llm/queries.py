@@ -14,6 +14,7 @@ from tideline.sources.tables import table
 P = 12  # registers per sketch, as a power of two: one standard error is 1.2 %
 CONTAINERS = ("container", "container_small")
 COMBINED = ["region", "service", "team"]
+PAIRED = ["region", "service", "team", "os", "arch", "datacenter", "service_environment", "service_version", "rack", "__name__"]  # all but hostname and instance, which nearly name a series
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,17 @@ def p1_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "series_tags").where(F.col("name").isin(COMBINED))
     wide = tags.groupBy("series_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in COMBINED])
     keys = ["day_no", *COMBINED]
-    return _stated(distinct.combinations(distinct.registers(_active(spark, sf_dir).join(wide, "series_id"), keys, "series_id", P), keys, P))
+    return _stated(distinct.combinations(distinct.registers(_active(spark, sf_dir).join(wide, "series_id", "left"), keys, "series_id", P), keys, P))
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day and pair of values of two tag names, for every two of ``PAIRED``."""
+    tags = table(spark, sf_dir, "series_tags").where(F.col("name").isin(PAIRED)).select("series_id", "name", "value").distinct()
+    sets = tags.groupBy("series_id").agg(F.collect_list(F.struct("name", "value")).alias("tags"))
+    active = _active(spark, sf_dir).join(sets, "series_id").select("series_id", "day_no", "tags", F.explode("tags").alias("a"))
+    pairs = active.select("series_id", "day_no", "a", F.explode(F.expr("filter(tags, x -> x.name > a.name)")).alias("b"))
+    named = pairs.select("series_id", "day_no", F.col("a.name").alias("name_a"), F.col("a.value").alias("value_a"), F.col("b.name").alias("name_b"), F.col("b.value").alias("value_b"))
+    return _stated(distinct.distinct_counts(named, ["day_no", "name_a", "value_a", "name_b", "value_b"], "series_id", P))
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +172,7 @@ def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("uncovered", ends.agg(F.count_if((F.col("a") != 0) | (F.col("b") != F.col("chars")))).scalar())
 
 
-QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p8_invariants, p9_invariants, p10_invariants)}
+QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_pairs, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p8_invariants, p9_invariants, p10_invariants)}
 
 _RUNS_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
