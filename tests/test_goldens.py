@@ -153,6 +153,23 @@ def test_codec_round_trip(points):
     assert back[0] == ts and [None if v is None else codec._raw(v) for v in back[1]] == [None if v is None else codec._raw(v) for v in vs]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(2**40), 2**40), max_size=20), st.integers(0, 4), st.data())
+def test_group_codec_round_trip(ts, n, data):
+    value = st.one_of(st.none(), st.floats(allow_nan=False))
+    columns = [data.draw(st.lists(value, min_size=len(ts), max_size=len(ts))) for _ in range(n)]
+    assert codec.decode_group(codec.encode_group(ts, columns)) == (ts, columns)
+
+
+def test_random_labels():
+    from tideline.functions.labels import random_labels
+
+    some = random_labels(10, 3)
+    assert some == random_labels(10, 3) != random_labels(10, 4) and list(some) == sorted(some) and 1 <= len(some) <= 10
+    assert all(1 <= len(x) <= 25 and x.isascii() and x.islower() for pair in some.items() for x in pair)
+    assert random_labels(0, 1) == {}
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7)], "k bigint")
     assert rows(dense_ids(df, ["k"], "id", 10)) == [(1, 11), (3, 12), (5, 13), (7, 14), (9, 15)]

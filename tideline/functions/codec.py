@@ -111,6 +111,21 @@ def decode(data: bytes) -> tuple[list[int], list[float | None]]:
     return ts, vs
 
 
+def encode_group(ts: Sequence[int], columns: Sequence[Sequence[float | None]]) -> bytes:
+    """Samples of a group as bytes: one stream of times, then a stream of values for each member; a bit a sample of each is idle."""
+    streams = [encode(ts, [None] * len(ts)), *(encode([0] * len(ts), vs) for vs in columns)]
+    return struct.pack(f">I{len(streams)}I", len(streams), *map(len, streams)) + b"".join(streams)
+
+
+def decode_group(data: bytes) -> tuple[list[int], list[list[float | None]]]:
+    n = struct.unpack_from(">I", data)[0]
+    at, streams = 4 * (n + 1), []
+    for size in struct.unpack_from(f">{n}I", data, 4):
+        streams.append(decode(data[at : at + size]))
+        at += size
+    return streams[0][0], [vs for _, vs in streams[1:]]
+
+
 SAMPLES = T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.DoubleType())]))
 
 

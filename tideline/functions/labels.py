@@ -5,12 +5,21 @@ All functions take and give Columns and run inside generated code; none needs a
 
 from __future__ import annotations
 
+import random
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def random_labels(n: int, seed: int) -> dict[str, str]:
+    """A label set of up to ``n`` random names, the last value of a repeated one counts; the same for the same seed."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(1, 25)))
+    return dict(sorted({word(): word() for _ in range(n)}.items()))
+
+
 def label_key(labels: Column) -> Column:
     """The label set as entries in byte order of names: equal sets have equal keys, and keys compare as label sets do."""
     return F.array_sort(F.map_entries(labels))
