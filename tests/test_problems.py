@@ -38,12 +38,11 @@ def _latest(data):
     return {k: v for k, (_, v) in best.items() if v is not None and not math.isnan(v)}
 
 
-@pytest.mark.parametrize("chunk_ms", [1000, DAY, 8 * DAY])
-def test_readings(spark, chunk_ms):
+def test_readings(spark):
     data = _messy(1)
-    got = readings.readings(_samples(spark, data), chunk_ms)
-    assert rows(got, "series_id", "t", "v") == sorted((*k, v) for k, v in _latest(data).items())
-    assert all(r.chunk == r.t // chunk_ms for r in got.collect())
+    assert rows(readings.readings(_samples(spark, data)), "series_id", "t", "v") == sorted((*k, v) for k, v in _latest(data).items())
+    days = spark.createDataFrame([(-1,), (0,), (DAY,), (-DAY,), (2**62,)], "t bigint").select(readings.day().alias("d"))
+    assert [r.d for r in days.collect()] == [-1, 0, 1, -1, 2**62 // DAY]
 
 
 def test_rolling(spark):
@@ -157,8 +156,8 @@ def _planted(seed, n=300, level=50.0):
     return v, faults | dict.fromkeys(range(200, 212), "stuck")
 
 
-@pytest.mark.parametrize("chunk_ms", [100 * DAY, 8 * DAY, 3 * DAY])
-def test_faults_are_found_whatever_the_chunks(spark, chunk_ms):
+@pytest.mark.parametrize("block", [10_000, 100, 32])
+def test_faults_are_found_whatever_the_blocks(spark, block):
     hour, data, want = 3_600_000, [], set()
     for sid in (1, 2):
         v, faults = _planted(sid)
@@ -176,7 +175,7 @@ def test_faults_are_found_whatever_the_chunks(spark, chunk_ms):
     want |= {(9, 5, "out_of_bounds")}
     series = spark.createDataFrame([(s, {"__name__": "m"}) for s in range(1, 10)] + [(1, {"__name__": "m"}), (77, {})], "series_id bigint, labels map<string,string>")
     ref = spark.createDataFrame([("m", -1000.0, 1e6, 0.001)], "metric_name string, min_value double, max_value double, same_tol double")
-    got = spikes.implausible(readings.readings_with_limits(_samples(spark, data + data[:50]), series, ref, chunk_ms))
+    got = spikes.implausible(_samples(spark, data + data[:50]), series, ref, rows=block)
     flags = {(r.series_id, r.t, k) for r in got.collect() for k in ("spike", "stuck", "out_of_bounds") if r[k]}
     assert flags == want
 
@@ -186,13 +185,13 @@ def test_faults_without_limits_or_rows(spark):
     data = _samples(spark, [(1, i, float(x), i) for i, x in enumerate(v)] + [(1, 1000, float("inf"), 5000), (1, 1001, 75.0, 5001)])
     none = spark.createDataFrame([], "series_id bigint, labels map<string,string>")
     ref = spark.createDataFrame([], "metric_name string, min_value double, max_value double, same_tol double")
-    got = spikes.implausible(readings.readings_with_limits(data, none, ref))
+    got = spikes.implausible(data, none, ref)
     assert {r.t for r in got.collect()} == {60, 61, 100, 150, 151, 152, 270, 1000}
-    assert spikes.implausible(readings.readings_with_limits(data.where("false"), none, ref)).count() == 0
+    assert spikes.implausible(data.where("false"), none, ref).count() == 0
     assert got.where(F.col("out_of_bounds") | F.col("stuck")).count() == 0
 
 
-def test_frozen_runs_count_whole_over_chunks(spark):
+def test_frozen_runs_count_whole_over_blocks(spark):
     v = [float(i * 37 % 101) for i in range(100)]
     frozen = [i for a in (13, 43, 77) for i in range(a, a + 12)]
     for i in frozen:
@@ -202,7 +201,26 @@ def test_frozen_runs_count_whole_over_chunks(spark):
     frame = spark.createDataFrame([(s, d * readings.DAY_MS, x, q) for s, d, x, q in data], "series_id bigint, t bigint, v double, seq bigint")
     series = spark.createDataFrame([(s, {"__name__": "m"}) for s in (1, 2)], "series_id bigint, labels map<string,string>")
     ref = spark.createDataFrame([("m", None, None, 0.01)], "metric_name string, min_value double, max_value double, same_tol double")
-    for chunk_ms in (readings.DAY_MS, readings.CHUNK_MS, 400 * readings.DAY_MS):
-        got = spikes.implausible(readings.readings_with_limits(frame, series, ref, chunk_ms)).collect()
+    for block in (16, 20, 1000):
+        got = spikes.implausible(frame, series, ref, rows=block).collect()
         assert sorted(r.t // readings.DAY_MS for r in got if r.series_id == 1 and r.stuck) == frozen
         assert [r.t // readings.DAY_MS for r in got if r.series_id == 2 and r.spike] == [4]
+
+
+def test_spikes_of_short_series_are_judged_by_their_metric(spark):
+    rng = np.random.default_rng(4)
+    data = [(s, i * 1000, 50 + float(rng.normal(0, 0.5)), i) for s in range(5) for i in range(60)]
+    short = [50.1, 50.2, 50.1, 50.3, 50.2, 50.1, 80.0, 50.3, 50.1, 50.2, 50.0, 50.1]
+    mild = [50.1, 50.2, 50.1, 50.2, 50.1, 50.2, 51.2, 50.1, 50.2, 50.1, 50.2, 50.1]  # much for itself, usual for its metric
+    data += [(s, i * 1000, x, i) for s, own in ((10, short), (11, mild), (12, short)) for i, x in enumerate(own)]
+    series = spark.createDataFrame([(s, {"__name__": "m"}) for s in (*range(5), 10, 11)] + [(12, {"__name__": "lonely"})], "series_id bigint, labels map<string,string>")
+    ref = spark.createDataFrame([("m", None, None, 0.001)], "metric_name string, min_value double, max_value double, same_tol double")
+    got = spikes.implausible(_samples(spark, data), series, ref).where("spike AND series_id >= 10")
+    assert rows(got, "series_id", "t") == [(10, 6000)]
+
+
+def test_a_wild_time_costs_days_not_an_error(spark):
+    far = 3 * 10**14  # some 9,500 years on
+    got = rolling.trailing(rolling.daily_totals(_samples(spark, [(1, -400 * DAY, 1.0, 1), (1, far, 2.0, 2)])))
+    assert got.count() == far // DAY + 401 == got.select("day_no").distinct().count()
+    assert got.agg(F.min("day_no"), F.max("day_no")).first()[:] == (-400, far // DAY)

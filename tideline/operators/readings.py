@@ -1,37 +1,34 @@
-"""Valid readings of raw inserts, and the time chunks that keep a hot series divisible.
+"""Valid readings of raw inserts, and the limits of their metrics.
 
-A series may hold any share of all rows, so no operator partitions by series alone. Rows are
-partitioned by ``(series_id, chunk)``, where a chunk is a fixed span of time; what an operator needs
-from neighbouring chunks travels as a few edge rows per chunk.
+A series may hold any share of all rows, so no operator partitions raw rows by series alone: versions are merged by
+``(series_id, t)``, reduced in the map tasks, and what needs readings in order takes them from
+:mod:`tideline.operators.blocks`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
-CHUNK_MS = 8 * DAY_MS
 
 
-def with_chunk(df: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Add ``chunk``, the number of the time span of ``chunk_ms`` that ``t`` falls in."""
-    return df.withColumn("chunk", F.expr(f"(t - pmod(t, {chunk_ms}L)) div {chunk_ms}L"))
+def day(t: str = "t") -> Column:
+    """Days since 1970-01-01 of a time in milliseconds, before it too; a BIGINT, so every time has one."""
+    return F.expr(f"({t} - pmod({t}, {DAY_MS}L)) div {DAY_MS}L")
 
 
-def readings(samples: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """``(series_id, chunk, t, v)``: the valid readings of raw inserts, hash-partitioned by series and chunk.
+def readings(samples: DataFrame) -> DataFrame:
+    """``(series_id, t, v)``: the valid readings of raw inserts, hash-partitioned by series and time.
 
-    Of the rows of one ``(series_id, t)`` the highest ``seq`` counts (equal ``seq``: the greatest value,
-    NULL below all). If that version's ``v`` is NULL or NaN the point has no reading. Rows with a NULL
-    ``series_id`` or ``t`` are no readings. Other columns are ignored. One shuffle: the grouping by
-    ``(series_id, chunk, t)`` is served by the partitioning on ``(series_id, chunk)``.
+    Of the rows of one ``(series_id, t)`` the highest ``seq`` counts (equal ``seq``: the greatest value, NULL
+    below all, NULL ``seq`` lowest). If that version's ``v`` is NULL or NaN the point has no reading. Rows with a NULL
+    ``series_id`` or ``t`` are no readings. Other columns are ignored. One shuffle, of what the map tasks leave of
+    the versions, however many rows a series or a single point has.
     """
-    rows = with_chunk(samples.select("series_id", "t", "v", F.coalesce("seq", F.lit(-(2**63))).alias("seq")), chunk_ms)
-    rows = rows.where(F.col("series_id").isNotNull() & F.col("t").isNotNull()).repartition("series_id", "chunk")
-    copies = rows.groupBy("series_id", "chunk", "t", "seq").agg(F.max("v").alias("v"))
-    last = copies.groupBy("series_id", "chunk", "t").agg(F.max_by("v", "seq").alias("v"))
-    return last.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = samples.where("series_id IS NOT NULL AND t IS NOT NULL")
+    last = rows.groupBy("series_id", "t").agg(F.max(F.struct("seq", "v")).alias("last"))
+    return last.select("series_id", "t", "last.v").where("v IS NOT NULL AND NOT isnan(v)")
 
 
 def series_metric(series: DataFrame) -> DataFrame:
@@ -39,19 +36,11 @@ def series_metric(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id").agg(F.min(F.expr("labels['__name__']")).alias("metric_name")).where("series_id IS NOT NULL")
 
 
-def chunk_limits(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """``(series_id, chunk, min_value, max_value, same_tol)`` of every chunk that occurs in ``samples``.
+def series_limits(series: DataFrame, metric_ref: DataFrame) -> DataFrame:
+    """``(series_id, metric_name, min_value, max_value, same_tol)`` of every registered series; NULL where the metric is unknown.
 
-    Joining limits per chunk, not per series, keeps the join key of a hot series spread. ``metric_ref``
-    has one row per metric name; its size is checked by the optimizer's own broadcast threshold.
+    ``metric_ref`` has one row per metric name; of repeated names one row counts. Its size is checked by the
+    optimizer's own broadcast threshold.
     """
-    limits = metric_ref.select("metric_name", "min_value", "max_value", "same_tol").dropDuplicates(["metric_name"])
-    known = series_metric(series).join(limits, "metric_name", "left").drop("metric_name")
-    chunks = with_chunk(samples.select("series_id", "t").where("series_id IS NOT NULL AND t IS NOT NULL"), chunk_ms)
-    return chunks.select("series_id", "chunk").distinct().join(known, "series_id", "left")
-
-
-def readings_with_limits(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """:func:`readings` with the limits of the series' metric (NULL where the metric is unknown)."""
-    limits = chunk_limits(samples, series, metric_ref, chunk_ms)
-    return readings(samples, chunk_ms).join(limits, ["series_id", "chunk"], "left")
+    limits = metric_ref.select("metric_name", "min_value", "max_value", "same_tol").where("metric_name IS NOT NULL").dropDuplicates(["metric_name"])
+    return series_metric(series).join(limits, "metric_name", "left")

@@ -1,10 +1,10 @@
 """Implausible readings: phase-space spikes, frozen stretches and broken limits, judged per series.
 
-Every series has its own scales. A first pass over ``(series, chunk)`` groups gives robust scales of the
-value (its distance from the level of the readings around), of the first and of the second difference,
-the share of readings that change, and the edge rows of the chunk. Scales and changes are joined over the
-chunks of a series, the edge rows become the halo of the neighbouring chunks, and a second pass decides
-each reading with its whole surroundings. Both passes handle many series in one vectorised batch.
+Every series has its own scales: of the value (its distance from the level of the readings around), of the first
+and of the second difference, and the share of readings that change. A series that fits into one block is
+measured and judged in one pass over the blocks. A longer one is measured block by block; what the blocks
+of a task say of it becomes one row of bounded size, these rows are joined to the scales of the series, and its
+blocks alone are passed over again. Both passes handle many series in one vectorised batch.
 """
 
 from __future__ import annotations
@@ -13,25 +13,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.batches import starts, whole_groups
+from tideline.operators.batches import starts
+from tideline.operators.blocks import BLOCK_ROWS, Flat, blocks, grouped
+from tideline.operators.readings import series_limits
 from tideline.session import cut_lineage
 
-HALO = 16  # rows of the neighbouring chunks that a reading may need: SIDE + LONGEST and STUCK - 1 fit into it
 SIDE = 6  # readings on each side that make the level
-LONGEST = 3  # readings of a spike
-STUCK = 10  # readings of a frozen stretch
+LONGEST = 3  # readings of a spike, by its definition
+STUCK = 10  # readings of a frozen stretch, by its definition
+MARGIN = 16  # readings around a block that it needs: SIDE + LONGEST and STUCK - 1 fit into it
 BLOCK = 400_000  # readings whose levels are worked out together
-ROUNDS = 3  # of thresholding, each with the flagged readings replaced by the level
 USUAL = 0.95  # quantile of the deviations that counts as usual; the LONGEST greatest never do
 BURSTY = 6.0  # usual deviation over usual step from which a series has bursts of its own
-KNOWN = 28  # readings a series must have for its spikes to be judged
-POINTS = 32  # order statistics a chunk keeps of a distribution
+KNOWN = 28  # readings from which a series is judged by its own scales alone
+POINTS = 256  # order statistics that stand for a distribution where it is put together from parts
+LIMITS = ("min_value", "max_value", "same_tol")
 AXES = ("s0", "s1", "s2")
-STATS = "series_id long, chunk long, n long, head_run long, tail_run long, v_first double, v_last double, s0 double, s2 double, steps array<double>, offs array<double>, n_steps long, same double, moved double, min_value double, max_value double, same_tol double, head array<struct<t:long,v:double>>, tail array<struct<t:long,v:double>>"
+FIRST_PASS = "kind int, series_id long, t long, v double, out_of_bounds boolean, spike boolean, stuck boolean, off double, n long, same double, moved double, s1 double, w0 double, values array<array<double>>, counts array<long>"
 FLAGS = "series_id long, t long, v double, out_of_bounds boolean, spike boolean, stuck boolean"
+FLAG, SCALES, PART = 0, 1, 2  # kinds of rows of the first pass
 
 
 def _shifted(v: np.ndarray, seg: np.ndarray, k: int) -> np.ndarray:
@@ -48,7 +51,7 @@ def _row_median(columns: list[np.ndarray]) -> np.ndarray:
     m = np.sort(np.stack(columns, axis=1), axis=1)
     n = (~np.isnan(m)).sum(axis=1)
     i = np.arange(len(m))
-    low, high = m[i, np.maximum((n - 1) // 2, 0)], m[i, np.maximum(n // 2, 0) - (n == m.shape[1]) * 0]
+    low, high = m[i, np.maximum((n - 1) // 2, 0)], m[i, n // 2]
     return np.where(n > 0, (low + high) / 2, np.nan)
 
 
@@ -78,36 +81,24 @@ def _band(v: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(one | np.isnan(off), 0.0, off), np.where(one, v, level)
 
 
-def _per_segment(x: np.ndarray, first: np.ndarray, q: float) -> np.ndarray:
-    """The ``q`` quantile (nearest rank) of the non-NaN ``x`` of each segment; NaN if there is none."""
-    seg = np.cumsum(first) - 1
-    k = int(seg[-1]) + 1
+def _sorted_per(x: np.ndarray, seg: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The non-NaN ``x`` of each of ``k`` segments in order, where each segment begins, and how many it has."""
     ok = ~np.isnan(x)
     x, s = x[ok], seg[ok]
-    order = np.lexsort((x, s))
     n = np.bincount(s, minlength=k)
-    at = np.concatenate(([0], np.cumsum(n)[:-1]))
-    out = np.full(k, np.nan)
+    return x[np.lexsort((x, s))], np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n
+
+
+def _at_rank(x: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The value of the given rank (from 0, cut to what there is) of each segment; NaN where it has none."""
+    out = np.full(len(n), np.nan)
     has = n > 0
-    rank = np.minimum((q * n).astype(np.int64), np.maximum(n - 1, 0))
-    out[has] = x[order][(at + rank)[has]]
+    out[has] = x[(at + np.clip(np.floor(rank), 0, np.maximum(n - 1, 0)).astype(np.int64))[has]]
     return out
 
 
-def _points(x: np.ndarray, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Up to ``POINTS`` evenly spaced order statistics of the non-NaN ``x`` of each segment, and how many it has."""
-    seg = np.cumsum(first) - 1
-    k = int(seg[-1]) + 1
-    ok = ~np.isnan(x)
-    x, s = x[ok], seg[ok]
-    x = x[np.lexsort((x, s))]
-    n = np.bincount(s, minlength=k)
-    at = np.concatenate(([0], np.cumsum(n)[:-1]))
-    take = np.minimum(n, POINTS)
-    ends = np.cumsum(take)
-    i = np.arange(ends[-1]) - np.repeat(ends - take, take)
-    index = np.repeat(at, take) + ((2 * i + 1) * np.repeat(n, take)) // (2 * np.maximum(np.repeat(take, take), 1))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(x[index])), n
+def _usual_rank(n: np.ndarray | float):
+    return np.minimum(n * USUAL, n - 1.5 - LONGEST)
 
 
 def _stuck_runs(v: np.ndarray, tol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,18 +111,6 @@ def _stuck_runs(v: np.ndarray, tol: np.ndarray, first: np.ndarray) -> tuple[np.n
     return same, np.bincount(run)[run]
 
 
-def _arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(n).to_numpy() for n in names]
-
-
-def _edges(t: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, tail: bool) -> pa.Array:
-    take = np.minimum(n, HALO)
-    begin = at + n - take if tail else at
-    index = np.repeat(begin - np.concatenate(([0], np.cumsum(take)[:-1])), take) + np.arange(take.sum())
-    pairs = pa.StructArray.from_arrays([pa.array(t[index]), pa.array(v[index])], ["t", "v"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pairs)
-
-
 def _clean(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which readings break a limit, and the values with those and the infinite ones taken out (NaN)."""
     with np.errstate(invalid="ignore"):
@@ -139,170 +118,230 @@ def _clean(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray
     return bad, np.where(bad | np.isinf(v), np.nan, v)
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_groups(batches, ["series_id", "chunk"]):
-        sid, chunk, t, v, low, high, tol = _arrays(table, "series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
-        first = starts([sid, chunk])
-        seg = np.cumsum(first) - 1
-        at = np.flatnonzero(first)
-        n = np.diff(np.append(at, len(v)))
-        _, w = _clean(v, low, high)
-        off, _ = _deviation(w, seg)
-        d1 = np.abs(w - _shifted(w, seg, 1))
-        d2 = np.abs(_shifted(w, seg, -1) - 2 * w + _shifted(w, seg, 1))
-        same, run = _stuck_runs(v, np.nan_to_num(tol, nan=0.0), first)
-        loose = ~first & ~(same & (run >= STUCK))
-        # Repeats at the edges may belong to a frozen run of several chunks and are counted in series_scales.
-        number = np.cumsum(~same)
-        inner = (number != number[at][seg]) & (number != number[at + n - 1][seg])
-        flat = np.bincount(seg[loose & same & inner], minlength=len(at)).astype(float)
-        moved = np.bincount(seg[loose & ~same], minlength=len(at)).astype(float)
-        steps, n_steps = _points(np.where(d1 > 0, d1, np.nan), first)
-        offs, _ = _points(np.abs(off), first)
-        s0 = _per_segment(np.where(off != 0, np.abs(off), np.nan), first, 0.5)
-        s2 = _per_segment(np.where(d2 > 0, d2, np.nan), first, 0.5)
-        columns = [sid[at], chunk[at], n, run[at], run[at + n - 1], v[at], v[at + n - 1], s0, s2, steps, offs, n_steps, flat, moved, low[at], high[at], tol[at]]
-        arrays = [c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns]
-        names = [p.split()[0] for p in STATS.split(", ")]
-        yield pa.RecordBatch.from_arrays([*arrays, _edges(t, v, at, n, False), _edges(t, v, at, n, True)], names)
-
-
-def _weighted_quantile(points: str, rank: str) -> str:
-    """SQL for the least point up to which the weights of the sorted ``points`` come to more than ``rank``."""
-    step = "(a, p) -> named_struct('w', a.w + p.w, 'x', if(a.w <= a.r, p.x, a.x), 'r', a.r)"
-    return f"aggregate({points}, named_struct('w', 0D, 'x', cast(null as double), 'r', {rank}), {step}).x"
-
-
-def _edge_counts(edges: str) -> str:
-    """SQL for what the chunks of a series, in order, add to its changes (``moved``) and repeats (``same``) where they meet.
-
-    A run of repeats goes on into the next chunk if the readings on both sides of the edge repeat; only with its
-    whole length is it known to be frozen or not.
+class _Measured:
+    """Blocks with what their readings say of themselves: which break a limit, deviation, differences, repeats."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        f = self.blocks = Flat(batch)
+        low, high, tol = (f.spread(c) for c in LIMITS)
+        self.bad, self.w = _clean(f.v, low, high)
+        self.off, self.level = _deviation(self.w, f.seg)
+        self.tol = tol
+        self.same, self.run = _stuck_runs(f.v, np.nan_to_num(tol, nan=0.0), f.first)
+
+    def distributions(self) -> list[np.ndarray]:
+        """Of the blocks' own readings: deviations and both differences, each where it is not 0, and all deviations."""
+        f, w = self.blocks, self.w
+        before = _shifted(w, f.seg, 1)
+        d1, d2 = np.abs(w - before), np.abs(_shifted(w, f.seg, -1) - 2 * w + before)
+        off = np.abs(self.off)
+        return [np.where(f.own & (x > 0), x, np.nan) for x in (off, d1, d2)] + [np.where(f.own, off, np.nan)]
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per block, readings that repeat the one before outside frozen runs, and those that do not repeat it."""
+        f = self.blocks
+        k = len(f.size)
+        same = np.bincount(f.seg[f.own & self.same & (self.run < STUCK)], minlength=k)
+        return same.astype(float), np.bincount(f.seg[f.own & ~self.same & ~f.first], minlength=k).astype(float)
+
+    def flags(self, scales: list[np.ndarray], factors: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
+        """Masks of readings: out of bounds, spike, stuck; and their deviations. ``scales`` are per block: n, s0, s1, s2, w0, same, moved."""
+        f = self.blocks
+        n, s0, s1, s2, w0, same, moved = (x[f.seg] for x in scales)
+        spike, off = _spikes(self, n, (s0, s1, s2), w0, factors)
+        stuck = (self.run >= STUCK) & (moved >= n / 2) & (moved >= factors[3] * (moved + same)) & ~np.isnan(self.tol)
+        return self.bad & f.own, spike & f.own, stuck & f.own, off
+
+
+def _outside(u: np.ndarray, off: np.ndarray, seg: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+    """Readings outside the ellipsoid whose half axes are ``axes``, over deviation, first and second difference."""
+    before, after = _shifted(u, seg, 1), _shifted(u, seg, -1)
+    d1 = np.fmax(np.abs(u - before), np.abs(u - after))
+    d2 = np.abs(after - 2 * u + before)
+    radius = sum(np.nan_to_num((x / a) ** 2, nan=0.0, posinf=np.inf) for x, a in zip((off, d1, d2), axes, strict=True))
+    return (radius > 1) & (off != 0)
+
+
+def _spikes(m: _Measured, n: np.ndarray, scales: tuple[np.ndarray, ...], w0: np.ndarray, factors: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Phase-space thresholding with replacement until nothing new is flagged, then the exact check of every flagged run.
+
+    Each round looks only at the blocks in which the round before flagged something, as nothing else can change.
     """
-    closed = lambda same, run: f"{same} + if({run} < {STUCK}, {run} - 1D, 0D)"
-    zero = "named_struct('run', 0L, 'v', cast(null as double), 'moved', 0D, 'same', 0D)"
-    meets = "coalesce(abs(e.v_first - a.v) <= e.tol, false)"
-    at_edge = f"""named_struct('run', if({meets}, a.run, 0L) + e.head_run, 'v', e.v_last, 'moved', a.moved + if(a.run > 0 and not {meets}, 1D, 0D),
-        'same', if(a.run > 0 and not {meets}, {closed('a.same', 'a.run')}, a.same))"""
-    inside = f"if(e.head_run = e.n, b, named_struct('run', e.tail_run, 'v', b.v, 'moved', b.moved, 'same', {closed('b.same', 'b.run')}))"
-    step = f"(a, e) -> transform(array({at_edge}), b -> {inside})[0]"
-    return f"aggregate({edges}, {zero}, {step}, a -> named_struct('moved', a.moved, 'same', {closed('a.same', 'a.run')}))"
-
-
-def series_scales(stats: DataFrame) -> DataFrame:
-    """The scales of each series: medians of its moves, the usual deviation, how many readings change or repeat.
-
-    Grouped over chunks of some days, a bounded number of order statistics each, never over readings.
-    """
-    pooled = stats.groupBy("series_id").agg(
-        F.sum("n").alias("series_n"),
-        F.count(F.lit(1)).alias("chunks"),
-        F.median("s0").alias("s0"),
-        F.median("s2").alias("s2"),
-        F.flatten(F.collect_list(F.expr("transform(steps, x -> named_struct('x', x, 'w', n_steps / size(steps)))"))).alias("steps"),
-        F.flatten(F.collect_list(F.expr("transform(offs, x -> named_struct('x', x, 'w', n / size(offs)))"))).alias("offs"),
-        F.sum("n_steps").alias("n_steps"),
-        F.sum("same").alias("same"),
-        F.sum("moved").alias("moved"),
-        F.array_sort(F.collect_list(F.expr("named_struct('chunk', chunk, 'n', n, 'head_run', head_run, 'tail_run', tail_run, 'v_first', v_first, 'v_last', v_last, 'tol', coalesce(nanvl(same_tol, 0D), 0D))"))).alias("edges"),
-    ).withColumn("met", F.expr(_edge_counts("edges")))
-    s1 = _weighted_quantile("array_sort(steps)", "n_steps * 0.5D")
-    w0 = _weighted_quantile("array_sort(offs)", f"least(series_n * {USUAL}D, series_n - 1.5D - {LONGEST})")
-    return pooled.select("series_id", "series_n", "chunks", "s0", F.expr(s1).alias("s1"), "s2", F.expr(w0).alias("w0"), (F.col("same") + F.col("met.same")).alias("same"), (F.col("moved") + F.col("met.moved")).alias("moved"))
-
-
-def halo_rows(stats: DataFrame) -> DataFrame:
-    """``(series_id, chunk, t, v)``: for each chunk the ``HALO`` readings before and after it, from its neighbours."""
-    order = Window.partitionBy("series_id").orderBy("chunk")
-    before = F.flatten(F.collect_list("tail").over(order.rowsBetween(-HALO, -1)))
-    after = F.flatten(F.collect_list("head").over(order.rowsBetween(1, HALO)))
-    size = F.size(before)
-    halo = F.concat(F.slice(before, F.greatest(size - HALO + 1, F.lit(1)), F.lit(HALO)), F.slice(after, 1, HALO))
-    return stats.select("series_id", "chunk", halo.alias("halo")).select("series_id", "chunk", F.explode("halo").alias("h")).select("series_id", "chunk", "h.t", "h.v")
-
-
-def _decide(spike_factor: float, usual_factor: float, burst_factor: float, lively: float):
-    """The second pass, as a function of Arrow batches."""
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["series_id", "chunk"]):
-            sid, chunk, t, v, low, high, tol, n = _arrays(table, "series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol", "series_n")
-            s0, s1, s2, w0, same_n, moved_n = _arrays(table, *AXES, "w0", "same", "moved")
-            core = table.column("core").to_numpy(zero_copy_only=False)
-            first = starts([sid, chunk])
-            seg = np.cumsum(first) - 1
-            bad, w = _clean(v, low, high)
-            spike = _spikes(w, v, bad, seg, n, s0, s1, s2, w0, spike_factor, usual_factor, burst_factor)
-            _, run = _stuck_runs(v, np.nan_to_num(tol, nan=0.0), first)
-            stuck = (run >= STUCK) & (moved_n >= n / 2) & (moved_n >= lively * (moved_n + same_n)) & ~np.isnan(tol)
-            keep = core & (bad | spike | stuck)
-            arrays = [sid[keep], t[keep], v[keep], bad[keep], spike[keep], stuck[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["series_id", "t", "v", "out_of_bounds", "spike", "stuck"])
-
-    return decide
-
-
-def _spikes(w, v, bad, seg, n, s0, s1, s2, w0, spike_factor, usual_factor, burst_factor):
-    """Phase-space thresholding with replacement, then the exact check of every candidate run."""
+    seg, v = m.blocks.seg, m.blocks.v
+    spike_factor, usual_factor, burst_factor, _ = factors
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         reach = np.sqrt(2 * np.log(np.maximum(n, 3)))  # universal threshold, in units of each axis
-        u, flagged = w.copy(), np.zeros(len(w), dtype=bool)
-        off, level = _deviation(u, seg)
-        candidate_off, candidate_level = off.copy(), level.copy()
-        for _ in range(ROUNDS):
-            d1 = np.fmax(np.abs(u - _shifted(u, seg, 1)), np.abs(u - _shifted(u, seg, -1)))
-            d2 = np.abs(_shifted(u, seg, -1) - 2 * u + _shifted(u, seg, 1))
-            radius = sum(np.nan_to_num((x / (1.483 * reach * s)) ** 2, nan=0.0, posinf=np.inf) for x, s in ((off, s0), (d1, s1), (d2, s2)))
-            new = (radius > 1) & (off != 0) & ~flagged
-            if not new.any():
-                break
-            flagged |= new
-            u = np.where(new, level, u)
-            off, level = _deviation(u, seg)
-            more = ~flagged
-            candidate_off = np.where(more, off, candidate_off)
-            candidate_level = np.where(more, level, candidate_level)
+        axes = [1.483 * reach * s for s in scales]
+        flagged = _outside(m.w, m.off, seg, axes)
+        final_off = m.off.copy()
+        u, level, new = m.w.copy(), m.level.copy(), flagged
+        while new.any():
+            u[new] = level[new]
+            changed = np.zeros(int(seg[-1]) + 1, dtype=bool)
+            changed[seg[new]] = True
+            at = np.flatnonzero(changed[seg])
+            off_at, level_at = _deviation(u[at], seg[at])
+            out = _outside(u[at], off_at, seg[at], [a[at] for a in axes]) & ~flagged[at]
+            level[at] = level_at
+            rest = ~flagged[at]
+            final_off[at[rest]] = off_at[rest]
+            new = np.zeros(len(u), dtype=bool)
+            new[at[out]] = True
+            flagged = flagged | new
         # Exact check: far beyond what is usual for the series, for at most LONGEST readings, and back again.
         usual = np.nan_to_num(w0)
-        scale = np.fmax(spike_factor * s1, np.where(usual > BURSTY * s1, burst_factor, usual_factor) * usual)
-        far = flagged & (np.abs(candidate_off) > scale) & (n >= KNOWN)
-        far |= np.isinf(v) & ~bad
-    odd = far | bad
-    edge = np.ones(len(w), dtype=bool)
-    edge[1:] = (odd[1:] != odd[:-1]) | (seg[1:] != seg[:-1])
-    run = np.cumsum(edge) - 1
+        scale = np.fmax(spike_factor * scales[1], np.where(usual > BURSTY * scales[1], burst_factor, usual_factor) * usual)
+        far = flagged & (np.abs(final_off) > scale)
+        far |= np.isinf(v) & ~m.bad
+    odd = far | m.bad
+    run = np.cumsum(starts([odd, seg])) - 1
     length = np.bincount(run)
-    at = np.flatnonzero(edge)
+    at = np.flatnonzero(starts([odd, seg]))
     end = at + length - 1
-    inner = (at > 0) & (end < len(w) - 1)
-    inner &= (seg[np.maximum(at - 1, 0)] == seg[at]) & (seg[np.minimum(end + 1, len(w) - 1)] == seg[at])
-    return far & (inner & (length <= LONGEST))[run]
+    inner = (at > 0) & (end < len(v) - 1)
+    inner &= (seg[np.maximum(at - 1, 0)] == seg[at]) & (seg[np.minimum(end + 1, len(v) - 1)] == seg[at])
+    return far & (inner & (length <= LONGEST))[run], final_off
+
+
+def _merged(parts: list[list[tuple[np.ndarray, int]]]) -> list[tuple[np.ndarray, int]]:
+    """Distributions of parts, each as order statistics and a count, put together; again at most ``POINTS`` of each."""
+    out = []
+    for own in zip(*parts, strict=True):
+        x = np.concatenate([p for p, _ in own])
+        w = np.concatenate([np.full(len(p), c / max(len(p), 1)) for p, c in own])
+        order = np.argsort(x, kind="stable")
+        x, cum = x[order], np.cumsum(w[order])
+        if len(x) > POINTS:
+            x = x[np.minimum(np.searchsorted(cum, (np.arange(POINTS) + 0.5) / POINTS * cum[-1]), len(x) - 1)]
+        out.append((x, sum(c for _, c in own)))
+    return out
+
+
+class _Part:
+    """What the blocks of one task say of a series of several blocks."""
+
+    def __init__(self, sid: int) -> None:
+        self.sid, self.n, self.same, self.moved, self.parts = sid, 0, 0.0, 0.0, []
+
+    def add(self, n: int, same: float, moved: float, distributions: list[tuple[np.ndarray, int]]) -> None:
+        self.n, self.same, self.moved = self.n + n, self.same + same, self.moved + moved
+        self.parts.append(distributions)
+        if len(self.parts) == 16:
+            self.parts = [_merged(self.parts)]
+
+    def row(self) -> dict:
+        points = _merged(self.parts)
+        return {"kind": PART, "series_id": self.sid, "n": self.n, "same": self.same, "moved": self.moved, "values": [x.tolist() for x, _ in points], "counts": [c for _, c in points]}
+
+
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    """Rows of the first pass; columns not given are NULL."""
+    schema = pa.schema([("kind", pa.int32()), ("series_id", pa.int64()), ("t", pa.int64()), ("v", pa.float64()), *[(c, pa.bool_()) for c in ("out_of_bounds", "spike", "stuck")], ("off", pa.float64()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("same", "moved", "s1", "w0")], ("values", pa.list_(pa.list_(pa.float64()))), ("counts", pa.list_(pa.int64()))])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+
+def _first_pass(factors: tuple[float, float, float, float]):
+    """Flags of series of one block, their scales if they are long enough, and a row per task of each longer series."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for batch in grouped(batches):
+            m = _Measured(batch)
+            f = m.blocks
+            k = len(f.size)
+            alone = f.size == f.n
+            same, moved = m.changes()
+            ordered = [_sorted_per(x, f.seg, k) for x in m.distributions()]
+            s0, s1, s2 = (_at_rank(x, at, c, c * 0.5) for x, at, c in ordered[:3])
+            n = f.n.astype(float)
+            w0 = _at_rank(*ordered[3], _usual_rank(n))
+            bad, spike, stuck, off = m.flags([n, s0, s1, s2, w0, same, moved], factors)
+            keep = (bad | spike | stuck) & alone[f.seg]
+            sid = f.column("series_id")
+            yield _rows(int(keep.sum()), kind=np.full(int(keep.sum()), FLAG), series_id=sid[f.seg[keep]], t=f.t[keep], v=f.v[keep], out_of_bounds=bad[keep], spike=spike[keep], stuck=stuck[keep], off=np.abs(off[keep]), n=f.n[f.seg[keep]])
+            own = alone & (f.n >= KNOWN)
+            yield _rows(int(own.sum()), kind=np.full(int(own.sum()), SCALES), series_id=sid[own], n=f.n[own], s1=s1[own], w0=w0[own])
+            for i in np.flatnonzero(~alone):
+                if part is None or part.sid != sid[i]:
+                    if part is not None:
+                        yield pa.RecordBatch.from_pylist([part.row()], schema=_rows(0).schema)
+                    part = _Part(int(sid[i]))
+                part.add(int(f.n[i]), same[i], moved[i], _merged([[(x[at[i] : at[i] + c[i]], int(c[i])) for x, at, c in ordered]]))
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([part.row()], schema=_rows(0).schema)
+
+    return judge
+
+
+def _second_pass(factors: tuple[float, float, float, float]):
+    """Flags of blocks by the scales of their whole series."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches):
+            m = _Measured(batch)
+            f = m.blocks
+            bad, spike, stuck, _ = m.flags([f.column(c).astype(float) for c in ("series_n", *AXES, "w0", "same", "moved")], factors)
+            keep = bad | spike | stuck
+            arrays = [f.column("series_id")[f.seg[keep]], f.t[keep], f.v[keep], bad[keep], spike[keep], stuck[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [c.split()[0] for c in FLAGS.split(", ")])
+
+    return judge
+
+
+def _weighted_quantile(k: int, rank: str) -> str:
+    """SQL for the least point of the ``k``-th distribution up to which the weights come to more than ``rank``."""
+    points = f"array_sort(flatten(transform(rows, r -> transform(r.values[{k}], x -> named_struct('x', x, 'w', r.counts[{k}] / size(r.values[{k}]))))))"
+    step = "(a, p) -> named_struct('w', a.w + p.w, 'x', if(a.w <= a.r, p.x, a.x), 'r', a.r)"
+    return f"aggregate({points}, named_struct('w', 0D, 'x', cast(null as double), 'r', cast({rank} as double)), {step}).x"
+
+
+def series_scales(parts: DataFrame) -> DataFrame:
+    """``(series_id, series_n, s0, s1, s2, w0, same, moved)`` of series of several blocks, from a row per series and task.
+
+    Each row has at most ``POINTS`` order statistics of each distribution, so what is gathered for a series is
+    bounded by the number of tasks, not by its readings.
+    """
+    pooled = parts.groupBy("series_id").agg(F.sum("n").alias("series_n"), F.sum("same").alias("same"), F.sum("moved").alias("moved"), F.collect_list(F.struct("values", "counts")).alias("rows"))
+    total = lambda k: f"aggregate(rows, 0L, (a, r) -> a + r.counts[{k}])"
+    axes = [F.expr(_weighted_quantile(k, f"{total(k)} * 0.5D")).alias(name) for k, name in enumerate(AXES)]
+    w0 = F.expr(_weighted_quantile(3, f"least(series_n * {USUAL}D, series_n - 1.5D - {LONGEST})")).alias("w0")
+    return pooled.select("series_id", "series_n", *axes, w0, "same", "moved")
 
 
-def implausible(limited: DataFrame, spike_factor: float = 7.0, usual_factor: float = 3.0, burst_factor: float = 5.0, lively: float = 0.7) -> DataFrame:
+def implausible(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, spike_factor: float = 7.0, usual_factor: float = 3.0, burst_factor: float = 5.0, lively: float = 0.7, rows: int = BLOCK_ROWS) -> DataFrame:
     """``(series_id, t, v, out_of_bounds, spike, stuck)`` of every reading that is implausible for its series.
 
-    ``limited`` has readings with the limits of their metric (``readings_with_limits``); NULL limits do
-    not bind and without ``same_tol`` nothing is stuck. A *spike* is a run of one to three readings outside
-    the robust ellipsoid over value, first and second difference, off the level on both sides by more
+    ``samples`` are raw inserts, ``series`` registrations and ``metric_ref`` the limits of the metrics; NULL limits do not
+    bind and without ``same_tol`` nothing is stuck. A *spike* is a run of one to three readings outside
+    the robust ellipsoid over value, first and second difference (flagged readings are replaced by the level and
+    the rest looked at again, until nothing new is flagged), off the level on both sides by more
     than ``spike_factor`` times the usual step and ``usual_factor`` times the deviation that one reading in
-    twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). *Stuck* is a
+    twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). A series of fewer than
+    ``KNOWN`` readings says little of its own scales: its spikes must also be that far off by the median scales
+    of the longer series of its metric, and without such series it has none. *Stuck* is a
     run of ten readings or more that all repeat, in a series of which at least half of all readings, and the
     share ``lively`` of those outside such runs, differ from the one before. Infinite values within the limits
-    count as spikes. Series of fewer than ``KNOWN`` readings have no other spikes. Rows with a NULL series, chunk,
-    time or value, or a NaN value, are left out. An empty input gives an empty result.
+    count as spikes. Rows with a NULL series or time, or whose last version is NULL or NaN, are left out. An empty input
+    gives an empty result. ``rows`` bounds the readings of a block.
     """
-    valid = limited.dropna(subset=["series_id", "chunk", "t", "v"])
-    rows = valid.select("series_id", "chunk", "t", "v", "min_value", "max_value", "same_tol")
-    ordered = rows.sortWithinPartitions("series_id", "chunk", "t")
-    stats = cut_lineage(ordered.mapInArrow(_stats, STATS))  # read three times: scales, halo and chunks
-    limits = ["min_value", "max_value", "same_tol"]
-    whole = ["series_n", *AXES, "w0", "same", "moved"]
-    per_chunk = stats.select("series_id", "chunk", *limits).join(series_scales(stats), "series_id")
-    core = rows.join(per_chunk.select("series_id", "chunk", *whole), ["series_id", "chunk"]).withColumn("core", F.lit(True))
-    # Series of one chunk, most of them, need no halo.
-    several = per_chunk.where("chunks > 1").select("series_id", "chunk", *limits, *whole)
-    shared = stats.select("series_id", "chunk", "head", "tail").join(several.select("series_id", "chunk"), ["series_id", "chunk"], "left_semi")
-    halo = halo_rows(shared).join(several, ["series_id", "chunk"]).withColumn("core", F.lit(False))
-    both = core.unionByName(halo.select(*core.columns)).repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t")
-    return both.mapInArrow(_decide(spike_factor, usual_factor, burst_factor, lively), FLAGS)
+    factors = (spike_factor, usual_factor, burst_factor, lively)
+    limits = series_limits(series, metric_ref)
+    blocked = blocks(samples, limits, LIMITS, rows, MARGIN)
+    first = cut_lineage(blocked.mapInArrow(_first_pass(factors), FIRST_PASS))  # flags, scales and parts: few rows, read four times
+    flags = first.where(f"kind = {FLAG}")
+    names = [c.split()[0] for c in FLAGS.split(", ")]
+    # Spikes of short series, and the scales of their metrics.
+    metric = limits.select("series_id", F.coalesce("metric_name", F.lit("")).alias("metric_name"))
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000).alias(f"metric_{c}")
+    scaled = first.where(f"kind = {SCALES}").join(metric, "series_id", "left").withColumn("metric_name", F.coalesce("metric_name", F.lit("")))
+    usual = scaled.groupBy("metric_name").agg(middle("s1"), middle("w0"))
+    short = f"spike AND n < {KNOWN} AND abs(v) < double('infinity')"
+    far = F.col("off") > F.greatest(F.col("metric_s1") * spike_factor, F.col("metric_w0") * F.when(F.col("metric_w0") > BURSTY * F.col("metric_s1"), burst_factor).otherwise(usual_factor))
+    candidates = flags.where(short).join(metric, "series_id", "left").withColumn("metric_name", F.coalesce("metric_name", F.lit("")))
+    judged = candidates.join(usual, "metric_name", "left").withColumn("spike", F.coalesce(far, F.lit(False))).where("spike OR out_of_bounds OR stuck")
+    # Series of several blocks: their scales go to the blocks by part, so that a hot series stays spread.
+    several = blocked.where("size(ts) > n")
+    scales = series_scales(first.where(f"kind = {PART}"))
+    per_block = several.select("part", "series_id").join(scales, "series_id").drop("series_id")
+    again = several.join(per_block, "part").mapInArrow(_second_pass(factors), FLAGS)
+    return flags.where(f"NOT ({short})").select(*names).unionByName(judged.select(*names)).unionByName(again)

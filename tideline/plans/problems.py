@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import grid, keyagg, readings, rolling, spikes
+from tideline.operators import grid, keyagg, rolling, spikes
 from tideline.sources.tables import table
 
 
 def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes.implausible(readings.readings_with_limits(*[table(spark, sf_dir, n) for n in ("samples_in", "series_in", "metric_ref")]))
+    return spikes.implausible(*[table(spark, sf_dir, n) for n in ("samples_in", "series_in", "metric_ref")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p2_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.trailing(rolling.daily_totals(table(spark, sf_dir, "samples_in")))
+    return rolling.trailing(rolling.daily_totals(table(spark, sf_dir, "samples_in"))).withColumn("day_no", F.col("day_no").cast("int"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
