@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.llm import distinct, mixing, packing, percentiles, queries, runs, splitting, tokens
+from tideline.operators import blocks
 
 ENCODING = tokens.TokenCounter.of(tokens.VOCABULARY).encoding
 
@@ -70,9 +72,10 @@ def test_distinct_of_nothing(spark):
 # Percentiles
 
 
-@pytest.mark.parametrize("gather", [1, 30, 10_000])
-def test_percentiles_are_exact(spark, monkeypatch, gather):
-    monkeypatch.setattr(percentiles, "GATHER", gather)
+@pytest.mark.parametrize(("gather", "held", "long"), [(1, 1000, 1000), (30, 1000, 8), (10_000, 1000, 1000), (20, 0, 8)])
+def test_percentiles_are_exact(spark, monkeypatch, gather, held, long):
+    for name, value in (("GATHER", gather), ("HELD", held), ("LONG", long), ("REWRITE", 2)):
+        monkeypatch.setattr(percentiles, name, value)
     rnd = random.Random(5)
     members = [(s, n, v) for s in range(12) for n, v in (("all", "yes"), ("mod", str(s % 3)), ("none", None), ("own", f"s{s}"))] + [(0, "all", "yes"), (None, "all", "yes"), (99, "all", "yes")]
     values = [1.0, 1.0, 2.0, -0.5, float("inf"), float("-inf")]
@@ -121,54 +124,75 @@ def _spread(x):
     return sum((y - sum(x) / len(x)) ** 2 for y in x)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(-8, 8), min_size=1, max_size=24), st.integers(0, 6))
-def test_segmentations_are_optimal(values, penalty):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-8, 8), min_size=1, max_size=24), st.integers(0, 12), st.sampled_from([(1.0, 0.0), (0.0, 1.0), (0.5, 0.5)]))
+def test_segmentations_are_optimal(values, penalty, weights):
     v = np.array(values, dtype=float)
-    first = np.zeros(len(v), dtype=bool)
-    first[0] = True
-    for cuts, cost in ((runs.optimal_cuts, _steps), (runs.level_cuts, _spread)):
-        cut = cuts(v, first, np.full(len(v), float(penalty)))
-        assert _cost_of(v.tolist(), cut, cost, penalty) == pytest.approx(_least_cost(v.tolist(), cost, penalty), abs=1e-6)
-
-
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
+    first = np.arange(len(v)) == 0
+    step, level = weights
+    cost = lambda x: step * _steps(x) + level * _spread(x)
+    cut = runs.cheapest_cuts(v, first, np.full(len(v), float(penalty)), step, level)
+    least = _least_cost(v.tolist(), cost, penalty)
+    assert _cost_of(v.tolist(), cut, cost, penalty) == pytest.approx(least, abs=1e-6)
+    forced = runs.forced_cuts(v, first, np.full(len(v), float(penalty)), step, level)
+    cut = runs.cheapest_cuts(v, forced, np.full(len(v), float(penalty)), step, level)
+    assert _cost_of(v.tolist(), cut, cost, penalty) == pytest.approx(least, abs=1e-6)
+
+
+def test_segmentation_of_noise_is_not_quadratic():
+    v = np.random.default_rng(1).normal(0, 1, 8000)
+    first = np.arange(len(v)) == 0
+    took = []
+    for n in (2000, 8000):
+        began = time.perf_counter()
+        runs.cheapest_cuts(v[:n], first[:n], np.full(n, 1e4), 0.0, 1.0)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def _blocked(spark, data, rows):
+    """Blocks with ``tol`` of ``(series, t, v, tol)``."""
+    frame = spark.createDataFrame([(s, t, v, 0, "x") for s, t, v, _ in data], "series_id bigint, t bigint, v double, seq bigint, n string")
+    tols = spark.createDataFrame(list({(s, tol) for s, _, _, tol in data if s is not None}), "series_id bigint, tol double")
+    return blocks.blocks(frame, tols, ["tol"], rows, min(rows, blocks.MARGIN))
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
 @pytest.mark.parametrize("least", [1, 3])
-def test_runs_do_not_depend_on_chunks(spark, chunk, least):
+def test_runs_do_not_depend_on_blocks(spark, block, least):
     rnd, data, want = random.Random(6), [], []
     for s in range(4):
         v, tol = [rnd.choice([1.0, 1.0, 1.05, 2.0, float("inf")]) for _ in range(120)], [0.1, 0.0, None, 0.04][s]
-        data += [(s, i // chunk, i * 10, x, tol, 1) for i, x in enumerate(v)]
+        data += [(s, i * 10, x, tol) for i, x in enumerate(v)]
         start = 0
         for i in range(1, 121):
             if i == 120 or not (v[i] == v[i - 1] or abs(v[i] - v[i - 1]) <= (tol or 0)):
                 if i - start >= least:
                     want.append((s, start * 10, (i - 1) * 10, i - start, (i - 1 - start) * 10))
                 start = i
-    junk = [(None, 0, 5, 1.0, 0.1, 1), (0, None, 5, 1.0, 0.1, 1), (0, 0, None, 1.0, 0.1, 1), (0, 0, 5, None, 0.1, 1), (0, 0, 5, float("nan"), 0.1, 1)]
-    frame = spark.createDataFrame(data + junk, "series_id bigint, chunk bigint, t bigint, v double, tol double, n int")
-    assert rows(runs.collapse(frame, least), "series_id", "t_start", "t_end", "n", "duration_ms") == sorted(want)
-    assert runs.collapse(frame.where("false"), least).count() == 0
+    junk = [(None, 5, 1.0, 0.1), (0, None, 1.0, 0.1), (0, 5, None, 0.1), (0, 5, float("nan"), 0.1)]
+    assert rows(runs.collapse(_blocked(spark, data + junk, block), least), "series_id", "t_start", "t_end", "n", "duration_ms") == sorted(want)
+    assert runs.collapse(_blocked(spark, data, block).where("false"), least).count() == 0
 
 
 def test_levels(spark):
     v = [0.0, 0.4, -0.3, 0.1, 9.0, 9.3, 8.8, 0.2]
-    frame = spark.createDataFrame([(1, 0, i, x, 2.0) for i, x in enumerate(v)], "series_id bigint, chunk bigint, t bigint, v double, tol double")
-    assert rows(runs.collapse(frame, by_level=True), "t_start", "n") == [(0, 4), (4, 3), (7, 1)]
+    blocked = _blocked(spark, [(1, i, x, 2.0) for i, x in enumerate(v)], 100)
+    assert rows(runs.collapse(blocked, step=0.0, level=1.0), "t_start", "n") == [(0, 4), (4, 3), (7, 1)]
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 5, 24, 1000])
-def test_levels_do_not_depend_on_chunks(spark, chunk):
+@pytest.mark.parametrize("block", [1, 2, 5, 24, 1000])
+def test_levels_do_not_depend_on_blocks(spark, block):
     rng, data, want = np.random.default_rng(8), [], []
     for s, tol in enumerate([0.3, 1.0, 4.0, 0.0]):
         v = np.cumsum(rng.normal(0, 0.6, 240)) + rng.normal(0, 0.4, 240)
         v[60:90] = v[60]
         v[[100, 101, 170]] = float("inf")
-        data += [(s, i // chunk, i, float(x), tol) for i, x in enumerate(v)]
-        at = np.flatnonzero(runs.level_cuts(v, np.arange(240) == 0, np.full(240, tol)))
+        data += [(s, i, float(x), tol) for i, x in enumerate(v)]
+        first = (np.arange(240) == 0) | ~np.isfinite(v) | np.append(False, ~np.isfinite(v[:-1]))
+        at = np.flatnonzero(runs.cheapest_cuts(v, first, np.full(240, tol), 0.0, 1.0))
         want += [(s, int(a), int(b - a)) for a, b in itertools.pairwise([*at, 240]) if b - a >= 2]
-    frame = spark.createDataFrame(data, "series_id bigint, chunk bigint, t bigint, v double, tol double")
-    assert rows(runs.collapse(frame, 2, by_level=True), "series_id", "t_start", "n") == want
+    assert rows(runs.collapse(_blocked(spark, data, block), 2, 0.0, 1.0), "series_id", "t_start", "n") == want
 
 
 # Packing

@@ -1,46 +1,60 @@
 """Exact percentiles of large groups by distributed multi-select over sorted partial blocks.
 
-The partial result of a day (or file) is its *blocks*: the sorted values of one source in one span of time.
-Blocks of more days are combined by union. Groups overlap (a source has many tags), so values are never
-copied per group: a block knows the groups it belongs to.
-
-A group with many values is searched in rounds. Every partition proposes, per group and percentile, the
-local median of what is still in question; the weighted median of the proposals is the pivot; all partitions
-count the values below, at and above it; the ranges that the wanted rank rules out are discarded. The same
-pass that counts also gathers the local medians on either side, so a round is one pass. Once few values are
+The partial result of a day (or file) is its *blocks*: sorted values of one source. Blocks of more days are combined by
+union. Groups overlap (a source has many tags), so values are never copied per group: a block knows the
+groups it belongs to.
+
+A group with many values is searched in rounds. Every task proposes, per group and percentile, the
+local median of what is still in question; the weighted median of the proposals is the pivot; all tasks
+count the values below, at and above it; the ranges that the wanted rank rules out are discarded, and every
+few rounds the blocks are written again with only the values that are still in question. The same
+pass that counts also gathers the local medians on either side, so a round is one pass. Once few values of a group are
 left they are gathered and the wanted one is taken. Small groups are gathered at once.
+
+What is open of each group and percentile (range, rank, pivot) is a table. Up to ``HELD`` rows of it are sent to the tasks
+with their code; a larger one is joined to the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.ids import dense_ids
 from tideline.session import cut_lineage
 
-GATHER = 20_000  # values of a group that may be put in order in one task
-MANY_GROUPS = 20_000  # groups that may be searched in rounds; their pivots are the size-bounded state sent to all tasks
-ROUNDS = 64
-PROPOSALS = "gid int, q int, below long, same long, low_median double, low_n long, high_median double, high_n long"
+GATHER = 4_096  # values of a group that are put in order in one task
+HELD = 60_000  # open percentiles whose ranges and pivots (some 50 bytes each) are sent to all tasks
+REWRITE = 3  # rounds after which the blocks are written again without the values that are ruled out
+LONG = 2_048  # values from which a block is searched by bisection
+SALTS = 16  # over which the memberships of a large group are spread
+PROPOSALS = "k long, below long, same long, low_median double, low_n long, high_median double, high_n long"
+
+Asked = dict[int, list[tuple[int, float, float, float]]]  # group to (k, low, high, pivot); bounds exclusive, NaN for none
 
 
 def blocks(readings: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
-    """``keys, data, n``: the sorted values of each ``keys``, the partial result that may be kept and combined.
+    """``keys, data, n``: the sorted values of each ``keys``, a partial result that may be kept and combined.
 
     ``keys`` are the source and a span of time short enough for its values to fit into a row. NULL and NaN
-    are no values.
+    are no values. Where one source may have any number of values, :func:`from_blocks` bounds the rows.
     """
     valid = readings.where(F.col(value).isNotNull() & ~F.isnan(value))
     return valid.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value) + F.lit(0.0))).alias("data"), F.count(F.lit(1)).alias("n"))
 
 
-def _nearest_rank(q: float, n: np.ndarray) -> np.ndarray:
-    return np.maximum(np.ceil(np.round(q * n, 9)), 1).astype(np.int64)
+def from_blocks(blocked: DataFrame) -> DataFrame:
+    """``series_id, data, n``: the same from blocks of readings, which are of bounded size."""
+    own = F.transform(F.slice("vs", F.col("lead") + 1, F.col("n")), lambda x: x + F.lit(0.0))
+    return blocked.select("series_id", F.sort_array(own).alias("data"), F.col("n").cast("bigint").alias("n"))
+
+
+def _nearest_rank(n: str, q: float):
+    return F.greatest(F.ceil(F.round(F.col(n) * q, 9)), F.lit(1))
 
 
 def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
@@ -49,117 +63,206 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order][np.searchsorted(cum, cum[-1] / 2)])
 
 
-def _group_values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """The values of each group within one partition: of all its blocks, one group at a time."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    data, gids = table.column("data").chunk(0), table.column("gids").chunk(0)
-    values, ends = data.flatten().to_numpy(), np.cumsum(np.diff(data.offsets.to_numpy()))
-    sizes = np.diff(data.offsets.to_numpy())
-    row = np.repeat(np.arange(len(gids)), np.diff(gids.offsets.to_numpy()))
-    flat = gids.flatten().to_numpy()
-    order = np.argsort(flat, kind="stable")
-    flat, row = flat[order], row[order]
-    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.array([], dtype=np.int64)
-    for a, b in zip(at, np.append(at[1:], len(flat)), strict=True):
-        own = row[a:b]
-        n = sizes[own]
-        index = np.repeat(ends[own] - np.cumsum(n), n) + np.arange(n.sum())
-        yield int(flat[a]), values[index]
+def _asked_of(batch: pa.RecordBatch) -> Asked:
+    """What is asked of the groups of a batch, from its column."""
+    asks = batch.column("asks").flatten()
+    gid, k, low, high, pivot = (asks.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    _, one = np.unique(k, return_index=True)
+    out: Asked = {}
+    for i in one.tolist():
+        out.setdefault(int(gid[i]), []).append((int(k[i]), low[i], high[i], pivot[i]))
+    return out
+
+
+class _Batch:
+    """Blocks of an Arrow batch and the groups they belong to."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        data, gids = batch.column("data"), batch.column("gids")
+        self.values = data.flatten().to_numpy()
+        self.size = data.value_lengths().to_numpy().astype(np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.size)), gids.value_lengths().to_numpy())
+        self.gid = gids.flatten().to_numpy()
+
+    def groups(self) -> Iterator[tuple[int, np.ndarray, list[slice]]]:
+        """Each group with the places of the values in its short blocks, and its long blocks."""
+        order = np.argsort(self.gid, kind="stable")
+        gid, row = self.gid[order], self.row[order]
+        cut = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.array([], dtype=np.int64)
+        for a, b in zip(cut, np.append(cut[1:], len(gid)), strict=True):
+            own = row[a:b]
+            short = own[self.size[own] < LONG]
+            n = self.size[short]
+            places = np.repeat(self.at[short] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield int(gid[a]), places, [slice(self.at[r], self.at[r] + self.size[r]) for r in own[self.size[own] >= LONG]]
 
 
-def _local_median(x: np.ndarray) -> float:
-    return float(np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2]) if len(x) else float("nan")
+def _between(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    mask = np.ones(len(x), dtype=bool) if np.isnan(low) else x > low
+    return mask if np.isnan(high) else mask & (x < high)
 
 
-def _between(x: np.ndarray, low: float, high: float) -> np.ndarray:
-    x = x if np.isnan(low) else x[x > low]
-    return x if np.isnan(high) else x[x < high]
+def _inside(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The part of the sorted ``x`` between the bounds."""
+    a = 0 if np.isnan(low) else int(np.searchsorted(x, low, side="right"))
+    return x[a : len(x) if np.isnan(high) else max(a, int(np.searchsorted(x, high, side="left")))]
+
+
+def _middle(x: np.ndarray) -> float:
+    return float(np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2])
 
 
-def _count(state: dict[int, list[tuple[int, float, float, float]]]):
-    """One round in one partition: three-way counts against the pivots and local medians on either side."""
+def _count(asked: Asked | None):
+    """One round in one task: three-way counts against the pivots and local medians on either side."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for gid, x in _group_values(batches):
-            for q, low, high, pivot in state.get(gid, ()):
-                own = _between(x, low, high)
-                if np.isnan(pivot):  # the first round only proposes
-                    out.append((gid, q, 0, 0, _local_median(own), len(own), float("nan"), 0))
+        sums: dict[int, list] = {}  # k to values below, at the pivot, and (median, count) on either side
+
+        def note(k: int, less: tuple[float, int] | None, same: int, more: tuple[float, int] | None) -> None:
+            own = sums.setdefault(k, [0, 0, [], []])
+            own[1] += same
+            for side, got in ((2, less), (3, more)):
+                if got is None:
                     continue
-                less, more = own[own < pivot], own[own > pivot]
-                out.append((gid, q, len(less), len(own) - len(less) - len(more), _local_median(less), len(less), _local_median(more), len(more)))
-        if out:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[p.split()[0] for p in PROPOSALS.split(", ")]).astype({"gid": "int32", "q": "int32"}), preserve_index=False)
+                own[0] += got[1] if side == 2 else 0
+                own[side].append(got)
+                if len(own[side]) == 512:
+                    m, n = np.array(own[side]).T
+                    own[side] = [(_weighted_median(m, n), int(n.sum()))]
+
+        for batch in batches:
+            blocks_, open_ = _Batch(batch), _asked_of(batch) if asked is None else asked
+            for gid, places, long in blocks_.groups():
+                questions = open_.get(gid, ())
+                x = blocks_.values[places] if questions and len(places) else None
+                for k, low, high, pivot in questions:
+                    if x is not None:
+                        own = x[_between(x, low, high)]
+                        less = own if np.isnan(pivot) else own[own < pivot]
+                        more = own[own > pivot]
+                        note(k, (_middle(less), len(less)) if len(less) else None, len(own) - len(less) - len(more), (_middle(more), len(more)) if len(more) else None)
+                    for place in long:
+                        own = _inside(blocks_.values[place], low, high)
+                        a, b = (len(own), len(own)) if np.isnan(pivot) else (int(np.searchsorted(own, pivot, side="left")), int(np.searchsorted(own, pivot, side="right")))
+                        note(k, (float(own[(a - 1) // 2]), a) if a else None, b - a, (float(own[(b + len(own) - 1) // 2]), len(own) - b) if b < len(own) else None)
+        if sums:
+            pick = lambda side: [_weighted_median(*np.array(s[side]).T) if s[side] else None for s in sums.values()]
+            total = lambda side: [sum(n for _, n in s[side]) for s in sums.values()]
+            columns = [list(sums), [s[0] for s in sums.values()], [s[1] for s in sums.values()], pick(2), total(2), pick(3), total(3)]
+            kinds = [pa.float64() if "double" in c else pa.int64() for c in PROPOSALS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PROPOSALS.split(", ")])
 
     return count
 
 
-def _remaining(state: dict[int, list[tuple[int, float, float]]]):
+def _narrow(asked: Asked | None):
+    """Blocks with only the values that are still in question for one of their groups; blocks without any are left out."""
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks_, open_ = _Batch(batch), _asked_of(batch) if asked is None else asked
+            keep = np.zeros(len(blocks_.values), dtype=bool)
+            for gid, places, long in blocks_.groups():
+                for _, low, high, _ in open_.get(gid, ()):
+                    keep[places] |= _between(blocks_.values[places], low, high)
+                    for place in long:
+                        keep[place] |= _between(blocks_.values[place], low, high)
+            left = np.add.reduceat(np.append(keep, False), blocks_.at) * (blocks_.size > 0) if len(blocks_.at) else np.array([], np.int64)
+            rows = np.flatnonzero(left)
+            data = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left[rows]))), pa.int32()), pa.array(blocks_.values[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(rows)), data, batch.column("gids").take(pa.array(rows))], ["part", "data", "gids"])
+
+    return narrow
+
+
+def _remaining(asked: Asked | None):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gid, x in _group_values(batches):
-            for q, low, high in state.get(gid, ()):
-                own = _between(x, low, high)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([gid], pa.int32()), pa.array([q], pa.int32()), pa.array([own.tolist()], pa.list_(pa.float64()))], ["gid", "q", "data"])
+        for batch in batches:
+            blocks_, open_ = _Batch(batch), _asked_of(batch) if asked is None else asked
+            ks, lists = [], []
+            for gid, places, long in blocks_.groups():
+                for k, low, high, _ in open_.get(gid, ()):
+                    x = blocks_.values[places]
+                    for own in (x[_between(x, low, high)], *(_inside(blocks_.values[place], low, high) for place in long)):
+                        if len(own):
+                            ks.append(k)
+                            lists.append(own)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
+            flat = pa.array(np.concatenate(lists) if lists else np.array([], np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["k", "data"])
 
     return gather
 
 
-def multi_select(packed: DataFrame, sizes: dict[int, int], percentiles: Sequence[float]) -> dict[tuple[int, int], float]:
-    """The values at the ``percentiles`` (nearest rank) of every group, searched in rounds.
-
-    ``packed`` has ``data``, sorted values, and ``gids``, the groups they belong to; ``sizes`` has the values
-    of each group, at most ``MANY_GROUPS`` of them. Between rounds the driver holds a range, a rank and a pivot
-    per group and percentile. A group leaves the rounds when its pivot is the answer or at most
-    ``GATHER`` values are left, of which the wanted is then taken.
+def _run(packed: DataFrame, open_: DataFrame, few: bool, function: Callable, schema: str) -> DataFrame:
+    """``function`` over the blocks, knowing the open rows: with its code if they are ``few``, else joined to the blocks."""
+    columns = ["gid", "k", "low", "high", "pivot"]
+    if few:
+        asked: Asked = {}
+        nan = lambda x: float("nan") if x is None else x
+        for r in open_.select(*columns).collect():
+            asked.setdefault(r.gid, []).append((r.k, nan(r.low), nan(r.high), nan(r.pivot)))
+        return packed.mapInArrow(function(asked), schema)
+    # A large group has many blocks: its open rows are repeated over salts, so that no task gets all of them.
+    salted = open_.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_block = packed.select("part", F.explode("gids").alias("gid"), F.pmod(F.xxhash64("part"), F.lit(SALTS)).cast("int").alias("salt"))
+    asks = of_block.join(salted, ["gid", "salt"]).groupBy("part").agg(F.collect_list(F.struct(*columns)).alias("asks"))
+    return packed.join(asks, "part").mapInArrow(function(None), schema)
+
+
+def _median_of(side: str) -> str:
+    """SQL for the weighted median of an array of ``x, w``."""
+    total = f"aggregate({side}, 0D, (a, p) -> a + p.w)"
+    step = "(a, p) -> named_struct('w', a.w + p.w, 'x', if(a.w < a.r, p.x, a.x), 'r', a.r)"
+    return f"aggregate(array_sort({side}), named_struct('w', 0D, 'x', cast(null as double), 'r', {total} / 2), {step}).x"
+
+
+def multi_select(packed: DataFrame, sizes: DataFrame, percentiles: Sequence[float]) -> DataFrame:
+    """``(gid, q, x)``: the value ``x`` at the ``q``-th of the ``percentiles`` (nearest rank) of every group, searched in rounds.
+
+    ``packed`` has ``part`` (unique), ``data``, sorted values, and ``gids``, the groups they belong to; ``sizes`` has
+    ``gid, n``, the values of each group. A group leaves the rounds when its pivot is the answer or at most
+    ``GATHER`` values are left, of which the wanted is then taken. Every round rules out the pivot at least, and
+    as a rule half of the values.
     """
-    spark = packed.sparkSession
-    found: dict[tuple[int, int], float] = {}
-    # (gid, q) -> [low, high, rank wanted within, values within, pivot]; both bounds exclusive, NaN for none.
-    open_ = {(g, i): [np.nan, np.nan, int(_nearest_rank(p, np.array([n]))[0]), n, np.nan] for g, n in sizes.items() for i, p in enumerate(percentiles)}
-    searched = {k for k, s in open_.items() if s[3] > GATHER}
-    for _ in range(ROUNDS):
-        if not searched:
+    wide = len(percentiles)
+    null = F.lit(None).cast("double")
+    ranks = F.array(*[F.struct(F.lit(i).alias("q"), _nearest_rank("n", p).alias("rank")) for i, p in enumerate(percentiles)])
+    state = sizes.select("gid", "n", F.inline(ranks)).select("gid", (F.col("gid") * wide + F.col("q")).alias("k"), "q", null.alias("low"), null.alias("high"), "rank", "n", null.alias("pivot"), null.alias("x"))
+    state, fresh, rounds = cut_lineage(state), True, 0
+    while True:
+        open_ = state.where("x IS NULL")
+        count = open_.agg(F.count(F.lit(1)).alias("all"), F.count_if((F.col("n") > GATHER) | F.lit(fresh)).alias("searched")).first()
+        few = count["all"] <= HELD
+        if not count["searched"]:
             break
-        by_group: dict[int, list] = {}
-        for g, i in searched:
-            low, high, _, _, pivot = open_[g, i]
-            by_group.setdefault(g, []).append((i, low, high, pivot))
-        counted = packed.select("data", "gids").mapInArrow(_count(by_group), PROPOSALS)
-        lists = [F.collect_list(F.struct(m, n)).alias(m) for m, n in (("low_median", "low_n"), ("high_median", "high_n"))]
-        for r in counted.groupBy("gid", "q").agg(F.sum("below").alias("below"), F.sum("same").alias("same"), *lists).toLocalIterator():
-            key = (r.gid, r.q)
-            low, high, rank, n, pivot = open_[key]
-            side = r.low_median
-            if not np.isnan(pivot):
-                if r.below < rank <= r.below + r.same:
-                    found[key] = pivot
-                    searched.discard(key)
-                    continue
-                if rank <= r.below:
-                    high, n = pivot, r.below
-                else:
-                    low, rank, n, side = pivot, rank - r.below - r.same, n - r.below - r.same, r.high_median
-            weights = np.array([w for _, w in side])
-            values = np.array([m for m, _ in side])[weights > 0]
-            open_[key] = [low, high, rank, n, _weighted_median(values, weights[weights > 0])]
-            if not np.isnan(pivot) and n <= GATHER:
-                searched.discard(key)
-    left = {k: s for k, s in open_.items() if k not in found}
-    if left:
-        by_group = {}
-        for (g, i), (low, high, *_) in left.items():
-            by_group.setdefault(g, []).append((i, low, high))
-        wanted = spark.createDataFrame([(g, i, s[2]) for (g, i), s in left.items()], "gid int, q int, rank int")
-        rest = packed.select("data", "gids").mapInArrow(_remaining(by_group), "gid int, q int, data array<double>")
-        gathered = rest.groupBy("gid", "q").agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data")).join(F.broadcast(wanted), ["gid", "q"])
-        for r in gathered.select("gid", "q", F.element_at("data", F.col("rank")).alias("x")).toLocalIterator():
-            found[r.gid, r.q] = r.x
-    return found
+        if rounds and rounds % REWRITE == 0:
+            packed = cut_lineage(_run(packed, open_, few, _narrow, "part long, data array<double>, gids array<bigint>"))
+        counted = _run(packed, open_.where((F.col("n") > GATHER) | F.lit(fresh)), few, _count, PROPOSALS)
+        side = lambda s: F.collect_list(F.when(F.col(f"{s}_n") > 0, F.struct(F.col(f"{s}_median").alias("x"), F.col(f"{s}_n").cast("double").alias("w")))).alias(f"{s}_side")
+        both = counted.groupBy("k").agg(F.sum("below").alias("below"), F.sum("same").alias("same"), side("low"), side("high"))
+        now = state.join(both, "k", "left")
+        under = (F.col("rank") <= F.col("below")) | F.col("pivot").isNull()
+        hit = ~under & (F.col("rank") <= F.col("below") + F.col("same"))
+        pick = lambda at_first, less, equal, more: F.when(F.col("below").isNull(), at_first).when(hit, equal).when(under, less).otherwise(more)
+        passed = F.col("below") + F.col("same")
+        state = cut_lineage(
+            now.select(
+                "gid", "k", "q",
+                pick(F.col("low"), F.col("low"), F.col("low"), F.col("pivot")).alias("low"),
+                pick(F.col("high"), F.coalesce("pivot", "high"), F.col("high"), F.col("high")).alias("high"),
+                pick(F.col("rank"), F.col("rank"), F.col("rank"), F.col("rank") - passed).alias("rank"),
+                pick(F.col("n"), F.col("below"), F.col("n"), F.col("n") - passed).alias("n"),
+                pick(F.col("pivot"), F.expr(_median_of("low_side")), F.col("pivot"), F.expr(_median_of("high_side"))).alias("pivot"),
+                pick(F.col("x"), F.col("x"), F.col("pivot"), F.col("x")).alias("x"),
+            )
+        )
+        fresh, rounds = False, rounds + 1
+    rest = _run(packed, state.where("x IS NULL"), few, _remaining, "k long, data array<double>")
+    ordered = rest.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data"))
+    last = state.join(ordered, "k", "left")
+    return last.select("gid", "q", F.coalesce("x", F.try_element_at("data", F.col("rank").cast("int"))).alias("x"))
 
 
 def group_percentiles(parts: DataFrame, members: DataFrame, source: str, keys: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
@@ -168,33 +271,27 @@ def group_percentiles(parts: DataFrame, members: DataFrame, source: str, keys: S
     ``parts`` are blocks (``source, data, n``), of any number of days or files; ``members`` has ``source, keys``,
     repeated rows counting once. NULL is a key like any other. The result is exact: its rank error is 0.
 
-    Groups of more than ``GATHER`` values go through :func:`multi_select`, at most ``MANY_GROUPS`` of them: the
-    limit is raised to the number of all values over ``MANY_GROUPS`` where that is more, so by counting there
-    can be no more. The other groups are gathered, as sorted blocks, and ordered group by group.
+    Groups of more than ``GATHER`` values, however many, go through :func:`multi_select`. The other groups are gathered, as
+    sorted blocks, and ordered group by group; a source of more values than that has no such group, so its
+    blocks take no part. Memberships of large groups are spread over salts before they are joined, and blocks meet
+    their groups by block, not by source.
     """
-    spark = parts.sparkSession
-    parts = cut_lineage(parts.select(source, "data", "n").where(F.col(source).isNotNull()))
+    parts = cut_lineage(parts.where(F.col(source).isNotNull()).select(source, "data", "n").withColumn("part", F.monotonically_increasing_id()))
     membership = members.select(source, *keys).where(F.col(source).isNotNull()).distinct()
     per_source = parts.groupBy(source).agg(F.sum("n").alias("n"))
     totals = cut_lineage(membership.join(per_source, source).groupBy(*keys).agg(F.sum("n").alias("n")))
-    everything = totals.agg(F.sum("n")).first()[0] or 0
-    limit = max(GATHER, everything // MANY_GROUPS)
-    big = [tuple(r) for r in totals.where(F.col("n") > limit).collect()]
-    kinds = ", ".join(f"`{k}` {dict(members.dtypes)[k]}" for k in keys)
-    numbered = spark.createDataFrame([(*r[:-1], i) for i, r in enumerate(sorted(big, key=str))], f"{kinds}, gid int")
-    sizes = {i: r[-1] for i, r in enumerate(sorted(big, key=str))}
-    match = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    small_keys = membership.join(F.broadcast(numbered), match(membership, numbered), "left_anti")
+    large = cut_lineage(dense_ids(totals.where(F.col("n") > GATHER), [*keys, "n"], "gid"))
+    spread = large.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "gid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(F.col(source)), F.lit(SALTS)).cast("int")
+    match = [membership[k].eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)] + [salt == F.col("_salt")]
     names = [f"p{100 * q:g}".replace(".", "_") for q in percentiles]
-    ordered = small_keys.join(parts, source).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data"))
+    few = membership.join(spread, match, "left_anti")
+    ordered = few.join(parts.where(F.col("n") <= GATHER), source).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data"))
     ordered = ordered.withColumn("n", F.size("data").cast("bigint"))
-    pick = [F.element_at("data", F.greatest(F.ceil(F.round(F.col("n") * q, 9)), F.lit(1)).cast("int")).alias(name) for q, name in zip(percentiles, names, strict=True)]
-    result = ordered.select(*keys, "n", *pick)
-    if not big:
-        return result
-    named = membership.join(F.broadcast(numbered), match(membership, numbered)).select(membership[source], "gid")
-    groups = named.groupBy(source).agg(F.collect_set("gid").alias("gids"))
-    packed = cut_lineage(parts.join(groups, source).select("data", "gids"))
-    found = multi_select(packed, sizes, percentiles)
-    rows = [(*r[:-1], sizes[i], *[found[i, q] for q in range(len(percentiles))]) for i, r in enumerate(sorted(big, key=str))]
-    return result.unionByName(spark.createDataFrame(rows, f"{kinds}, n bigint, " + ", ".join(f"`{n}` double" for n in names)))
+    result = ordered.select(*keys, "n", *[F.element_at("data", _nearest_rank("n", q).cast("int")).alias(name) for q, name in zip(percentiles, names, strict=True)])
+    groups = membership.join(spread, match).groupBy(source).agg(F.collect_set("gid").alias("gids"))
+    of_part = parts.select("part", source).join(groups, source).select("part", "gids")
+    packed = cut_lineage(parts.select("part", "data").join(of_part, "part").select("part", "data", "gids"))
+    found = multi_select(packed, large.select("gid", "n"), percentiles)
+    wide = found.groupBy("gid").agg(*[F.max(F.when(F.col("q") == i, F.col("x"))).alias(name) for i, name in enumerate(names)])
+    return result.unionByName(large.join(wide, "gid").select(*keys, "n", *names))

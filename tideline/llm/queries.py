@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import distinct, mixing, packing, percentiles, runs, splitting, tokens
-from tideline.operators import readings
+from tideline.operators import blocks, readings
 from tideline.plans.problems import READINGS_SQL
 from tideline.session import cut_lineage
 from tideline.sources.tables import table
@@ -19,8 +19,8 @@ PAIRED = ["region", "service", "team", "os", "arch", "datacenter", "service_envi
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(series_id, day_no)`` of all rows, each pair once: what is counted per day does not depend on repeats."""
-    rows = readings.with_chunk(table(spark, sf_dir, "samples_in").select("series_id", "t").where("series_id IS NOT NULL AND t IS NOT NULL"), readings.DAY_MS)
-    return rows.select("series_id", F.col("chunk").cast("int").alias("day_no")).distinct()
+    rows = table(spark, sf_dir, "samples_in").where("series_id IS NOT NULL AND t IS NOT NULL")
+    return rows.select("series_id", readings.day().cast("int").alias("day_no")).distinct()
 
 
 def _stated(counts: DataFrame) -> DataFrame:
@@ -55,14 +55,15 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = readings.readings(table(spark, sf_dir, "samples_in"))
-    parts = percentiles.blocks(own, ["series_id", "chunk"])
+    parts = percentiles.from_blocks(blocks.blocks(table(spark, sf_dir, "samples_in")))
     return percentiles.group_percentiles(parts, table(spark, sf_dir, "series_tags"), "series_id", ["name", "value"], (0.5, 0.9, 0.99))
 
 
-def _with_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [table(spark, sf_dir, n) for n in ("samples_in", "series_in", "metric_ref")]
-    return readings.readings_with_limits(*tables).select("series_id", "chunk", "t", "v", F.col("same_tol").alias("tol"))
+def _with_tol(spark: SparkSession, sf_dir: str, squared: bool = False, rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """The readings in blocks, with ``same_tol`` of their metric as ``tol``, or four times its square."""
+    limits = readings.series_limits(table(spark, sf_dir, "series_in"), table(spark, sf_dir, "metric_ref"))
+    tol = 4 * F.col("same_tol") * F.col("same_tol") if squared else F.col("same_tol")
+    return blocks.blocks(table(spark, sf_dir, "samples_in"), limits.select("series_id", tol.alias("tol")), ["tol"], rows, min(rows, blocks.MARGIN))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,15 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_tol(spark, sf_dir).withColumn("tol", 4 * F.col("tol") * F.col("tol"))
-    return runs.collapse(rows, min_run=3, by_level=True)
+    return runs.collapse(_with_tol(spark, sf_dir, True), 3, 0.0, 1.0)
+
+
+def p7_any_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by level that are there with blocks of one size and not with another: none."""
+    keys = ["series_id", "t_start", "t_end", "n"]
+    found = [cut_lineage(runs.collapse(_with_tol(spark, sf_dir, True, rows), 3, 0.0, 1.0).select(*keys)) for rows in (blocks.BLOCK_ROWS, 50)]
+    either = found[0].join(found[1], keys, "left_anti").unionByName(found[1].join(found[0], keys, "left_anti"))
+    return either.agg(F.count(F.lit(1)).alias("different"))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -172,7 +180,7 @@ def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("uncovered", ends.agg(F.count_if((F.col("a") != 0) | (F.col("b") != F.col("chars")))).scalar())
 
 
-QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_pairs, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p8_invariants, p9_invariants, p10_invariants)}
+QUERIES = {f.__name__: f for f in (p1_day_tags, p1_combinations, p1_pairs, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p7_any_blocks, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p8_invariants, p9_invariants, p10_invariants)}
 
 _RUNS_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
@@ -182,6 +190,7 @@ runs AS (SELECT series_id, t, v, same_tol, sum(CASE WHEN p IS NOT NULL AND (abs(
 spans AS (SELECT series_id, min(t) AS t_start, max(t) AS t_end, count(*) AS n, max(same_tol) AS tol FROM runs GROUP BY series_id, run)"""
 
 SQL = {
+    "p7_any_blocks": "SELECT 0::BIGINT AS different",
     "p1_within_error": "SELECT name, count(DISTINCT value) AS distinct_values, true AS within_error FROM series_tags GROUP BY 1",
     "p8_invariants": "SELECT limit_name, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_off FROM size_limits WHERE limit_name LIKE 'container%'",
     "p9_invariants": "SELECT source, true AS repeats_kept, true AS share_met FROM source_targets",
