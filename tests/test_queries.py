@@ -20,8 +20,9 @@ def test_query_equals_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_query_without_sql_gives_distinct_rows(spark, name):
+    got = QUERIES[name](spark, DATA).collect()
+    assert got and len({str(r) for r in got}) == len(got)
 
 
 def test_entry(spark):
@@ -29,11 +30,10 @@ def test_entry(spark):
 
 
 def test_averages_keep_large_and_infinite_readings(spark):
-    data = DATA.replace("0.001", "0.01")
-    whole, name = views(data), "tsbs_double_groupby_1"
-    assert compare(spark, whole, data, QUERIES[f"{name}_all"], SQL[f"{name}_all"]) == ""
-    got = {n: sum(r.n for r in QUERIES[n](spark, data).select("n").collect()) for n in (name, f"{name}_all")}
-    assert got[f"{name}_all"] == got[name] + 2  # one of them infinite
+    data, name = DATA.replace("0.001", "0.01"), "tsbs_double_groupby_1"
+    assert compare(spark, views(data), data, QUERIES[name], SQL[name]) == ""
+    got = QUERIES[name](spark, data)
+    assert got.where("abs(avg_v) = double('infinity')").count() > 0
 
 
 def test_trailing_averages_and_infinite_sums_are_returned(spark):

@@ -18,26 +18,33 @@ TIME_BITS = (14, 17, 20, 64)
 
 
 class _Out:
+    """A bit stream; whole bytes are put aside, so that appending costs the same at any length."""
+
     def __init__(self) -> None:
-        self.value, self.length = 1, 0  # a leading 1 keeps leading zeros
+        self.done, self.value, self.length = bytearray(), 0, 0
 
     def put(self, number: int, bits: int) -> None:
         self.value = (self.value << bits) | (number & ((1 << bits) - 1))
         self.length += bits
+        if self.length >= 512:
+            rest = self.length % 8
+            self.done += (self.value >> rest).to_bytes(self.length // 8, "big")
+            self.value, self.length = self.value & ((1 << rest) - 1), rest
 
     def bytes(self) -> bytes:
         pad = -self.length % 8
-        body = (self.value << pad) & ((1 << (self.length + pad)) - 1)
-        return body.to_bytes((self.length + pad) // 8, "big")
+        return bytes(self.done) + (self.value << pad).to_bytes((self.length + pad) // 8, "big")
 
 
 class _In:
     def __init__(self, data: bytes) -> None:
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+        self.data, self.at = data, 0
 
     def take(self, bits: int) -> int:
-        self.left -= bits
-        return (self.value >> self.left) & ((1 << bits) - 1)
+        end = self.at + bits
+        window = int.from_bytes(self.data[self.at // 8 : -(-end // 8)], "big")
+        self.at = end
+        return (window >> (-end % 8)) & ((1 << bits) - 1)
 
     def signed(self, bits: int) -> int:
         x = self.take(bits)
@@ -139,6 +146,37 @@ def _decode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else [{"t": t, "v": v} for t, v in zip(*decode(b), strict=True)])
 
 
+GROUP_ROWS = T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))]))
+
+
+@F.pandas_udf(T.BinaryType())
+def _encode_group(groups: pd.Series) -> pd.Series:
+    def one(rows):
+        columns = list(zip(*[[None if x is None or x != x else float(x) for x in r["v"]] for r in rows], strict=True))
+        return encode_group([r["t"] for r in rows], columns)
+
+    return groups.map(lambda rows: None if rows is None else one(rows))
+
+
+@F.pandas_udf(GROUP_ROWS)
+def _decode_group(data: pd.Series) -> pd.Series:
+    def one(b):
+        ts, columns = decode_group(b)
+        return [{"t": t, "v": [c[i] for c in columns]} for i, t in enumerate(ts)]
+
+    return data.map(lambda b: None if b is None else one(b))
+
+
+def encoded_group(rows: Column) -> Column:
+    """Binary form of an ``ARRAY<STRUCT<t BIGINT, v ARRAY<DOUBLE>>>``, a value per member in each row; NaN counts as NULL here,
+    as both come as NaN in a batch."""
+    return _encode_group(rows)
+
+
+def decoded_group(data: Column) -> Column:
+    return _decode_group(data)
+
+
 def encoded(samples: Column) -> Column:
     """Binary form of an ``ARRAY<STRUCT<t BIGINT, v DOUBLE>>``."""
     return _encode(samples)

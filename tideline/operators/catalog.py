@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.labels import label_key
+from tideline.operators.ids import dense_ids
+
 
 def postings(series: DataFrame) -> DataFrame:
     """``(name, value, series_id)`` of every label of every series, each once."""
@@ -38,9 +41,12 @@ def subtract(full: DataFrame, dropped: DataFrame) -> DataFrame:
     return full.distinct().join(dropped, "series_id", "left_anti")
 
 
-def expand(ids: DataFrame) -> list[int]:
-    """The ids of a list as Python values, in order; for small results."""
-    return [r.series_id for r in ids.orderBy("series_id").toLocalIterator()]
+def expand(ids: DataFrame, most: int = 100_000) -> list[int]:
+    """The ids of a list as Python values, in order; more than ``most`` of them are an error, they stay a frame."""
+    own = [r.series_id for r in ids.select("series_id").limit(most + 1).collect()]
+    if len(own) > most:
+        raise ValueError(f"more than {most} ids")
+    return sorted(own)
 
 
 def delete_ids(index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -53,6 +59,16 @@ def label_names(series: DataFrame) -> DataFrame:
     return series.select(F.explode(F.map_keys("labels")).alias("name")).distinct().orderBy("name")
 
 
+def union_names(catalogs: Sequence[DataFrame]) -> DataFrame:
+    """The label names of several catalogs, each once, sorted."""
+    return reduce(lambda a, b: a.unionByName(b), [label_names(c) for c in catalogs]).distinct().orderBy("name")
+
+
+def union_values(catalogs: Sequence[DataFrame], name: str) -> DataFrame:
+    """The values of one name over several catalogs, each once, sorted."""
+    return reduce(lambda a, b: a.unionByName(b), [label_values(c, name) for c in catalogs]).distinct().orderBy("value")
+
+
 def label_values(series: DataFrame, name: str) -> DataFrame:
     """All values of one label name, sorted. A NULL value is none."""
     value = F.try_element_at("labels", F.lit(name))
@@ -87,6 +103,18 @@ def partition_stats(samples: DataFrame) -> DataFrame:
     return per_series.groupBy("p_start").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("series"), F.min("a").alias("min_t"), F.max("b").alias("max_t"))
 
 
+def series_in_order(series: DataFrame) -> DataFrame:
+    """``(series_id, position)``: the series numbered in the order of their label sets, of equal sets by id."""
+    keyed = series.select("series_id", label_key(F.col("labels")).alias("label_key"))
+    return dense_ids(keyed, ["label_key", "series_id"], "position").select("series_id", "position")
+
+
+def approximate_size(samples: DataFrame, low: int, high: int) -> DataFrame:
+    """``(files, bytes)`` of the stored files that hold ids from ``low`` to ``high``; files count whole."""
+    files = samples.where(F.col("series_id").between(low, high)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def time_bounds(samples: DataFrame) -> DataFrame:
     """``(series_id, min_t, max_t, samples)`` per series."""
     return samples.groupBy("series_id").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.count(F.lit(1)).alias("samples"))

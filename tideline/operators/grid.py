@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.readings import day
 from tideline.session import cut_lineage
 
-BLOCK = 4096  # grid slots of one result that are put in order together
+BLOCK = 4096  # grid slots of one result that are put in order, or generated, together
+SALTS = 8  # tasks over which the samples of a result within a day may be spread
 
 
 def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
@@ -18,8 +20,11 @@ def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
     result with many samples is no heavy group afterwards.
     """
     grid = grids.select("id", "mint", "maxt", "step_ms")
+    # A result with most of the samples meets its grid in many tasks: by day and salt, of which the grid has a row each.
     rows = samples.select("id", "t", "v").where("v IS NOT NULL AND NOT isnan(v) AND t IS NOT NULL")
-    inside = rows.join(grid, "id").where("t BETWEEN mint AND maxt").selectExpr("id", "(t - mint) div step_ms AS slot", "t", "v")
+    rows = rows.withColumn("day", day()).withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
+    spread = grid.withColumn("day", F.explode(F.sequence(day("mint"), day("maxt")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = rows.join(spread, ["id", "day", "salt"]).where("t BETWEEN mint AND maxt").selectExpr("id", "(t - mint) div step_ms AS slot", "t", "v")
     return inside.groupBy("id", "slot").agg(
         F.min(F.struct("t", (-F.col("v")).alias("w"))).alias("head"),
         F.max(F.struct("t", "v")).alias("tail"),
@@ -27,6 +32,13 @@ def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
     ).select("id", "slot", F.col("head.t").alias("first_t"), (-F.col("head.w")).alias("first_v"), F.col("tail.t").alias("last_t"), F.col("tail.v").alias("last_v"), "n")
 
 
+def _slots(df: DataFrame, low: Column, high: Column) -> DataFrame:
+    """``df`` with ``at``, a row for each slot from ``low`` to ``high``, generated ``BLOCK`` at a time."""
+    bounded = df.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    pages = bounded.withColumn("_page", F.explode(F.expr(f"sequence(_low div {BLOCK}, _high div {BLOCK})")))
+    return pages.withColumn("at", F.explode(F.expr(f"sequence(greatest(_low, _page * {BLOCK}), least(_high, _page * {BLOCK} + {BLOCK - 1}))"))).drop("_low", "_high", "_page")
+
+
 def regular(grids: DataFrame, samples: DataFrame, max_gap_ms: int | None = None) -> DataFrame:
     """One row per grid slot of every result: ``(id, slot_t, v, n, state)``.
 
@@ -56,7 +68,7 @@ def regular(grids: DataFrame, samples: DataFrame, max_gap_ms: int | None = None)
     grid = valid.withColumn("last_slot", F.expr("(maxt - mint) div step_ms")).withColumn("max_gap", gap)
     # Each occupied slot yields itself and the empty slots up to the next occupied one.
     to = F.when(F.col("next").isNull(), F.col("last_slot")).otherwise(F.col("next.slot") - 1)
-    spread = paired.join(grid, "id").withColumn("at", F.explode(F.sequence("slot", to)))
+    spread = _slots(paired.join(grid, "id"), F.col("slot"), to)
     slot_t = F.col("mint") + F.col("at") * F.col("step_ms")
     share = (F.col("slot_t") - F.col("last_t")) / (F.col("next.first_t") - F.col("last_t"))
     line = F.col("last_v") + (F.col("next.first_v") - F.col("last_v")) * share
@@ -69,7 +81,7 @@ def regular(grids: DataFrame, samples: DataFrame, max_gap_ms: int | None = None)
     # Boundary before the first reading, and results without any.
     first = occupied.groupBy("id").agg(F.min(nxt).alias("head"))
     lead_in = grid.join(first, "id", "left").withColumn("until", F.coalesce(F.col("head.slot") - 1, F.col("last_slot"))).where("until >= 0")
-    lead_in = lead_in.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("until"))).alias("at")).withColumn("slot_t", slot_t)
+    lead_in = _slots(lead_in, F.lit(0).cast("bigint"), F.col("until")).withColumn("slot_t", slot_t)
     carried = F.when(F.col("head.first_t") - F.col("slot_t") <= F.col("max_gap"), F.col("head.first_v"))
     edge = lead_in.select("id", "slot_t", carried.alias("v"), F.lit(0).cast("bigint").alias("n"), F.when(F.col("head").isNull(), "none").otherwise("before").alias("state"))
     return body.unionByName(edge)

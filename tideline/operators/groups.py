@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from tideline.functions import labels as L
 from tideline.operators.matchers import Matcher, member_conjunction
-from tideline.operators.merge import last_write_wins
+from tideline.operators.merge import chain, last_write_wins
 
 
 def long_form(inserts: DataFrame, key: Sequence[str] = ("group_key",)) -> DataFrame:
     """``key, slot, t, v, seq``: one row per value of group inserts with ``slots, t, v, seq``.
 
     ``v`` runs parallel to ``slots``; an insert without slots gives all members, slot by position. A slot that an
-    insert does not name has no row, so partial inserts never overwrite other slots; a NULL value is a row.
-    Surplus values or slots of unequal arrays are left out.
+    insert does not name has no row, so partial inserts never overwrite other slots; a NULL value is a row. An
+    insert with slots but not one value for each is an error; :func:`malformed` finds such inserts beforehand.
     """
     slots = F.when(F.size(F.coalesce("slots", F.array().cast("array<int>"))) > 0, F.col("slots")).otherwise(F.transform("v", lambda _, i: i))
-    paired = inserts.withColumn("slots", slots).select(*key, "t", "seq", F.explode(F.arrays_zip("slots", "v")).alias("e"))
+    checked = F.when(F.size("slots") == F.size("v"), F.col("slots")).otherwise(F.raise_error(F.concat(F.lit("slots and values of a group insert differ in number, seq "), F.coalesce(F.col("seq").cast("string"), F.lit("NULL")))))
+    named = inserts.where("v IS NOT NULL").withColumn("slots", slots).withColumn("slots", checked)
+    paired = named.select(*key, "t", "seq", F.explode(F.arrays_zip("slots", "v")).alias("e"))
     return paired.where("e.slots IS NOT NULL").select(*key, F.col("e.slots").alias("slot"), "t", F.col("e.v").alias("v"), "seq")
 
 
+def malformed(inserts: DataFrame) -> DataFrame:
+    """The inserts that name slots but have not one value for each."""
+    return inserts.where((F.size("slots") > 0) & ~F.coalesce(F.size("slots") == F.size("v"), F.lit(False)))
+
+
 def members(inserts: DataFrame, key: str = "group_key") -> DataFrame:
     """``key, slot, labels`` of every member: label sets run parallel to slots; the earliest insert names a slot."""
     paired = inserts.where(F.size("lsets") > 0).select(key, "seq", F.posexplode("lsets").alias("pos", "labels"), "slots")
@@ -31,6 +38,19 @@ def members(inserts: DataFrame, key: str = "group_key") -> DataFrame:
     return paired.withColumn("slot", slot).groupBy(key, "slot").agg(F.min_by("labels", "seq").alias("labels"))
 
 
+def chained(chains: Sequence[DataFrame]) -> DataFrame:
+    """The values of several chunks of a group (``key, slot, t, v``) as they stand, a row for each; nothing is merged."""
+    return chain(chains)
+
+
+def concat(earlier: DataFrame, later: DataFrame, key: Sequence[str] = ("group_key",)) -> DataFrame:
+    """Two chunks of a group that do not overlap in time as one: ``key, slot, t, v`` with a NULL row where a member
+    of either chunk has no value at a time of the other."""
+    both = earlier.select(*key, "slot", "t", "v").unionByName(later.select(*key, "slot", "t", "v"))
+    slots, times = both.select(*key, "slot").distinct(), both.select(*key, "t").distinct()
+    return slots.join(times, list(key)).join(both, [*key, "slot", "t"], "left").select(*key, "slot", "t", "v")
+
+
 def assign_slots(named: DataFrame, key: str = "group_key") -> DataFrame:
     """``key, label_key, slot`` for inserts that name members by labels: numbered by first arrival within the group.
 

@@ -12,6 +12,11 @@ def in_bounds(t: Column, min_t: Column, max_t: Column) -> Column:
     return t.between(min_t, max_t)
 
 
+def same_intervals(a: Column, b: Column) -> Column:
+    """Whether two arrays of ``min_t, max_t`` hold the same intervals in the same order; two NULLs do, one does not."""
+    return a.eqNullSafe(b)
+
+
 def is_subrange(intervals: Column, min_t: Column | int, max_t: Column | int) -> Column:
     """Whether some interval of the array (of ``min_t, max_t``) holds both ends."""
     a, b = (x if isinstance(x, Column) else F.lit(x) for x in (min_t, max_t))
@@ -28,7 +33,8 @@ def delete(samples: DataFrame, tombs: DataFrame) -> DataFrame:
 
     After coalescing, the intervals of a series are disjoint, so the only one that can hold a time is the last
     that begins at or before it. The intervals of a series travel as one sorted array, joined by series, and
-    the sample is tested in place: an equality join of any size, no range join, no row is multiplied.
+    the sample is tested in place: an equality join of any size, no range join, no row is multiplied. Nothing
+    below rests on its partitioning, so a hot series can be split by the adaptive plan.
     """
     arrays = coalesce_intervals(tombs).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("min_t", "max_t"))).alias("_dead"))
     joined = samples.join(arrays, "series_id", "left")

@@ -7,19 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.labels import label_key
+
 
 def last_write_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: Sequence[str] = ("v",), non_null: bool = False) -> DataFrame:
     """One row per ``keys``: the ``values`` of the row that is greatest by ``order``.
 
-    ``order`` must be total for a defined result (of full ties any row may win). With ``non_null`` rows whose
-    values are NULL do not overwrite. One shuffle on ``keys``, reduced in the map tasks first. Keys may be
-    NULL; an empty input gives an empty result.
+    All values come from one row; of rows with equal ``order`` the one with the greatest ``values``, compared one
+    after the other. NULL counts as the least, so a row with a NULL ``order`` wins only where there is no other. With
+    ``non_null`` rows whose values are NULL do not overwrite. One shuffle on ``keys``, reduced in the map tasks
+    first. Keys may be NULL; an empty input gives an empty result.
     """
     if non_null:
         for v in values:
             df = df.where(F.col(v).isNotNull())
-    rank = order[0] if len(order) == 1 else F.struct(*order)
-    return df.groupBy(*keys).agg(*[F.max_by(v, rank).alias(v) for v in values])
+    ranked = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    return df.groupBy(*keys).agg(F.max(ranked).alias("_last")).select(*keys, *[F.col(f"_last.v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str], value: str = "v") -> DataFrame:
@@ -28,7 +31,16 @@ def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str], value: str
     whole = tagged[0]
     for more in tagged[1:]:
         whole = whole.unionByName(more)
-    return last_write_wins(whole, keys, ["_source", value], [value])
+    return last_write_wins(whole, keys, ["_source"], [value])
+
+
+def merge_by_labels(sources: Sequence[DataFrame]) -> DataFrame:
+    """``(label_key, t, v)`` of several selections (``labels, t, v``) whose ids differ: equal label sets are one series.
+
+    On equal times the later selection in the list wins. Rows are hashed by label set and time, so a series with most rows is spread.
+    """
+    keyed = [s.select(label_key(F.col("labels")).alias("label_key"), "t", "v") for s in sources]
+    return merge_sources(keyed, ["label_key", "t"])
 
 
 def chain(sources: Sequence[DataFrame]) -> DataFrame:
@@ -59,13 +71,18 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, adjacent:
     return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def coalesce_chunks(chunks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Overlapping chunks of a series merged: ``(series_id, min_t, max_t, n)``.
+def merged_chunks(chunks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Overlapping chunks of a series merged: their samples ``(series_id, island, t, v)``.
 
     ``chunks`` has ``series_id, chunk, min_t, max_t``, ``samples`` has ``series_id, chunk, t, v``; of equal times
-    the later chunk wins.
+    the later chunk wins. Chunks of one ``island`` overlap.
     """
     marked = islands(chunks, ["series_id"], "min_t", "max_t")
     owned = samples.join(marked.select("series_id", "chunk", "island"), ["series_id", "chunk"])
-    points = last_write_wins(owned, ["series_id", "island", "t"], ["chunk", "v"])
+    return last_write_wins(owned, ["series_id", "island", "t"], ["chunk"])
+
+
+def coalesce_chunks(chunks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Bounds and number of samples ``(series_id, min_t, max_t, n)`` of what :func:`merged_chunks` makes of the chunks."""
+    points = merged_chunks(chunks, samples)
     return points.groupBy("series_id", "island").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.count(F.lit(1)).alias("n")).drop("island")

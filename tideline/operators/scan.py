@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.labels import label_key
 from tideline.functions.timeutil import partition_floor
 from tideline.operators.matchers import Matcher, conjunction
 from tideline.operators.merge import last_write_wins
@@ -36,17 +37,25 @@ def resolve(series: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
 def select(series: DataFrame, samples: DataFrame, matchers: Sequence[Matcher], mint: int = 0, maxt: int = MAX_T, width: int | None = None, at: int | None = None) -> DataFrame:
     """Valid samples ``(series_id, labels, t, v)`` of the selected series in the inclusive range.
 
-    With ``at`` only rows of sequence numbers up to it are seen (a snapshot). Labels are filtered first; the join
+    With ``at`` only rows of sequence numbers up to it are seen (a snapshot). ``series`` are registrations as they stand; labels
+    are filtered first, and of the repeated registrations that are left one counts. The join
     reduces the samples before versions are merged, and labels are attached afterwards, so that the shuffle
     carries three numbers per row. The selected series are broadcast only where the planner's size
-    statistics allow it.
+    statistics allow it. Versions are grouped by the point as one key: that never rests on a partitioning
+    by series alone, so where both sides are shuffled a hot series can be split by the adaptive plan.
     """
-    chosen = resolve(series, matchers)
+    chosen = resolve(series, matchers).where(F.col("series_id").isNotNull()).groupBy("series_id").agg(F.any_value("labels", True).alias("labels"))
     rows = in_range(samples, mint, maxt, width)
     if at is not None:
         rows = rows.where(F.col("seq") <= at)
     own = rows.join(chosen.select("series_id"), "series_id", "left_semi")
-    return last_write_wins(own, ["series_id", "t"], ["seq"]).join(chosen.select("series_id", "labels"), "series_id")
+    last = last_write_wins(own.withColumn("point", F.struct("series_id", "t")), ["point"], ["seq"])
+    return last.select("point.series_id", "point.t", "v").join(chosen, "series_id").select("series_id", "labels", "t", "v")
+
+
+def ordered(selected: DataFrame) -> DataFrame:
+    """A selection in the order of label sets and time, as results are listed."""
+    return selected.orderBy(label_key(F.col("labels")), "series_id", "t")
 
 
 def select_all(series: DataFrame, samples: DataFrame, mint: int = 0, maxt: int = MAX_T) -> DataFrame:

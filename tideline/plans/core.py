@@ -47,6 +47,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "series_in").groupBy("series_id").agg(F.any_value("labels", True).alias("labels"))
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series_id, labels`` as registered, repeats included; selections filter them before they make them unique."""
+    return table(spark, sf_dir, "series_in")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "samples_in")
 
@@ -65,7 +70,7 @@ _TEXT = lambda m: f"'{{' || array_to_string(list_transform(list_sort(map_entries
 
 
 def _select(spark, sf_dir, matchers, a=0, b=60 * DAY, at=None) -> DataFrame:
-    return finite(scan.select(series(spark, sf_dir), samples(spark, sf_dir), matchers, T0 + a, T0 + b, at=at).select("series_id", "t", "v"))
+    return finite(scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), matchers, T0 + a, T0 + b, at=at).select("series_id", "t", "v"))
 
 
 _RANGE = lambda a, b: f"t BETWEEN {T0 + a} AND {T0 + b}"
@@ -115,7 +120,7 @@ def select_no_match(spark, sf_dir):
 
 @register(f"WITH {_SERIES}, {_LIVE} SELECT series_id, {_TEXT('labels')} AS labels, t, v FROM live JOIN series USING (series_id) WHERE {_RANGE(0, DAY)}")
 def select_all_with_labels(spark, sf_dir):
-    rows = scan.select_all(series(spark, sf_dir), samples(spark, sf_dir), T0, T0 + DAY)
+    rows = scan.select_all(registrations(spark, sf_dir), samples(spark, sf_dir), T0, T0 + DAY)
     return finite(rows.select("series_id", L.text(F.col("labels")).alias("labels"), "t", "v"))
 
 
@@ -123,7 +128,7 @@ def select_all_with_labels(spark, sf_dir):
 
 
 def _postings(spark, sf_dir):
-    return catalog.postings(series(spark, sf_dir))
+    return catalog.postings(registrations(spark, sf_dir))
 
 
 _IDS = lambda n, v: f"SELECT DISTINCT series_id FROM series_in WHERE labels['{n}'] = '{v}'"
@@ -143,12 +148,12 @@ def postings_union(spark, sf_dir):
 
 @register(f"SELECT DISTINCT series_id FROM series_in EXCEPT {_IDS('service_environment', 'production')}")
 def postings_subtract(spark, sf_dir):
-    return catalog.subtract(catalog.all_ids(series(spark, sf_dir)), catalog.lookup(_postings(spark, sf_dir), "service_environment", "production"))
+    return catalog.subtract(catalog.all_ids(registrations(spark, sf_dir)), catalog.lookup(_postings(spark, sf_dir), "service_environment", "production"))
 
 
 @register("SELECT DISTINCT series_id FROM series_in")
 def postings_all(spark, sf_dir):
-    return catalog.all_ids(series(spark, sf_dir))
+    return catalog.all_ids(registrations(spark, sf_dir))
 
 
 @register(_IDS("datacenter", "dc-n1"))
@@ -169,33 +174,33 @@ def postings_entries(spark, sf_dir):
 
 @register("SELECT DISTINCT unnest(map_keys(labels)) AS name FROM series_in")
 def label_names(spark, sf_dir):
-    return catalog.label_names(series(spark, sf_dir))
+    return catalog.label_names(registrations(spark, sf_dir))
 
 
 @register("SELECT DISTINCT labels['service_version'] AS value FROM series_in WHERE labels['service_version'] IS NOT NULL")
 def label_values(spark, sf_dir):
-    return catalog.label_values(series(spark, sf_dir), "service_version")
+    return catalog.label_values(registrations(spark, sf_dir), "service_version")
 
 
 @register("SELECT DISTINCT symbol FROM (SELECT unnest(list_concat(map_keys(labels), map_values(labels))) AS symbol FROM series_in) WHERE symbol IS NOT NULL")
 def symbols(spark, sf_dir):
-    return catalog.symbols(series(spark, sf_dir))
+    return catalog.symbols(registrations(spark, sf_dir))
 
 
 @register("WITH p AS (SELECT unnest(map_entries(labels), recursive := true) FROM series_in) SELECT DISTINCT key AS name, value FROM p")
 def label_pairs_sorted(spark, sf_dir):
-    return catalog.label_pairs(series(spark, sf_dir))
+    return catalog.label_pairs(registrations(spark, sf_dir))
 
 
 @register("SELECT DISTINCT labels['region'] AS region, labels['datacenter'] AS datacenter FROM series_in WHERE labels['region'] IS NOT NULL AND labels['datacenter'] IS NOT NULL")
 def label_tuple_values(spark, sf_dir):
-    return catalog.tuple_values(series(spark, sf_dir), ["region", "datacenter"])
+    return catalog.tuple_values(registrations(spark, sf_dir), ["region", "datacenter"])
 
 
 @register("SELECT DISTINCT value FROM (SELECT labels['os'] AS value FROM series_in UNION SELECT metric['os'] FROM query_in) WHERE value IS NOT NULL")
 def label_values_union(spark, sf_dir):
     other = table(spark, sf_dir, "query_in").select(F.col("metric").alias("labels"))
-    return catalog.label_values(series(spark, sf_dir), "os").unionByName(catalog.label_values(other, "os")).distinct()
+    return catalog.union_values([registrations(spark, sf_dir), other], "os")
 
 
 # Merging
@@ -265,9 +270,9 @@ def group_long_nonnull(spark, sf_dir):
     return finite(groups.non_null(groups.current(groups.long_form(_group_rows(spark, sf_dir)))))
 
 
-@register(f"WITH {_LONG} SELECT group_key, t, max(CASE WHEN slot = 0 THEN v END) AS s0, max(CASE WHEN slot = 1 THEN v END) AS s1, max(CASE WHEN slot = 2 THEN v END) AS s2 FROM cur GROUP BY 1, 2")
+@register(f"WITH {_LONG} SELECT group_key, t, {', '.join(f"max(CASE WHEN slot = {k} THEN v END) AS s{k}" for k in range(6))} FROM cur GROUP BY 1, 2")
 def group_wide_null_fill(spark, sf_dir):
-    return groups.wide(groups.current(groups.long_form(_group_rows(spark, sf_dir))), ["group_key"], [0, 1, 2])
+    return groups.wide(groups.current(groups.long_form(_group_rows(spark, sf_dir))), ["group_key"], range(6))
 
 
 @register(f"""WITH {_GROUP}, l AS (SELECT group_key, t, seq, unnest(CASE WHEN len(slots) > 0 THEN slots ELSE range(0, len(v)) END) AS slot, unnest(v) AS v FROM g)
@@ -307,7 +312,7 @@ def group_full_labels(spark, sf_dir):
 def _bench(spark, sf_dir, metrics, hosts, days, by):
     names = Eq("__name__", metrics[0]) if len(metrics) == 1 else Re("__name__", "|".join(metrics))
     where = [names] if hosts is None else [names, Eq("hostname", hosts[0]) if len(hosts) == 1 else Re("hostname", "|".join(hosts))]
-    rows = scan.select(series(spark, sf_dir), samples(spark, sf_dir), where, T0 + (45 - days) * DAY, T0 + 46 * DAY)
+    rows = scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), where, T0 + (45 - days) * DAY, T0 + 46 * DAY)
     return aggregate.bucketed(rows, DAY, by).select(*[F.col(c).alias(c.strip("_")) for c in by], "bucket", "max_v", "n")
 
 
@@ -337,25 +342,17 @@ _add_bench("tsbs_1_1_all", METRICS[:1], HOSTS[:1], 46, ["__name__", "hostname"])
 _add_bench("tsbs_5_1_all", METRICS, HOSTS[:1], 46, ["__name__", "hostname"])
 
 
-@register(f"""WITH {_SERIES}, {_LIVE} SELECT labels['hostname'] AS hostname, t // {DAY} * {DAY} AS bucket, round(avg(v) + 1e-8, 6) AS avg_v, count(*) AS n FROM live JOIN series USING (series_id)
-WHERE labels['__name__'] = 'cpu_busy_pct' AND v IS NOT NULL AND isfinite(v) AND abs(v) < 1e6 GROUP BY 1, 2""")
-def tsbs_double_groupby_1(spark, sf_dir):
-    """Averages of readings below 1e6 in size, as its SQL has it, rounded to 6 places; :func:`tsbs_double_groupby_1_all` takes all readings."""
-    rows = scan.select(series(spark, sf_dir), samples(spark, sf_dir), [Eq("__name__", "cpu_busy_pct")]).where(F.abs("v") < 1e6)
-    return aggregate.bucketed(rows, DAY, ["hostname"], "avg").withColumn("avg_v", F.round(F.col("avg_v") + 1e-8, 6))
-
-
 @register(f"""WITH {_SERIES}, {_LIVE}, a AS (SELECT labels['hostname'] AS hostname, t // {DAY} * {DAY} AS bucket, avg(v) AS avg_v, count(*) AS n FROM live JOIN series USING (series_id)
 WHERE labels['__name__'] = 'cpu_busy_pct' AND v IS NOT NULL GROUP BY 1, 2) SELECT hostname, bucket, {_SHORT_SQL} AS avg_v, n FROM a""")
-def tsbs_double_groupby_1_all(spark, sf_dir):
+def tsbs_double_groupby_1(spark, sf_dir):
     """Averages of all readings, infinite ones included, to seven significant digits."""
-    rows = scan.select(series(spark, sf_dir), samples(spark, sf_dir), [Eq("__name__", "cpu_busy_pct")])
+    rows = scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), [Eq("__name__", "cpu_busy_pct")])
     return finite(aggregate.bucketed(rows, DAY, ["hostname"], "avg").withColumn("avg_v", F.expr(_SHORT)), "avg_v")
 
 
 def _high(spark, sf_dir, hosts):
     where = [Eq("__name__", "cpu_busy_pct"), *([Eq("hostname", hosts[0])] if hosts else [])]
-    return scan.select(series(spark, sf_dir), samples(spark, sf_dir), where).where("v > 50 AND NOT isnan(v)").select("series_id", "t", "v")
+    return scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), where).where("v > 50 AND NOT isnan(v)").select("series_id", "t", "v")
 
 
 @register(f"{_FROM} WHERE labels['__name__'] = 'cpu_busy_pct' AND labels['hostname'] = 'node-shared' AND v > 50")
@@ -455,12 +452,14 @@ def label_string(spark, sf_dir):
 
 @register(f"""WITH {_SERIES} SELECT {_TEXT("map_from_entries(list_filter(map_entries(labels), lambda e: e.key IN ('region', 'os')))")} AS by_labels, count(*) AS n FROM series GROUP BY 1""")
 def label_hash_by(spark, sf_dir):
-    return series(spark, sf_dir).groupBy(L.text(L.only(F.col("labels"), ["region", "os"])).alias("by_labels")).agg(F.count(F.lit(1)).alias("n"))
+    own = L.only(F.col("labels"), ["region", "os"])
+    return series(spark, sf_dir).groupBy(L.identity(own).alias("h")).agg(F.min(L.text(own)).alias("by_labels"), F.count(F.lit(1)).alias("n")).drop("h")
 
 
 @register(f"""WITH {_SERIES} SELECT {_TEXT("map_from_entries(list_filter(map_entries(labels), lambda e: e.key NOT IN ('hostname', 'instance', '__name__')))")} AS rest, count(*) AS n FROM series GROUP BY 1""")
 def label_hash_without(spark, sf_dir):
-    return series(spark, sf_dir).groupBy(L.text(L.without(F.col("labels"), ["hostname", "instance"])).alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+    own = L.without(F.col("labels"), ["hostname", "instance"])
+    return series(spark, sf_dir).groupBy(L.identity(own).alias("h")).agg(F.min(L.text(own)).alias("rest"), F.count(F.lit(1)).alias("n")).drop("h")
 
 
 @register(f"""WITH {_SERIES} SELECT series_id, {_TEXT("map_from_entries(list_concat(list_filter(map_entries(labels), lambda e: e.key <> 'team'), CASE WHEN list_contains(map_keys(labels), 'rack') THEN [] ELSE [{'key': 'rack', 'value': 'none'}] END))")} AS labels FROM series""")
@@ -491,14 +490,13 @@ def series_id_assignment(spark, sf_dir):
 @register("SELECT seq, t, len(v)::INT AS n, v[1] AS first_v FROM group_in WHERE len(slots) >= 0")
 def wire_insert_parse(spark, sf_dir):
     rows = table(spark, sf_dir, "group_in").select("seq", F.to_json(F.struct(F.lit(1).alias("type"), "lsets", "slots", "t", "v")).alias("value"))
-    parsed = rows.select("seq", F.from_json("value", wire.INSERT, {"allowNonNumericNumbers": "true"}).alias("r"))
-    return parsed.select("seq", "r.t", F.size("r.v").alias("n"), F.get("r.v", F.lit(0)).alias("first_v"))
+    return wire.parse_inserts(rows, keep=["seq"]).select("seq", "t", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first_v"))
 
 
 @register(f"WITH {_SERIES}, {_LIVE} SELECT series_id, labels['hostname'] AS hostname, t, v FROM live JOIN series USING (series_id) WHERE labels['__name__'] = 'board_temp_c' AND v IS NOT NULL AND isfinite(v)")
 def wire_query_encode(spark, sf_dir):
     where, mint, maxt, metric = wire.parse_query('{"matchers": {"__name__": "board_temp_c"}, "mint": 0, "maxt": 9000000000000}')
-    rows = scan.select(series(spark, sf_dir), samples(spark, sf_dir), where, mint, maxt).where(F.abs("v") < float("inf"))
+    rows = scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), where, mint, maxt).where(F.abs("v") < float("inf"))
     back = wire.decode_results(wire.encode_results(rows, metric))
     return back.select("series_id", aggregate.label("hostname").alias("hostname"), "t", "v")
 
@@ -543,7 +541,7 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _late_store(spark, sf_dir, batches: int = 4) -> Store:
+def _late_store(spark, sf_dir, batches: int = 4, snapshot: int | None = None) -> Store:
     """All samples in batches of equal spans of ``seq``, the order of arrival, so what is late or rewritten later comes in a later batch; compacted in place."""
     store = Store(spark, _fresh(spark, "store"), 30 * DAY)
     series(spark, sf_dir).withColumn("label_key", L.label_key(F.col("labels"))).withColumn("batch", F.lit(0).cast("bigint")).write.parquet(store.root + "/series")
@@ -554,7 +552,7 @@ def _late_store(spark, sf_dir, batches: int = 4) -> Store:
     for k in range(batches):
         after = arrived >= edges[k - 1] if k else F.lit(True)
         store.append(rows.where(after & (arrived < edges[k] if k < batches - 1 else F.lit(True))), k)
-    store.compact(1)  # every partition, also those that one batch filled
+    store.compact(1, snapshot)  # every partition, also those that one batch filled
     return store
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import labels as L
+from tideline.operators.ids import dense_ids
 
 
 def devops_lines(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:
@@ -29,9 +30,13 @@ def json_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """``line, values``: each line's comma-separated numbers; what is no number is NULL."""
+    """``line, values``: each line's number, from 1, and its comma-separated numbers; what is no number is NULL.
+
+    Several files are numbered through in the order in which they are read.
+    """
     values = F.transform(F.split("value", ","), lambda x: x.try_cast("double"))
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), values.alias("values"))
+    placed = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), values.alias("values"))
+    return dense_ids(placed, ["_at"], "line").select("line", "values")
 
 
 def block_meta(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,23 @@
 """A store of labelled series: Parquet partitioned by time, append with late data, merge on read, compaction, retention.
 
 Layout under a root: ``samples/p_start=<ms>/`` (``series_id, t, v, seq, batch``), ``series/`` (``series_id, labels,
-label_key, batch``), ``members/`` (``group_key, slot, series_id``) and ``tombs/`` (``series_id, min_t, max_t``). Samples are only ever appended; versions are merged
-when read, or in place by :meth:`compact`. There is one writer at a time; readers see whole batches.
+label_key, batch``), ``members/`` (``group_key, slot, series_id``), ``tombs/`` (``series_id, min_t, max_t``) and ``commits/``, an empty file
+per committed batch of a writer. Samples are only ever appended; versions are merged when read, or by :meth:`compact`.
+
+Every write of samples goes to ``staging/`` first. Its files are then moved to their partitions under names that begin with
+the writer and batch, files of an earlier attempt at the same batch are removed, and the batch is committed last;
+so a batch that is delivered again, committed or half done, is there once. New files replace old ones by being added before
+the old ones go: at any moment every version is stored at least once, and a version stored twice is read as one. Writers have
+names and their own batch numbers; they may append at the same time, but series are registered, and partitions compacted or
+purged, by one process at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +46,13 @@ class Store:
         return f"{self.root}/{name}"
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(path)
+        return self._files().exists(self._hadoop(name))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
+            if not self._exists(f"{name}-old"):
+                return self.spark.createDataFrame([], schema)
+            name = f"{name}-old"  # a replacement was interrupted
         return self.spark.read.schema(schema).parquet(self._path(name))
 
     def samples(self) -> DataFrame:
@@ -55,11 +65,65 @@ class Store:
     def tombs(self) -> DataFrame:
         return self._read("tombs", TOMBS)
 
-    def last_batch(self) -> int:
-        """The number of the last committed batch, -1 before the first."""
-        if not self._exists("samples"):
-            return -1
-        return self.samples().agg(F.max("batch")).first()[0] or 0
+    def _files(self):
+        """The file system of the store."""
+        return self._hadoop("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _hadoop(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _listed(self, name: str) -> list[str]:
+        """The names under a folder of the store; none if it is not there."""
+        return [s.getPath().getName() for s in self._files().listStatus(self._hadoop(name))] if self._exists(name) else []
+
+    @staticmethod
+    def _commit_name(batch: int, writer: str) -> str:
+        name = quote(writer, safe="")
+        return f"w-{name if len(name) <= 80 else hashlib.sha256(name.encode()).hexdigest()}.{batch}"
+
+    def committed(self, batch: int, writer: str = "main") -> bool:
+        """Whether the batch of that number of that writer is stored; other writers have numbers of their own."""
+        return self._exists(f"commits/{self._commit_name(batch, writer)}")
+
+    def commits(self) -> list[tuple[str, int]]:
+        """Writer and number of every committed batch; a long name of a writer as its hash."""
+        names = [n[2:].rpartition(".") for n in self._listed("commits") if n.startswith("w-")]
+        return sorted((unquote(writer), int(batch)) for writer, _, batch in names)
+
+    def _put(self, rows: DataFrame, key: str) -> dict[str, set[str]]:
+        """Write rows beside the partitions and move the files in; the names of the files by partition.
+
+        Rows are range-partitioned by series and time within their partition, so files are even and a hot series is in many.
+        """
+        staging = f"staging/{key}"
+        placed = rows.select("series_id", "t", "v", "seq", "batch", "p_start").repartitionByRange("p_start", "series_id", "t").sortWithinPartitions("p_start", "series_id", "t")
+        placed.write.mode("overwrite").partitionBy("p_start").parquet(self._path(staging))
+        files, moved = self._files(), {}
+        for part in self._listed(staging):
+            if not part.startswith("p_start="):
+                continue
+            files.mkdirs(self._hadoop(f"samples/{part}"))
+            for k, name in enumerate(sorted(n for n in self._listed(f"{staging}/{part}") if n.endswith(".parquet"))):
+                target = f"{key}-{k}.parquet"
+                files.delete(self._hadoop(f"samples/{part}/{target}"), False)
+                if not files.rename(self._hadoop(f"{staging}/{part}/{name}"), self._hadoop(f"samples/{part}/{target}")):
+                    raise OSError(f"could not move {name} into {part}")
+                moved.setdefault(part, set()).add(target)
+            for name in self._listed(f"samples/{part}"):
+                if name.startswith(f"{key}-") and name not in moved.get(part, set()):
+                    files.delete(self._hadoop(f"samples/{part}/{name}"), False)
+        files.delete(self._hadoop(staging), True)
+        return moved
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """A small table written beside the old one, which gives its place up only then; a crash leaves one of them."""
+        files, fresh, old = self._files(), f"{name}-new", f"{name}-old"
+        rows.write.mode("overwrite").parquet(self._path(fresh))
+        files.delete(self._hadoop(old), True)
+        if self._exists(name):
+            files.rename(self._hadoop(name), self._hadoop(old))
+        files.rename(self._hadoop(fresh), self._hadoop(name))
+        files.delete(self._hadoop(old), True)
 
     def register(self, labelled: DataFrame, batch: int) -> DataFrame:
         """Get or create: ``labelled`` (``labels``, ``seq``, ...) with the ``series_id`` of its label set.
@@ -77,25 +141,33 @@ class Store:
         every = known.select("series_id", "label_key").unionByName(created.select("series_id", "label_key"))
         return keyed.join(every, "label_key").drop("label_key")
 
-    def append(self, samples: DataFrame, batch: int) -> None:
-        """Add samples ``series_id, t, v, seq`` as one batch. A batch that is there already is not written again."""
-        if batch <= self.last_batch():
-            return
+    def append(self, samples: DataFrame, batch: int, writer: str = "main") -> bool:
+        """Add samples ``series_id, t, v, seq`` as one batch of a writer; False if that very batch is there already.
+
+        Batches of one writer may come in any order. Rows with a NULL series or time are an error.
+        """
+        if self.committed(batch, writer):
+            return False
         rows = scan.with_partition(samples.select("series_id", "t", "v", "seq"), self.width).withColumn("batch", F.lit(batch).cast("bigint"))
-        sorted_rows = rows.repartition("p_start", F.pmod(F.xxhash64("series_id"), F.lit(8))).sortWithinPartitions("p_start", "series_id", "t")
-        sorted_rows.write.mode("append").partitionBy("p_start").parquet(self._path("samples"))
+        checked = rows.withColumn("p_start", F.when(F.col("series_id").isNotNull() & F.col("t").isNotNull(), F.col("p_start")).otherwise(F.raise_error(F.lit("a sample needs a series and a time"))))
+        self._put(checked, self._commit_name(batch, writer))
+        self._files().create(self._hadoop(f"commits/{self._commit_name(batch, writer)}"), True).close()
+        return True
 
-    def add(self, labelled: DataFrame, batch: int) -> DataFrame:
-        """Samples by labels (``labels, t, v, seq``): registers new series, appends, and returns the ids."""
+    def add(self, labelled: DataFrame, batch: int, writer: str = "main") -> DataFrame:
+        """Samples by labels (``labels, t, v, seq``): registers new series, appends, and returns the ids.
+
+        Series come before samples, as they stay whatever becomes of these.
+        """
         known = self.register(labelled, batch)
-        self.append(known, batch)
+        self.append(known, batch, writer)
         return known.select("series_id", "labels").dropDuplicates(["series_id"])
 
     def members(self) -> DataFrame:
         """``(group_key, slot, series_id)`` of the group members known so far."""
         return self._read("members", MEMBERS)
 
-    def add_groups(self, inserts: DataFrame, batch: int) -> DataFrame:
+    def add_groups(self, inserts: DataFrame, batch: int, writer: str = "main") -> DataFrame:
         """Group inserts (``group_labels, lsets, slots, t, v, seq``); returns values of slots that no insert ever named.
 
         A member is a series with the labels of its group and its own; the first insert that names a slot
@@ -108,13 +180,13 @@ class Store:
         created = cut_lineage(self.register(fresh, batch).select("group_key", "slot", "series_id"))
         created.write.mode("append").parquet(self._path("members"))
         values = groups.long_form(rows)
-        self.append(values.join(self.members(), ["group_key", "slot"]), batch)
+        self.append(values.join(self.members(), ["group_key", "slot"]), batch, writer)
         return values.join(self.members(), ["group_key", "slot"], "left_anti")
 
-    def add_fast(self, samples: DataFrame, batch: int) -> DataFrame:
+    def add_fast(self, samples: DataFrame, batch: int, writer: str = "main") -> DataFrame:
         """Samples by id; returns those of unknown series, which are not stored."""
         ids = self.series().select("series_id")
-        self.append(samples.join(ids, "series_id", "left_semi"), batch)
+        self.append(samples.join(ids, "series_id", "left_semi"), batch, writer)
         return samples.join(ids, "series_id", "left_anti")
 
     def rollback(self, labelled: DataFrame, batch: int) -> None:
@@ -122,26 +194,38 @@ class Store:
         self.register(labelled, batch)
 
     def delete(self, tombs: DataFrame) -> None:
+        """Delete intervals ``series_id, min_t, max_t``, both ends included."""
         tombs.select("series_id", "min_t", "max_t").write.mode("append").parquet(self._path("tombs"))
 
+    def delete_matching(self, matchers: Sequence[Matcher], mint: int, maxt: int) -> None:
+        """Delete the samples of the matching series in the inclusive range; series registered later are not concerned."""
+        chosen = scan.resolve(self.series(), matchers).select("series_id").distinct()
+        self.delete(chosen.select("series_id", F.lit(mint).cast("bigint").alias("min_t"), F.lit(maxt).cast("bigint").alias("max_t")))
+
     def query(self, matchers: Sequence[Matcher], mint: int = 0, maxt: int = scan.MAX_T, at: int | None = None) -> DataFrame:
         """Valid samples of the matching series, without deleted ones; ``at`` limits the sequence numbers seen."""
         rows = scan.select(self.series(), self.samples(), matchers, mint, maxt, self.width, at)
         return intervals.delete(rows, self.tombs()) if self._exists("tombs") else rows
 
-    def compact(self, min_files: int = 3) -> list[int]:
-        """Merge the versions of partitions that hold at least ``min_files`` batches; their numbers are returned.
+    def compact(self, min_files: int = 3, snapshot: int | None = None, between: tuple[int, int] | None = None) -> list[int]:
+        """Merge the versions of partitions that hold at least ``min_files`` files; their numbers are returned.
 
-        Each partition is replaced as a whole. The list of partitions is metadata, one number per time span.
+        ``snapshot`` is the oldest sequence number that reads still ask for: versions after it are kept, and the
+        newest up to it. ``between`` limits the work to partitions that begin in that inclusive range. The merged files are written
+        beside the old ones, moved in, and only then do the old ones go. The list of partitions and files is metadata.
         """
-        due = self.samples().groupBy("p_start").agg(F.count_distinct("batch").alias("n")).where(F.col("n") >= min_files)
-        starts = sorted(r.p_start for r in due.select("p_start").collect())
-        if starts:
-            old = self.samples().where(F.col("p_start").isin(starts))
-            merged = cut_lineage(last_write_wins(old, ["p_start", "series_id", "t"], ["seq"], ["v", "seq", "batch"]))
-            tidy = merged.repartition("p_start", F.pmod(F.xxhash64("series_id"), F.lit(8))).sortWithinPartitions("p_start", "series_id", "t")
-            tidy.select("series_id", "t", "v", "seq", "batch", "p_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p_start").parquet(self._path("samples"))
-        return starts
+        parts = [p for p in self._listed("samples") if p.startswith("p_start=")]
+        starts = {int(p.split("=")[1]): [n for n in self._listed(f"samples/{p}") if n.endswith(".parquet")] for p in parts}
+        due = {s: names for s, names in starts.items() if len(names) >= min_files and (between is None or between[0] <= s <= between[1])}
+        if due:
+            old = self.samples().where(F.col("p_start").isin(list(due)))
+            kept = F.when(F.col("seq") > snapshot, F.col("seq")) if snapshot is not None else F.lit(None).cast("bigint")
+            merged = last_write_wins(old.withColumn("kept", kept), ["p_start", "series_id", "t", "kept"], ["seq"], ["v", "seq", "batch"])
+            self._put(merged, f"compact-{uuid.uuid4().hex}")
+            for s, names in due.items():
+                for name in names:
+                    self._files().delete(self._hadoop(f"samples/p_start={s}/{name}"), False)
+        return sorted(due)
 
     def purge(self, ts: int) -> None:
         """Retention: partitions that end at or before ``ts`` are dropped, and series without a later sample.
@@ -150,14 +234,10 @@ class Store:
         purged series leave the catalog with them.
         """
         keep = self.samples().select("series_id", "t").groupBy("series_id").agg(F.max("t").alias("max_t"))
-        kept = cut_lineage(self.series().join(intervals.purge_series(keep, ts), "series_id", "left_semi"))
-        kept.write.mode("overwrite").parquet(self._path("series"))
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("samples"))
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in files.listStatus(hadoop) if files.exists(hadoop) else []:
-            name = status.getPath().getName()
+        self._replace("series", self.series().join(intervals.purge_series(keep, ts), "series_id", "left_semi"))
+        for name in self._listed("samples"):
             if name.startswith("p_start=") and int(name.split("=")[1]) + self.width <= ts:
-                files.delete(status.getPath(), True)
+                self._files().delete(self._hadoop(f"samples/{name}"), True)
 
     def properties(self) -> DataFrame:
         """``(p_start, files, batches, samples, bytes)`` of each partition."""

@@ -1,7 +1,8 @@
 """Continuous ingest: every micro-batch becomes one committed batch of the store.
 
 No watermark: late and out-of-order samples are never dropped, as the last write wins on read. A batch that is
-delivered again after a failure is recognised by its number and not written twice.
+delivered again after a failure is recognised by its number and not written twice. Numbers are those of one stream,
+so each stream into a store writes under a name of its own.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return raw.select(F.col("value").cast("string").alias("value"))
 
 
-def into_store(stream: DataFrame, store: Store, checkpoint: str, by_labels: bool = False, once: bool = True) -> StreamingQuery:
-    """Start writing a stream of ``series_id, t, v, seq`` (or ``labels, t, v, seq``) into the store."""
+def into_store(stream: DataFrame, store: Store, checkpoint: str, by_labels: bool = False, once: bool = True, writer: str | None = None) -> StreamingQuery:
+    """Start writing a stream of ``series_id, t, v, seq`` (or ``labels, t, v, seq``) into the store.
+
+    ``writer`` names the stream in the store's commits; by default that is its checkpoint folder, which numbers its batches.
+    """
 
     def commit(rows: DataFrame, batch: int) -> None:
-        (store.add if by_labels else store.append)(rows, batch)
+        (store.add if by_labels else store.append)(rows, batch, writer or checkpoint)
 
-    writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    sink = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    return (sink.trigger(availableNow=True) if once else sink).start()
 
 
 def json_inserts(lines: DataFrame) -> DataFrame:
