@@ -21,17 +21,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tideline.operators.ids import dense_ids
-from tideline.session import cut_lineage
+from tideline.session import cut_lineage, written
 
 GATHER = 4_096  # values of a group that are put in order in one task
 HELD = 60_000  # open percentiles whose ranges and pivots (some 50 bytes each) are sent to all tasks
 REWRITE = 3  # rounds after which the blocks are written again without the values that are ruled out
 LONG = 2_048  # values from which a block is searched by bisection
 SALTS = 16  # over which the memberships of a large group are spread
+PACKED = "part long, data array<double>, gids array<bigint>"
 PROPOSALS = "k long, below long, same long, low_median double, low_n long, high_median double, high_n long"
 
 Asked = dict[int, list[tuple[int, float, float, float]]]  # group to (k, low, high, pivot); bounds exclusive, NaN for none
@@ -195,13 +196,13 @@ def _remaining(asked: Asked | None):
     return gather
 
 
-def _run(packed: DataFrame, open_: DataFrame, few: bool, function: Callable, schema: str) -> DataFrame:
-    """``function`` over the blocks, knowing the open rows: with its code if they are ``few``, else joined to the blocks."""
+def _ask(packed: DataFrame, open_: DataFrame | list[Row], function: Callable, schema: str) -> DataFrame:
+    """``function`` over the blocks, knowing the open rows: with its code if they are a list, else joined to the blocks."""
     columns = ["gid", "k", "low", "high", "pivot"]
-    if few:
+    if isinstance(open_, list):
         asked: Asked = {}
         nan = lambda x: float("nan") if x is None else x
-        for r in open_.select(*columns).collect():
+        for r in open_:
             asked.setdefault(r.gid, []).append((r.k, nan(r.low), nan(r.high), nan(r.pivot)))
         return packed.mapInArrow(function(asked), schema)
     # A large group has many blocks: its open rows are repeated over salts, so that no task gets all of them.
@@ -230,41 +231,72 @@ def multi_select(packed: DataFrame, sizes: DataFrame, percentiles: Sequence[floa
     null = F.lit(None).cast("double")
     ranks = F.array(*[F.struct(F.lit(i).alias("q"), _nearest_rank("n", p).alias("rank")) for i, p in enumerate(percentiles)])
     state = sizes.select("gid", "n", F.inline(ranks)).select("gid", (F.col("gid") * wide + F.col("q")).alias("k"), "q", null.alias("low"), null.alias("high"), "rank", "n", null.alias("pivot"), null.alias("x"))
-    state, fresh, rounds = cut_lineage(state), True, 0
-    while True:
-        open_ = state.where("x IS NULL")
-        count = open_.agg(F.count(F.lit(1)).alias("all"), F.count_if((F.col("n") > GATHER) | F.lit(fresh)).alias("searched")).first()
-        few = count["all"] <= HELD
-        if not count["searched"]:
-            break
-        if rounds and rounds % REWRITE == 0:
-            packed = cut_lineage(_run(packed, open_, few, _narrow, "part long, data array<double>, gids array<bigint>"))
-        counted = _run(packed, open_.where((F.col("n") > GATHER) | F.lit(fresh)), few, _count, PROPOSALS)
-        side = lambda s: F.collect_list(F.when(F.col(f"{s}_n") > 0, F.struct(F.col(f"{s}_median").alias("x"), F.col(f"{s}_n").cast("double").alias("w")))).alias(f"{s}_side")
-        both = counted.groupBy("k").agg(F.sum("below").alias("below"), F.sum("same").alias("same"), side("low"), side("high"))
-        now = state.join(both, "k", "left")
-        under = (F.col("rank") <= F.col("below")) | F.col("pivot").isNull()
-        hit = ~under & (F.col("rank") <= F.col("below") + F.col("same"))
-        pick = lambda at_first, less, equal, more: F.when(F.col("below").isNull(), at_first).when(hit, equal).when(under, less).otherwise(more)
-        passed = F.col("below") + F.col("same")
-        state = cut_lineage(
-            now.select(
-                "gid", "k", "q",
-                pick(F.col("low"), F.col("low"), F.col("low"), F.col("pivot")).alias("low"),
-                pick(F.col("high"), F.coalesce("pivot", "high"), F.col("high"), F.col("high")).alias("high"),
-                pick(F.col("rank"), F.col("rank"), F.col("rank"), F.col("rank") - passed).alias("rank"),
-                pick(F.col("n"), F.col("below"), F.col("n"), F.col("n") - passed).alias("n"),
-                pick(F.col("pivot"), F.expr(_median_of("low_side")), F.col("pivot"), F.expr(_median_of("high_side"))).alias("pivot"),
-                pick(F.col("x"), F.col("x"), F.col("pivot"), F.col("x")).alias("x"),
-            )
-        )
-        fresh, rounds = False, rounds + 1
-    rest = _run(packed, state.where("x IS NULL"), few, _remaining, "k long, data array<double>")
+    few = state.limit(HELD + 1).count() <= HELD
+    search = _search_few if few else _search_many
+    state, packed = search(packed, state)
+    rest = _ask(packed, state.where("x IS NULL").collect() if few else state.where("x IS NULL"), _remaining, "k long, data array<double>")
     ordered = rest.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data"))
     last = state.join(ordered, "k", "left")
     return last.select("gid", "q", F.coalesce("x", F.try_element_at("data", F.col("rank").cast("int"))).alias("x"))
 
 
+def _proposed(packed: DataFrame, open_: DataFrame | list[Row]) -> DataFrame:
+    """``k, below, same, low_pivot, high_pivot``: the counts of a round, and the weighted medians of what was proposed on either side."""
+    side = lambda s: F.collect_list(F.when(F.col(f"{s}_n") > 0, F.struct(F.col(f"{s}_median").alias("x"), F.col(f"{s}_n").cast("double").alias("w")))).alias(s)
+    both = _ask(packed, open_, _count, PROPOSALS).groupBy("k").agg(F.sum("below").alias("below"), F.sum("same").alias("same"), side("low"), side("high"))
+    return both.select("k", "below", "same", F.expr(_median_of("low")).alias("low_pivot"), F.expr(_median_of("high")).alias("high_pivot"))
+
+
+def _narrowed(state: DataFrame) -> DataFrame:
+    """Open rows with their counts, after the part of the range was discarded in which the wanted rank is not.
+
+    Rows without counts stay as they are. In its first round a row has no pivot yet and only gets one.
+    """
+    passed = F.col("below") + F.col("same")
+    under = (F.col("rank") <= F.col("below")) | F.col("pivot").isNull()
+    hit = ~under & (F.col("rank") <= passed)
+    pick = lambda as_it_was, less, equal, more: F.when(F.col("below").isNull(), as_it_was).when(hit, equal).when(under, less).otherwise(more)
+    low, high, rank, n, pivot, x = (F.col(c) for c in ("low", "high", "rank", "n", "pivot", "x"))
+    return state.select(
+        "gid", "k", "q",
+        pick(low, low, low, pivot).alias("low"),
+        pick(high, F.coalesce("pivot", "high"), high, high).alias("high"),
+        pick(rank, rank, rank, rank - passed).alias("rank"),
+        pick(n, F.col("below"), n, n - passed).alias("n"),
+        pick(pivot, F.col("low_pivot"), pivot, F.col("high_pivot")).alias("pivot"),
+        pick(x, x, pivot, x).alias("x"),
+    )
+
+
+def _search_few(packed: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rounds, with what is open held between them: at most ``HELD`` rows. One job a round."""
+    spark, schema = packed.sparkSession, state.schema
+    held, rounds = state.collect(), 0
+    while True:
+        searched = [r for r in held if r.x is None and (r.n > GATHER or not rounds)]
+        if not searched:
+            return spark.createDataFrame(held, schema), packed
+        if rounds and rounds % REWRITE == 0:
+            packed = cut_lineage(_ask(packed, [r for r in held if r.x is None], _narrow, PACKED))
+        now = _proposed(packed, searched).join(F.broadcast(spark.createDataFrame(searched, schema)), "k")
+        new = {r.k: r for r in _narrowed(now).collect()}
+        held, rounds = [new.get(r.k, r) for r in held], rounds + 1
+
+
+def _search_many(packed: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rounds, with what is open as a table that is joined to the blocks, whatever its size."""
+    state, rounds = cut_lineage(state), 0
+    while True:
+        open_ = state.where("x IS NULL")
+        searched = open_ if not rounds else open_.where(F.col("n") > GATHER)
+        if searched.isEmpty():
+            return state, packed
+        if rounds and rounds % REWRITE == 0:
+            packed = cut_lineage(_ask(packed, open_, _narrow, PACKED))
+        state = cut_lineage(_narrowed(state.join(_proposed(packed, searched), "k", "left")))
+        rounds += 1
+
+
 def group_percentiles(parts: DataFrame, members: DataFrame, source: str, keys: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
     """``keys, n`` and ``p<100 q>`` for each percentile ``q``: the value of nearest rank, ceil(q n), of each group.
 
@@ -277,15 +309,17 @@ def group_percentiles(parts: DataFrame, members: DataFrame, source: str, keys: S
     their groups by block, not by source.
     """
     parts = cut_lineage(parts.where(F.col(source).isNotNull()).select(source, "data", "n").withColumn("part", F.monotonically_increasing_id()))
-    membership = members.select(source, *keys).where(F.col(source).isNotNull()).distinct()
     per_source = parts.groupBy(source).agg(F.sum("n").alias("n"))
-    totals = cut_lineage(membership.join(per_source, source).groupBy(*keys).agg(F.sum("n").alias("n")))
+    tags = members.where(F.col(source).isNotNull()).groupBy(source).agg(F.collect_set(F.struct(*keys)).alias("_tags"))
+    # Names and values recur, so a table in columns is small; it is read three times.
+    membership = written(tags.join(per_source, source)).select(source, F.col("n").alias("_n"), F.inline("_tags"))
+    totals = written(membership.groupBy(*keys).agg(F.sum("_n").alias("n")))
     large = cut_lineage(dense_ids(totals.where(F.col("n") > GATHER), [*keys, "n"], "gid"))
     spread = large.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "gid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salt = F.pmod(F.xxhash64(F.col(source)), F.lit(SALTS)).cast("int")
     match = [membership[k].eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)] + [salt == F.col("_salt")]
     names = [f"p{100 * q:g}".replace(".", "_") for q in percentiles]
-    few = membership.join(spread, match, "left_anti")
+    few = membership.drop("_n").join(spread, match, "left_anti")
     ordered = few.join(parts.where(F.col("n") <= GATHER), source).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("data"))).alias("data"))
     ordered = ordered.withColumn("n", F.size("data").cast("bigint"))
     result = ordered.select(*keys, "n", *[F.element_at("data", _nearest_rank("n", q).cast("int")).alias(name) for q, name in zip(percentiles, names, strict=True)])
