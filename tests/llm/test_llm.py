@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 from conftest import rows
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -64,6 +64,14 @@ def test_combinations_equal_direct_counts(spark):
     assert len(got) == 4 + 2 + 2 + 1
 
 
+def test_error_bounds_hold(spark):
+    data = spark.range(3000 * 40).select((F.col("id") % 3000).alias("k"), "id").where("id div 3000 < k div 75")
+    counts = distinct.distinct_counts(data, ["k"], "id", 10).withColumn("bound", distinct.error_bound(F.col("estimate"), 10))
+    exact = {r.k: r.n for r in data.groupBy("k").agg(F.count("id").alias("n")).collect()}
+    outside = [r for r in counts.collect() if abs(r.estimate - exact[r.k]) > r.bound]
+    assert len(exact) > 2900 and len(outside) <= 3
+
+
 def test_distinct_of_nothing(spark):
     data = spark.createDataFrame([(None, "k")], "id bigint, k string")
     assert distinct.distinct_counts(data, ["k"], "id").count() == 0
@@ -230,6 +238,27 @@ def test_packing(spark, monkeypatch, task):
     assert again == {(r.id, r.part): r.container for r in got}
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_least_containers(spark, sizes):
+    best = [len(sizes)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + sizes[i] <= 20:
+                place(i + 1, [*bins[:b], bins[b] + sizes[i], *bins[b + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    least = packing.least_containers(spark.createDataFrame([(x,) for x in sizes], "size bigint"), "size", 20).first().least
+    assert -(-sum(sizes) // 20) <= least <= best[0]
+
+
 def test_packing_nothing_and_what_cannot_be_combined(spark, monkeypatch):
     monkeypatch.setattr(packing, "TASK_ITEMS", 10)
     frame = spark.createDataFrame([(i, 60) for i in range(100)], "doc bigint, tokens bigint")

@@ -38,26 +38,35 @@ def inclusion(classes: dict[int, tuple[int, int]], target: float, power: float)
     return {int(i): float(p) for i, p in zip(k, np.minimum(1, high * weight), strict=True)}
 
 
-def plan(stats: list[tuple[str, int, int, int]], targets: list[tuple[str, float, int]], power: float) -> tuple[list[tuple], float]:
-    """Rows ``(source, class, whole copies, inclusion probability, size wanted beyond the whole copies)``, and the total.
+def wanted_sizes(have: dict[str, int], targets: list[tuple[str, float, int]]) -> tuple[dict[str, tuple[float, int, float]], float]:
+    """Of each usable source the size wanted, whole copies and what is wanted beyond them; and the total of all sizes.
 
-    The total is the largest at which no source needs more than its allowed repeats. ``stats`` has documents
-    and size by source and size class, ``targets`` share and repeats by source; a source without documents
-    cannot contribute and does not limit the others.
+    The total is the largest at which no source needs more than its allowed repeats. ``targets`` has share and repeats by source;
+    a source without documents cannot contribute and does not limit the others.
     """
-    by_source: dict[str, dict[int, tuple[int, int]]] = {}
-    for source, k, n, size in stats:
-        by_source.setdefault(source, {})[k] = (n, size)
-    have = {s: sum(size for _, size in c.values()) for s, c in by_source.items()}
     usable = [(s, share, repeats) for s, share, repeats in targets if have.get(s) and share > 0 and repeats > 0]
     if not usable:
-        return [], 0.0
+        return {}, 0.0
     total = min(have[s] * repeats / share for s, share, repeats in usable)
-    rows = []
+    out = {}
     for source, share, repeats in usable:
         copies = min(total * share / have[source], repeats)
         whole = int(copies + 1e-9)
-        wanted = max(0.0, (copies - whole) * have[source])
+        out[source] = (total * share, whole, max(0.0, (copies - whole) * have[source]))
+    return out, total
+
+
+def plan(stats: list[tuple[str, int, int, int]], targets: list[tuple[str, float, int]], power: float) -> tuple[list[tuple], float]:
+    """Rows ``(source, class, whole copies, inclusion probability, size wanted beyond the whole copies)``, and the total.
+
+    ``stats`` has documents and size by source and size class, ``targets`` as for :func:`wanted_sizes`.
+    """
+    by_source: dict[str, dict[int, tuple[int, int]]] = {}
+    for source, k, n, size in stats:
+        by_source.setdefault(source, {})[k] = (n, size)
+    have = {s: sum(size for _, size in c.values()) for s, c in by_source.items()}
+    rows, (sizes, total) = [], wanted_sizes(have, targets)
+    for source, (_, whole, wanted) in sizes.items():
         chance = inclusion(by_source[source], wanted, power) if wanted > 0.5 else dict.fromkeys(by_source[source], 0.0)
         rows += [(source, k, whole, chance[k], wanted if wanted > 0.5 else 0.0) for k in by_source[source]]
     return rows, total

@@ -76,14 +76,33 @@ def cut_to_capacity(items: DataFrame, key: str, size: str, capacity: int) -> Dat
     return cut.select("id", "part", F.least(F.lit(capacity).cast("bigint"), F.col("whole") - F.col("part").cast("bigint") * capacity).alias("size"))
 
 
+def least_containers(parts: DataFrame, size: str, capacity: int, steps: int = 32) -> DataFrame:
+    """``least``: so many containers at least do the given parts (of at most ``capacity``) need, by volume and by large parts.
+
+    For a threshold k up to half the capacity: parts over capacity - k leave no room for any part of k or more; parts over half
+    the capacity are alone among their like; what parts between k and half the capacity need beyond the room that the latter leave
+    takes containers of its own. The best of ``steps`` thresholds counts; k = 0 is the volume alone.
+    """
+    s, half = F.col(size), capacity // 2
+    bounds = []
+    for k in sorted({half * i // steps for i in range(steps + 1)}):
+        huge, large, middle = s > capacity - k, (s > half) & (s <= capacity - k), (s >= k) & (s <= half)
+        room = F.count_if(large) * capacity - F.coalesce(F.sum(F.when(large, s)), F.lit(0))
+        beyond = F.greatest(F.coalesce(F.sum(F.when(middle, s)), F.lit(0)) - room, F.lit(0))
+        bounds.append(F.count_if(huge) + F.count_if(large) + F.ceil(beyond / capacity))
+    return parts.agg(F.greatest(*bounds).alias("least"))
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """``(container, id, part, size, used)``: every item in a container of ``capacity``, with little left over.
 
     Items are distributed by a hash of their key. Each task packs its own by best fit in decreasing order and
     emits the bins that are at least ``FULL``. The underfull bins are the items of the next round, in which
-    ``FAN_IN`` tasks' worth of them meet in one task, and so on up the tree, until one task holds the rest or
-    the rest stops shrinking. A task never gets more than about ``TASK_ITEMS`` bins, so no step gathers
-    an unbounded set. Bins carry their members, at most ``capacity`` as each has a size of 1 or more.
+    ``FAN_IN`` tasks' worth of them meet in one task, and so on up the tree, until one task holds the rest. A task
+    never gets more than about ``TASK_ITEMS`` bins, so no step gathers an unbounded set; where that bound keeps the tree from
+    narrowing, it ends after a round that joined fewer than one bin in 30: each bin was then tried against ``TASK_ITEMS``
+    others, so what is left (bins over half full, as a rule) does not fit together. Bins carry their members, at most
+    ``capacity`` as each has a size of 1 or more.
 
     An item is split only if it alone exceeds the capacity, into parts of the capacity and a remainder. Items
     of size 0, NULL size or NULL key take no space and are in no container. ``container`` is the
@@ -104,15 +123,17 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         last = tasks == 1
         spread = F.pmod(F.xxhash64("id", "part", F.lit(len(emitted))), F.lit(tasks)).cast("int")
         placed = level.withColumn("task", spread)
-        placed = placed.repartition(tasks, "task") if tasks > 1 else placed.coalesce(1)
+        # By number, not by its hash: every task gets its own share of the items and no other.
+        placed = placed.repartitionById(tasks, "task") if tasks > 1 else placed.coalesce(1)
         bins = cut_lineage(placed.drop("task").mapInArrow(_pack(capacity, last), BINS))
         emitted.append(bins.where("done"))
         if last:
             break
         rest = bins.where("NOT done")
         left = rest.count()
-        if left > 0.97 * count:
-            emitted.append(rest)  # nothing fits together any more
+        bound = -(-left // TASK_ITEMS) > -(-tasks // FAN_IN)
+        if bound and left * 30 > count * 29:
+            emitted.append(rest)
             break
         level = rest.select(F.col("members")[0]["id"].alias("id"), F.col("members")[0]["part"].alias("part"), "used", "members")
         count, cut = left, tasks

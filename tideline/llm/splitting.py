@@ -16,7 +16,7 @@ from tideline.llm.tokens import PATTERN, VOCABULARY, TokenCounter, units
 WORD, SENTENCE, PARAGRAPH, CLAIM = 0, 1, 2, 3
 SURE = 0.9  # of a run taken apart by characters, the share of its tokens that its parts surely make
 FINE = 32  # tokens of the largest unit: how closely an overlap is met
-_NUMBERED = re.compile(r"\s*(\d{1,4}\s?[.)．、]|\[\d+\]|[【请]?\s?請?求項)")
+NUMBERED = r"\s*(\d{1,4}\s?[.)．、]|\[\d+\]|[【请]?\s?請?求項)"  # how a claim or numbered paragraph begins
 _ENDS = ".!?;。！？；"
 
 PIECES = "piece_no int, start_char int, end_char int, n_tokens int, piece string"
@@ -54,13 +54,13 @@ def _pattern():
     return regex.compile(PATTERN)
 
 
-def boundary_levels(parts: list[str]) -> np.ndarray:
+def boundary_levels(parts: list[str], numbered: re.Pattern) -> np.ndarray:
     """For the place before each unit: before a claim or numbered paragraph, a line break, after a sentence, or a word."""
     out = np.zeros(len(parts), dtype=np.int8)
     previous = ""
     for i, part in enumerate(parts):
         if "\n" in part[:3]:
-            out[i] = CLAIM if _NUMBERED.match(part) else PARAGRAPH
+            out[i] = CLAIM if numbered.match(part) else PARAGRAPH
         elif previous and previous[-1] in _ENDS:
             out[i] = SENTENCE
         previous = part
@@ -103,7 +103,7 @@ def greedy_pieces(cum: np.ndarray, least: np.ndarray, level: np.ndarray, first:
     return starts, stop[starts]
 
 
-def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: str = "text", vocabulary: str = VOCABULARY, rows: int = 64) -> DataFrame:
+def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: str = "text", vocabulary: str = VOCABULARY, rows: int = 64, numbered: str = NUMBERED) -> DataFrame:
     """Pieces of every text with more than ``limit`` tokens: ``key, piece_no, start_char, end_char, n_tokens, piece``.
 
     Each piece has at most ``limit`` tokens, counted with the tokenizer of ``vocabulary``. It ends before a
@@ -113,7 +113,7 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
     (text without spaces), which may have a few tokens less. Pieces are verbatim: ``piece`` is ``text`` from ``start_char``
     to ``end_char``, and together they cover it. A text within the limit, NULL or empty has no pieces. Texts of
     no more bytes than ``limit`` are left out before tokenizing, as a token has at least one byte. A text is a
-    row of its own task's batch; nothing is shuffled.
+    row of its own task's batch; nothing is shuffled. ``numbered`` is the pattern of what begins a claim or numbered paragraph.
     """
     if not 0 <= overlap < limit / 2:
         raise ValueError("overlap must be at least 0 and less than half of the limit")
@@ -121,7 +121,7 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
     kind = docs.schema[key].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter.of(vocabulary)
+        counter, begins = TokenCounter.of(vocabulary), re.compile(numbered)
         for whole in batches:
             for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
                 keys, levels, most, least, sizes, texts = [], [], [], [], [], []
@@ -130,7 +130,7 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
                     if total > limit:
                         keys.append(i)
                         texts.append(body)
-                        levels.append(boundary_levels(own))
+                        levels.append(boundary_levels(own, begins))
                         most.append(high)
                         least.append(low)
                         sizes.append(np.fromiter(map(len, own), np.int64, len(own)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = os.environ.get("TIDELINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")  # default of the parameter
 
 # The pattern of the vocabulary's public tokenizer, and the white space of its \s.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
