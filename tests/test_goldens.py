@@ -12,12 +12,18 @@ from tideline.operators import catalog, groups, intervals, merge, scan
 from tideline.operators.ids import dense_ids
 from tideline.operators.matchers import Eq, Not, Re
 
-SOURCES = {0: {t: 1.1 for t in (1, 3, 5, 7, 9)}, 1: {t: 2.1 for t in (2, 4, 6, 8, 10)}, 2: {3: 3.1, 4: 3.1}, 3: {8: 4.1, 9: 4.1}}
+# Four sources of samples, and what merging them gives.
+SOURCES = [
+    [(1, 1.1), (3, 1.1), (5, 1.1), (7, 1.1), (9, 1.1)],
+    [(2, 2.1), (4, 2.1), (6, 2.1), (8, 2.1), (10, 2.1)],
+    [(3, 3.1), (4, 3.1)],
+    [(8, 4.1), (9, 4.1)],
+]
 MERGED = [1.1, 2.1, 3.1, 3.1, 1.1, 2.1, 1.1, 4.1, 4.1, 2.1]
 
 
 def test_later_source_wins(spark):
-    frames = [spark.createDataFrame([(7, t, v) for t, v in points.items()], "series_id bigint, t bigint, v double") for points in SOURCES.values()]
+    frames = [spark.createDataFrame([(7, t, v) for t, v in points], "series_id bigint, t bigint, v double") for points in SOURCES]
     whole = merge.merge_sources(frames, ["series_id", "t"])
     assert rows(whole, "t", "v") == list(zip(range(1, 11), MERGED, strict=True))
     assert rows(scan.seek(whole, 8), "t", "v") == [(8, 4.1)]
@@ -39,6 +45,71 @@ def test_group_out_of_order_and_partial(spark):
     assert rows(groups.wide(now, ["group_key"], [0, 1]), "t", "s0", "s1")[:2] == [(0, 1.1, None), (1, None, 1.1)]
 
 
+# Slots and times of overlapping chunks of a group; values are the row of the slot and a digit of the chunk.
+GROUP_CHUNKS = [
+    ([1, 3, 5, 7, 9], [0, 40, 80, 100], 0.1),
+    ([1, 2, 6, 7, 9], [50, 80, 100, 150], 0.2),
+    ([3, 4, 5, 8, 9], [100, 120, 150, 200], 0.3),
+    ([3, 4, 5, 8, 9], [300, 340, 370, 400], 0.4),
+]
+
+
+def _chunk_rows(spark, chunks):
+    data = [("g", slot, t, k + 1 + digit, seq) for seq, (slots, times, digit) in chunks for k, slot in enumerate(slots) for t in times]
+    return spark.createDataFrame(data, "group_key string, slot int, t bigint, v double, seq bigint")
+
+
+def test_overlapping_groups_merge_and_later_ones_are_appended(spark):
+    chunks = list(enumerate(GROUP_CHUNKS))
+    merged = groups.current(_chunk_rows(spark, chunks[:3]), overwrite_with_null=False)
+    slots = [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    wide = groups.wide(merged, ["group_key"], slots).orderBy("t").collect()
+    assert [r.t for r in wide] == [0, 40, 50, 80, 100, 120, 150, 200]
+    assert [r.s1 for r in wide] == [1.1, 1.1, 1.2, 1.2, 1.2, None, 1.2, None]
+    assert [r.s9 for r in wide] == [5.1, 5.1, 5.2, 5.2, 5.3, 5.3, 5.3, 5.3]
+    whole = groups.concat(merged, _chunk_rows(spark, chunks[3:]))
+    by_slot = {}
+    for r in whole.orderBy("t").collect():
+        by_slot.setdefault(r.slot, []).append(r.v)
+    assert set(by_slot) == set(slots) and all(len(v) == 12 for v in by_slot.values())
+    assert by_slot[3][-5:] == [1.3 if wide[-1].s3 is not None else None, 1.4, 1.4, 1.4, 1.4]
+    assert all(by_slot[s][-4:] == [None] * 4 for s in (1, 2, 6, 7))
+
+
+def test_malformed_group_inserts_are_an_error(spark):
+    shape = "group_key string, slots array<int>, t bigint, v array<double>, seq bigint"
+    good, bad = ("g", [0, 1], 1, [5.0, 6.0], 1), ("g", [0, 1], 1, [7.0], 2)
+    df = spark.createDataFrame([good, bad, ("g", None, 2, [1.0], 3), ("g", [0], 3, None, 4)], shape)
+    assert sorted(r.seq for r in groups.malformed(df).collect()) == [2, 4]
+    with pytest.raises(Exception, match="differ in number"):
+        groups.long_form(df).collect()
+    kept = groups.long_form(df.join(groups.malformed(df), "seq", "left_anti"))
+    assert rows(groups.current(kept), "slot", "t", "v") == [(0, 1, 5.0), (0, 2, 1.0), (1, 1, 6.0)]
+
+
+def test_ties_take_one_whole_row(spark):
+    data = [(1, 5, 2.0, 3, 1), (1, 5, 1.0, 9, 1), (1, 5, None, 7, 1), (1, 6, 4.0, 1, None), (1, 6, 3.0, 1, 0)]
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, "series_id bigint, t bigint, v double, w bigint, seq bigint")
+        assert rows(merge.last_write_wins(df, ["series_id", "t"], ["seq"], ["v", "w"]), "t", "v", "w") == [(5, 2.0, 3), (6, 3.0, 1)]
+
+
+def test_selections_merged_by_labels(spark):
+    shape = "labels map<string,string>, t bigint, v double"
+    a = spark.createDataFrame([({"x": "1", "y": "2"}, 1, 1.0), ({"x": "1", "y": "2"}, 2, 1.0)], shape)
+    b = spark.createDataFrame([({"y": "2", "x": "1"}, 2, 9.0), ({"x": "3"}, 2, 5.0)], shape)
+    got = merge.merge_by_labels([a, b]).select(L.text(L.from_key(F.col("label_key"))).alias("l"), "t", "v")
+    assert rows(got) == [("{x=1,y=2}", 1, 1.0), ("{x=1,y=2}", 2, 9.0), ("{x=3}", 2, 5.0)]
+
+
+def test_label_filter_lies_below_every_exchange(spark, series):
+    samples = spark.createDataFrame([(1, 1, 1.0, 1)], "series_id bigint, t bigint, v double, seq bigint")
+    plan = scan.select(series, samples, [Eq("x", "1")])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [i for i, line in enumerate(plan) if "Filter" in line and "labels" in line]
+    aggregates = [i for i, line in enumerate(plan) if "Aggregate" in line and "labels" in line]
+    assert filters and all(any(f > a for f in filters) for a in aggregates)
+
+
 def test_newer_null_keeps_older_value_on_demand(spark):
     df = spark.createDataFrame([("g", 0, 1, 5.0, 1), ("g", 0, 1, None, 2)], "group_key string, slot int, t bigint, v double, seq bigint")
     assert rows(groups.current(df), "v") == [(None,)]
@@ -161,6 +232,18 @@ def test_group_codec_round_trip(ts, n, data):
     assert codec.decode_group(codec.encode_group(ts, columns)) == (ts, columns)
 
 
+def test_codec_costs_the_same_at_any_length():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        ts, vs = [i * 1000 + i % 7 for i in range(n)], [float(i * i % 1013) / 7 for i in range(n)]
+        began = time.perf_counter()
+        assert codec.decode(codec.encode(ts, vs)) == (ts, vs)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_random_labels():
     from tideline.functions.labels import random_labels
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tideline.operators import catalog, scan
 from tideline.operators.matchers import Eq, Re
 from tideline.plans import core
 from tideline.sources import loaders
@@ -120,3 +122,53 @@ def test_late_append_takes_all_samples_in_order_of_arrival(spark):
     assert kept.select("series_id", "t", "seq").exceptAll(last).count() == 0  # versions are merged
     spans = sorted(tuple(r) for r in kept.groupBy("batch").agg(F.min("seq"), F.max("seq")).collect())
     assert [s[0] for s in spans] == [0, 1, 2, 3] and all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_batches_belong_to_writers_and_are_there_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 1000)
+    shape = "series_id bigint, t bigint, v double, seq bigint"
+    rows_of = lambda k: spark.createDataFrame([(1, t, float(k), k) for t in range(0, 3000, 500)], shape)
+    assert store.append(rows_of(1), 3, "a") and store.append(rows_of(2), 0, "b/ä") and store.append(rows_of(3), 1, "a")
+    assert not store.append(rows_of(9), 3, "a") and not store.append(rows_of(9), 0, "b/ä")
+    assert store.commits() == [("a", 1), ("a", 3), ("b/ä", 0)] and store.samples().count() == 18
+    # A batch whose files were moved but not committed, with more files than the next attempt has.
+    name = store._commit_name(7, "a")
+    store._put(scan.with_partition(rows_of(5), 1000).withColumn("batch", F.lit(7).cast("bigint")), name)
+    (tmp_path / "samples" / "p_start=0" / f"{name}-99.parquet").write_bytes(next((tmp_path / "samples" / "p_start=0").glob(f"{name}-0.parquet")).read_bytes())
+    assert store.append(rows_of(5), 7, "a") and store.samples().where("batch = 7").count() == 6
+    assert not (tmp_path / "staging").exists() or not any((tmp_path / "staging").iterdir())
+    with pytest.raises(Exception, match="a sample needs a series and a time"):
+        store.append(spark.createDataFrame([(None, 1, 1.0, 1)], shape), 8)
+    assert not store.committed(8)
+
+
+def test_compaction_keeps_what_snapshots_need(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 1000)
+    shape = "series_id bigint, t bigint, v double, seq bigint"
+    for seq in (1, 2, 3, 4):
+        store.append(spark.createDataFrame([(1, t, float(seq), seq) for t in (0, 1500)], shape), seq)
+    assert store.compact(2, between=(1000, 1000)) == [1000]
+    assert store.samples().where("p_start = 1000").count() == 1 and store.samples().where("p_start = 0").count() == 4
+    assert store.compact(2, snapshot=2) == [0]
+    assert rows(store.samples().where("p_start = 0"), "seq") == [(2,), (3,), (4,)]
+    assert catalog.approximate_size(store.samples(), 0, 5).first().files == 2
+
+
+def test_interrupted_replacement_of_a_table_is_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 1000)
+    store.add(spark.createDataFrame([(_labels(0), 0, 1.0, 0)], LABELLED), 0)
+    (tmp_path / "series").rename(tmp_path / "series-old")
+    assert store.series().count() == 1
+    store._replace("series", store.series())
+    assert store.series().count() == 1 and sorted(p.name for p in tmp_path.glob("series*")) == ["series"]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tideline import session
+
+    none = N(isDefined=lambda: False)
+    context = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), getConf=lambda: N(get=lambda _: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(N(sparkContext=context))
