@@ -82,6 +82,12 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.group_percentiles(parts, table(spark, sf_dir, "series_tags"), "series_id", ["name", "value"], (0.5, 0.9, 0.99))
 
 
+def p6_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from partial results: the sorted values of each series and day, stored and put together."""
+    daily = percentiles.blocks(readings.readings(table(spark, sf_dir, "samples_in")).withColumn("day_no", readings.day()), ["series_id", "day_no"])
+    return percentiles.group_percentiles(written(daily), table(spark, sf_dir, "series_tags"), "series_id", ["name", "value"], (0.5, 0.9, 0.99))
+
+
 def _with_tol(spark: SparkSession, sf_dir: str, squared: bool = False, rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """The readings in blocks, with ``same_tol`` of their metric as ``tol``, or four times its square."""
     limits = readings.series_limits(table(spark, sf_dir, "series_in"), table(spark, sf_dir, "metric_ref"))
@@ -269,7 +275,7 @@ def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.withColumns({"without_overlap": overlaps.scalar(), "uncovered": ends.agg(F.count_if((F.col("a") != 0) | (F.col("b") != F.col("chars")))).scalar()})
 
 
-QUERIES = {f.__name__: f for f in (p1_day_tags, p1_weeks, p1_combinations, p1_pairs, p1_values, p6_percentiles, p7_found, p7_collapsed, p7_levels, p7_any_blocks, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p1_day_error, p1_week_error, p1_combination_error, p8_invariants, p8_by_length, p9_invariants, p9_by_length, p10_invariants)}
+QUERIES = {f.__name__: f for f in (p1_day_tags, p1_weeks, p1_combinations, p1_pairs, p1_values, p6_percentiles, p6_from_days, p7_found, p7_collapsed, p7_levels, p7_any_blocks, p8_pack, p9_mix, p9_shares, p10_found, p10_pieces, p1_within_error, p1_day_error, p1_week_error, p1_combination_error, p8_invariants, p8_by_length, p9_invariants, p9_by_length, p10_invariants)}
 
 _RUNS_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
@@ -278,6 +284,10 @@ steps AS (SELECT series_id, t, v, same_tol, lag(v) OVER w AS p FROM readings LEF
 runs AS (SELECT series_id, t, v, same_tol, sum(CASE WHEN p IS NOT NULL AND (abs(v - p) <= coalesce(same_tol, 0) OR v = p) AND NOT (isinf(v - p) OR (isnan(v - p) AND v <> p)) THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM steps),
 spans AS (SELECT series_id, min(t) AS t_start, max(t) AS t_end, count(*) AS n, max(same_tol) AS tol FROM runs GROUP BY series_id, run)"""
 
+_PERCENTILES_SQL = f"""WITH {READINGS_SQL}, tags AS (SELECT DISTINCT series_id, name, value FROM series_tags),
+r AS (SELECT name, value, v, row_number() OVER (PARTITION BY name, value ORDER BY v) AS k, count(*) OVER (PARTITION BY name, value) AS n FROM readings JOIN tags USING (series_id))
+SELECT name, value, max(n) AS n, max(CASE WHEN k = greatest(ceil(round(n * 0.5::DOUBLE, 9)), 1) THEN v END) AS p50,
+max(CASE WHEN k = greatest(ceil(round(n * 0.9::DOUBLE, 9)), 1) THEN v END) AS p90, max(CASE WHEN k = greatest(ceil(round(n * 0.99::DOUBLE, 9)), 1) THEN v END) AS p99 FROM r GROUP BY 1, 2"""
 _DAY_TAGS = """d AS (SELECT DISTINCT series_id, CAST(floor(t / 86400000.0) AS INT) AS day_no FROM samples_in WHERE series_id IS NOT NULL AND t IS NOT NULL),
 s AS (SELECT DISTINCT series_id, name, value FROM series_tags WHERE series_id IS NOT NULL)"""
 
@@ -295,10 +305,8 @@ FROM documents, size_limits WHERE limit_name LIKE 'container%' AND len(text) > 0
 SELECT source, have, round(target_share * total, 3) AS wanted, floor(least(total * target_share / have, max_repeats) + 1e-9)::INT AS whole_copies, true AS repeats_kept, true AS share_met FROM x""",
     "p9_invariants": "SELECT source, true AS repeats_kept, true AS share_met FROM source_targets",
     "p10_invariants": "SELECT 0::BIGINT AS too_large, 0::BIGINT AS without_overlap, 0::BIGINT AS uncovered",
-    "p6_percentiles": f"""WITH {READINGS_SQL}, tags AS (SELECT DISTINCT series_id, name, value FROM series_tags),
-r AS (SELECT name, value, v, row_number() OVER (PARTITION BY name, value ORDER BY v) AS k, count(*) OVER (PARTITION BY name, value) AS n FROM readings JOIN tags USING (series_id))
-SELECT name, value, max(n) AS n, max(CASE WHEN k = greatest(ceil(round(n * 0.5::DOUBLE, 9)), 1) THEN v END) AS p50,
-max(CASE WHEN k = greatest(ceil(round(n * 0.9::DOUBLE, 9)), 1) THEN v END) AS p90, max(CASE WHEN k = greatest(ceil(round(n * 0.99::DOUBLE, 9)), 1) THEN v END) AS p99 FROM r GROUP BY 1, 2""",
+    "p6_percentiles": _PERCENTILES_SQL,
+    "p6_from_days": _PERCENTILES_SQL,
     "p7_found": f"{_RUNS_SQL} SELECT series_id, t_start, t_end FROM spans WHERE n >= 3 AND tol IS NOT NULL",
     "p7_collapsed": f"{_RUNS_SQL} SELECT series_id, t_start, n, t_end - t_start AS duration_ms FROM spans",
 }
