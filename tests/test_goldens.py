@@ -257,3 +257,22 @@ def test_dense_ids(spark):
     df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7)], "k bigint")
     assert rows(dense_ids(df, ["k"], "id", 10)) == [(1, 11), (3, 12), (5, 13), (7, 14), (9, 15)]
     assert dense_ids(df.where("false"), ["k"], "id").count() == 0
+
+
+def test_encodings(spark):
+    from tideline.functions import encoding as E
+
+    numbers = [0, 1, -1, 127, 128, 16383, 16384, 2**62, -(2**62), 2**63 - 1, -(2**63), 255]
+    df = spark.createDataFrame([(x,) for x in numbers], "x bigint")
+    got = df.select("x", E.from_big_endian(E.big_endian(F.col("x"))).alias("b"), E.from_zigzag(E.zigzag(F.col("x"))).alias("z"), E.varint_size(F.col("x")).alias("n"), F.hex(E.big_endian(F.col("x"))).alias("h"), E.checksum(F.lit(b"123456789")).alias("c")).collect()
+    for r in got:
+        size = 1
+        while r.x >= 1 << (7 * size):
+            size += 1
+        assert r.b == r.z == r.x and r.n == (10 if r.x < 0 else size) and r.h == f"{r.x & (2**64 - 1):016X}" and r.c == 0xCBF43926
+
+
+def test_replay(spark):
+    log = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (3, None)], "series_id bigint, seq bigint")
+    marks = spark.createDataFrame([(1, 1), (1, 2), (3, 9)], "series_id bigint, seq bigint")
+    assert rows(merge.replay(log, marks)) == [(1, 3), (2, 1), (3, None)]

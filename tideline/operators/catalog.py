@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.labels import label_key
 from tideline.operators.ids import dense_ids
+from tideline.operators.intervals import coalesce_intervals
 
 
 def postings(series: DataFrame) -> DataFrame:
@@ -109,12 +110,35 @@ def series_in_order(series: DataFrame) -> DataFrame:
     return dense_ids(keyed, ["label_key", "series_id"], "position").select("series_id", "position")
 
 
+def recovered(log: DataFrame) -> DataFrame:
+    """``(series_id, label_key)``: the index built again from a log of ``labels, seq``: ids from 1 in order of first arrival."""
+    first = log.groupBy(label_key(F.col("labels")).alias("label_key")).agg(F.min("seq").alias("_seq"))
+    return dense_ids(first, ["_seq", "label_key"], "series_id").select("series_id", "label_key")
+
+
+def cardinalities(series: DataFrame, tombs: DataFrame, bounds: DataFrame, purged_to: int) -> DataFrame:
+    """One row: distinct tags, delete intervals after coalescing, and series that a purge up to a time would drop and keep."""
+    tags = label_pairs(series).agg(F.count(F.lit(1)).alias("tags"))
+    cut = coalesce_intervals(tombs).agg(F.count(F.lit(1)).alias("intervals"))
+    gone = bounds.agg(F.count_if(F.col("max_t") <= purged_to).alias("purged"), F.count_if(F.col("max_t") > purged_to).alias("kept"))
+    return gone.withColumns({"tags": tags.scalar(), "intervals": cut.scalar()})
+
+
 def approximate_size(samples: DataFrame, low: int, high: int) -> DataFrame:
     """``(files, bytes)`` of the stored files that hold ids from ``low`` to ``high``; files count whole."""
     files = samples.where(F.col("series_id").between(low, high)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
     return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def block_stats(samples: DataFrame, tombs: DataFrame, per_chunk: int = 8) -> DataFrame:
+    """``(p_start, samples, series, chunks, tombstones)`` per time partition: chunks hold ``per_chunk`` samples of a series, tombstones
+    are the delete intervals of the partition's series."""
+    per_series = samples.groupBy("p_start", "series_id").agg(F.count(F.lit(1)).alias("n"))
+    cut = tombs.groupBy("series_id").agg(F.count(F.lit(1)).alias("cut"))
+    chunks = F.sum(F.ceil(F.col("n") / per_chunk))
+    return per_series.join(cut, "series_id", "left").groupBy("p_start").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("series"), chunks.alias("chunks"), F.coalesce(F.sum("cut"), F.lit(0)).alias("tombstones"))
+
+
 def time_bounds(samples: DataFrame) -> DataFrame:
     """``(series_id, min_t, max_t, samples)`` per series."""
     return samples.groupBy("series_id").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.count(F.lit(1)).alias("samples"))

@@ -59,6 +59,13 @@ def visible(df: DataFrame, keys: Sequence[str], seq: str, deleted: str, at: int
     return df.withColumn("_rank", F.row_number().over(newest)).where((F.col("_rank") == 1) & ~F.col(deleted)).drop("_rank")
 
 
+def replay(log: DataFrame, flushed: DataFrame) -> DataFrame:
+    """The rows of a log (``series_id, seq``, ...) that come after the flush mark of their series (``series_id, seq``, the highest
+    of several counts); all rows of a series without a mark. Rows with a NULL ``seq`` cannot be known to be flushed and are kept."""
+    marks = flushed.groupBy("series_id").agg(F.max("seq").alias("_mark"))
+    return log.join(marks, "series_id", "left").where(F.coalesce(F.col("seq") > F.col("_mark"), F.lit(True))).drop("_mark")
+
+
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, adjacent: int = 0) -> DataFrame:
     """``df`` with ``island``: intervals of one key that overlap, or lie at most ``adjacent`` apart, share a number.
 

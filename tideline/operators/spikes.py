@@ -10,6 +10,7 @@ blocks alone are passed over again. Both passes handle many series in one vector
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ STUCK = 10  # readings of a frozen stretch, by its definition
 MARGIN = 16  # readings around a block that it needs: SIDE + LONGEST and STUCK - 1 fit into it
 BLOCK = 400_000  # readings whose levels are worked out together
 USUAL = 0.95  # quantile of the deviations that counts as usual; the LONGEST greatest never do
-BURSTY = 6.0  # usual deviation over usual step from which a series has bursts of its own
-KNOWN = 28  # readings from which a series is judged by its own scales alone
 POINTS = 256  # order statistics that stand for a distribution where it is put together from parts
 LIMITS = ("min_value", "max_value", "same_tol")
 AXES = ("s0", "s1", "s2")
@@ -37,6 +36,18 @@ FLAGS = "series_id long, t long, v double, out_of_bounds boolean, spike boolean,
 FLAG, SCALES, PART = 0, 1, 2  # kinds of rows of the first pass
 
 
+@dataclass(frozen=True)
+class Factors:
+    """What counts as far beyond the usual; see :func:`implausible`."""
+
+    spike: float = 7.0  # usual steps
+    usual: float = 3.0  # usual deviations
+    burst: float = 5.0  # usual deviations, in a series with bursts of its own
+    bursty: float = 6.0  # usual deviation over usual step from which a series has such bursts
+    lively: float = 0.7  # share of readings that differ from the one before, frozen runs left out
+    known: int = 28  # readings from which a series is judged by its own scales alone
+
+
 def _shifted(v: np.ndarray, seg: np.ndarray, k: int) -> np.ndarray:
     """``v`` of the reading ``k`` places before (``k`` < 0: after) in the same segment, else NaN."""
     out = np.full(len(v), np.nan)
@@ -144,12 +155,12 @@ class _Measured:
         same = np.bincount(f.seg[f.own & self.same & (self.run < STUCK)], minlength=k)
         return same.astype(float), np.bincount(f.seg[f.own & ~self.same & ~f.first], minlength=k).astype(float)
 
-    def flags(self, scales: list[np.ndarray], factors: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
+    def flags(self, scales: list[np.ndarray], factors: Factors) -> tuple[np.ndarray, ...]:
         """Masks of readings: out of bounds, spike, stuck; and their deviations. ``scales`` are per block: n, s0, s1, s2, w0, same, moved."""
         f = self.blocks
         n, s0, s1, s2, w0, same, moved = (x[f.seg] for x in scales)
         spike, off = _spikes(self, n, (s0, s1, s2), w0, factors)
-        stuck = (self.run >= STUCK) & (moved >= n / 2) & (moved >= factors[3] * (moved + same)) & ~np.isnan(self.tol)
+        stuck = (self.run >= STUCK) & (moved >= n / 2) & (moved >= factors.lively * (moved + same)) & ~np.isnan(self.tol)
         return self.bad & f.own, spike & f.own, stuck & f.own, off
 
 
@@ -162,13 +173,12 @@ def _outside(u: np.ndarray, off: np.ndarray, seg: np.ndarray, axes: list[np.ndar
     return (radius > 1) & (off != 0)
 
 
-def _spikes(m: _Measured, n: np.ndarray, scales: tuple[np.ndarray, ...], w0: np.ndarray, factors: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+def _spikes(m: _Measured, n: np.ndarray, scales: tuple[np.ndarray, ...], w0: np.ndarray, factors: Factors) -> tuple[np.ndarray, np.ndarray]:
     """Phase-space thresholding with replacement until nothing new is flagged, then the exact check of every flagged run.
 
     Each round looks only at the blocks in which the round before flagged something, as nothing else can change.
     """
     seg, v = m.blocks.seg, m.blocks.v
-    spike_factor, usual_factor, burst_factor, _ = factors
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         reach = np.sqrt(2 * np.log(np.maximum(n, 3)))  # universal threshold, in units of each axis
         axes = [1.483 * reach * s for s in scales]
@@ -190,7 +200,7 @@ def _spikes(m: _Measured, n: np.ndarray, scales: tuple[np.ndarray, ...], w0: np.
             flagged = flagged | new
         # Exact check: far beyond what is usual for the series, for at most LONGEST readings, and back again.
         usual = np.nan_to_num(w0)
-        scale = np.fmax(spike_factor * scales[1], np.where(usual > BURSTY * scales[1], burst_factor, usual_factor) * usual)
+        scale = np.fmax(factors.spike * scales[1], np.where(usual > factors.bursty * scales[1], factors.burst, factors.usual) * usual)
         far = flagged & (np.abs(final_off) > scale)
         far |= np.isinf(v) & ~m.bad
     odd = far | m.bad
@@ -240,7 +250,7 @@ def _rows(count: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
 
-def _first_pass(factors: tuple[float, float, float, float]):
+def _first_pass(factors: Factors):
     """Flags of series of one block, their scales if they are long enough, and a row per task of each longer series."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +269,7 @@ def _first_pass(factors: tuple[float, float, float, float]):
             keep = (bad | spike | stuck) & alone[f.seg]
             sid = f.column("series_id")
             yield _rows(int(keep.sum()), kind=np.full(int(keep.sum()), FLAG), series_id=sid[f.seg[keep]], t=f.t[keep], v=f.v[keep], out_of_bounds=bad[keep], spike=spike[keep], stuck=stuck[keep], off=np.abs(off[keep]), n=f.n[f.seg[keep]])
-            own = alone & (f.n >= KNOWN)
+            own = alone & (f.n >= factors.known)
             yield _rows(int(own.sum()), kind=np.full(int(own.sum()), SCALES), series_id=sid[own], n=f.n[own], s1=s1[own], w0=w0[own])
             for i in np.flatnonzero(~alone):
                 if part is None or part.sid != sid[i]:
@@ -273,7 +283,7 @@ def _first_pass(factors: tuple[float, float, float, float]):
     return judge
 
 
-def _second_pass(factors: tuple[float, float, float, float]):
+def _second_pass(factors: Factors):
     """Flags of blocks by the scales of their whole series."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,23 +318,22 @@ def series_scales(parts: DataFrame) -> DataFrame:
     return pooled.select("series_id", "series_n", *axes, w0, "same", "moved")
 
 
-def implausible(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, spike_factor: float = 7.0, usual_factor: float = 3.0, burst_factor: float = 5.0, lively: float = 0.7, rows: int = BLOCK_ROWS) -> DataFrame:
+def implausible(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, factors: Factors = Factors(), rows: int = BLOCK_ROWS) -> DataFrame:  # noqa: B008
     """``(series_id, t, v, out_of_bounds, spike, stuck)`` of every reading that is implausible for its series.
 
     ``samples`` are raw inserts, ``series`` registrations and ``metric_ref`` the limits of the metrics; NULL limits do not
     bind and without ``same_tol`` nothing is stuck. A *spike* is a run of one to three readings outside
     the robust ellipsoid over value, first and second difference (flagged readings are replaced by the level and
     the rest looked at again, until nothing new is flagged), off the level on both sides by more
-    than ``spike_factor`` times the usual step and ``usual_factor`` times the deviation that one reading in
-    twenty has anyway (``burst_factor`` times in a series with bursts of its own, so those stay). A series of fewer than
-    ``KNOWN`` readings says little of its own scales: its spikes must also be that far off by the median scales
+    than ``factors.spike`` times the usual step and ``factors.usual`` times the deviation that one reading in
+    twenty has anyway (``factors.burst`` times in a series with bursts of its own, so those stay). A series of fewer than
+    ``factors.known`` readings says little of its own scales: its spikes must also be that far off by the median scales
     of the longer series of its metric, and without such series it has none. *Stuck* is a
     run of ten readings or more that all repeat, in a series of which at least half of all readings, and the
-    share ``lively`` of those outside such runs, differ from the one before. Infinite values within the limits
+    share ``factors.lively`` of those outside such runs, differ from the one before. Infinite values within the limits
     count as spikes. Rows with a NULL series or time, or whose last version is NULL or NaN, are left out. An empty input
     gives an empty result. ``rows`` bounds the readings of a block.
     """
-    factors = (spike_factor, usual_factor, burst_factor, lively)
     limits = series_limits(series, metric_ref)
     blocked = blocks(samples, limits, LIMITS, rows, MARGIN)
     first = cut_lineage(blocked.mapInArrow(_first_pass(factors), FIRST_PASS))  # flags, scales and parts: few rows, read four times
@@ -335,8 +344,8 @@ def implausible(samples: DataFrame, series: DataFrame, metric_ref: DataFrame, sp
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000).alias(f"metric_{c}")
     scaled = first.where(f"kind = {SCALES}").join(metric, "series_id", "left").withColumn("metric_name", F.coalesce("metric_name", F.lit("")))
     usual = scaled.groupBy("metric_name").agg(middle("s1"), middle("w0"))
-    short = f"spike AND n < {KNOWN} AND abs(v) < double('infinity')"
-    far = F.col("off") > F.greatest(F.col("metric_s1") * spike_factor, F.col("metric_w0") * F.when(F.col("metric_w0") > BURSTY * F.col("metric_s1"), burst_factor).otherwise(usual_factor))
+    short = f"spike AND n < {factors.known} AND abs(v) < double('infinity')"
+    far = F.col("off") > F.greatest(F.col("metric_s1") * factors.spike, F.col("metric_w0") * F.when(F.col("metric_w0") > factors.bursty * F.col("metric_s1"), factors.burst).otherwise(factors.usual))
     candidates = flags.where(short).join(metric, "series_id", "left").withColumn("metric_name", F.coalesce("metric_name", F.lit("")))
     judged = candidates.join(usual, "metric_name", "left").withColumn("spike", F.coalesce(far, F.lit(False))).where("spike OR out_of_bounds OR stuck")
     # Series of several blocks: their scales go to the blocks by part, so that a hot series stays spread.

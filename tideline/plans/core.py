@@ -16,6 +16,7 @@ from tideline.functions import labels as L
 from tideline.operators import aggregate, catalog, groups, intervals, merge, scan
 from tideline.operators.ids import dense_ids
 from tideline.operators.matchers import Eq, Not, Re
+from tideline.plans.rounding import digits, digits_sql
 from tideline.session import checkpoint_dir
 from tideline.sources.store import Store
 from tideline.sources.tables import table
@@ -323,11 +324,6 @@ def _bench_sql(metrics, hosts, days, by):
     return f"WITH {_SERIES}, {_LIVE} SELECT {keys}t // {DAY} * {DAY} AS bucket, max(v) AS max_v, count(*) AS n FROM live JOIN series USING (series_id) WHERE {' AND '.join(where)} GROUP BY {', '.join(str(i + 1) for i in range(len(by) + 1))}"
 
 
-# Seven significant digits: an average depends on the order of its sum by less.
-_SHORT = "CASE WHEN abs(avg_v) < double('infinity') AND avg_v <> 0 THEN round(avg_v / pow(10D, floor(log10(abs(avg_v)))) + 1e-9, 6) * pow(10D, floor(log10(abs(avg_v)))) ELSE avg_v END"
-_SHORT_SQL = "CASE WHEN isfinite(avg_v) AND avg_v <> 0 THEN round(avg_v / pow(10, floor(log10(abs(avg_v)))) + 1e-9, 6) * pow(10, floor(log10(abs(avg_v)))) WHEN NOT isnan(avg_v) THEN avg_v END"
-
-
 def _add_bench(name, metrics, hosts, days, by):
     def query(spark, sf_dir):
         return _bench(spark, sf_dir, metrics, hosts, days, by)
@@ -343,11 +339,11 @@ _add_bench("tsbs_5_1_all", METRICS, HOSTS[:1], 46, ["__name__", "hostname"])
 
 
 @register(f"""WITH {_SERIES}, {_LIVE}, a AS (SELECT labels['hostname'] AS hostname, t // {DAY} * {DAY} AS bucket, avg(v) AS avg_v, count(*) AS n FROM live JOIN series USING (series_id)
-WHERE labels['__name__'] = 'cpu_busy_pct' AND v IS NOT NULL GROUP BY 1, 2) SELECT hostname, bucket, {_SHORT_SQL} AS avg_v, n FROM a""")
+WHERE labels['__name__'] = 'cpu_busy_pct' AND v IS NOT NULL GROUP BY 1, 2) SELECT hostname, bucket, {digits_sql("avg_v", 11)} AS avg_v, n FROM a""")
 def tsbs_double_groupby_1(spark, sf_dir):
-    """Averages of all readings, infinite ones included, to seven significant digits."""
+    """Averages of all readings, infinite ones included, to 11 significant digits."""
     rows = scan.select(registrations(spark, sf_dir), samples(spark, sf_dir), [Eq("__name__", "cpu_busy_pct")])
-    return finite(aggregate.bucketed(rows, DAY, ["hostname"], "avg").withColumn("avg_v", F.expr(_SHORT)), "avg_v")
+    return finite(aggregate.bucketed(rows, DAY, ["hostname"], "avg").withColumn("avg_v", digits("avg_v", 11)), "avg_v")
 
 
 def _high(spark, sf_dir, hosts):

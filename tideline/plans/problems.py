@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import grid, keyagg, rolling, spikes
+from tideline.plans.rounding import digits, digits_sql
 from tideline.sources.tables import table
 
 
@@ -44,10 +45,9 @@ def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums and averages of both periods. Infinite ones stay infinite, ``nan_p`` tells opposite infinities from no readings."""
-    rounded = lambda c, off=0.0: F.when(~F.isnan(c), F.round(F.col(c) + off, 5) + 0.0).alias(c)
+    rounded = lambda c: F.when(~F.isnan(c), digits(c, 11) + 0.0).alias(c)
     rolled = _trailing(spark, sf_dir)
-    # Averages often end in a half of the last place kept; the offset rounds these one way in both engines.
-    columns = [x for p in (7, 30) for x in (f"n_{p}", rounded(f"sum_{p}"), rounded(f"avg_{p}", 1e-8), F.isnan(f"sum_{p}").alias(f"nan_{p}"))]
+    columns = [x for p in (7, 30) for x in (f"n_{p}", rounded(f"sum_{p}"), rounded(f"avg_{p}"), F.isnan(f"sum_{p}").alias(f"nan_{p}"))]
     return rolled.select("series_id", "day_no", *columns)
 
 
@@ -72,8 +72,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    finite = F.abs("pair_sum") < float("inf")
-    return _tag_totals(spark, sf_dir).select("name", "value", "left_rows", "pair_rows", "pair_values", F.when(finite, F.round(F.col("pair_sum") + 0.00003, 0)).alias("pair_sum"), "pair_min", "pair_max")
+    kept = F.when(~F.isnan("pair_sum"), digits("pair_sum", 11)).alias("pair_sum")
+    return _tag_totals(spark, sf_dir).select("name", "value", "left_rows", "pair_rows", "pair_values", kept, "pair_min", "pair_max")
 
 
 QUERIES = {"p2_found": p2_found, "p2_faults": p2_faults, "p2_bounds": p2_bounds, "p2_stuck": p2_stuck, "p3_found": p3_found, "p3_rolling": p3_rolling, "p3_averages": p3_averages, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_totals": p5_totals}
@@ -89,8 +89,8 @@ daily AS (SELECT series_id, CAST(floor(t / 86400000.0) AS INT) AS day_no, count(
 span AS (SELECT series_id, min(day_no) AS a, max(day_no) AS b FROM daily GROUP BY 1),
 calendar AS (SELECT series_id, CAST(unnest(range(a, b + 1)) AS INT) AS day_no FROM span)"""
 
-_ROUNDED_SQL = lambda x, c: f"CASE WHEN isfinite({x}) THEN round({x}, 5) + 0.0 WHEN NOT isnan({x}) THEN {x} END AS {c}"
-_TRAILING_SQL = lambda p: f"n_{p}, {_ROUNDED_SQL(f'sum_{p}', f'sum_{p}')}, {_ROUNDED_SQL(f'(CASE WHEN n_{p} > 0 THEN sum_{p} / n_{p} + 1e-8 END)', f'avg_{p}')}, isnan(sum_{p}) AS nan_{p}"
+_ROUNDED_SQL = lambda x, c: f"({digits_sql(x, 11)}) + 0.0 AS {c}"
+_TRAILING_SQL = lambda p: f"n_{p}, {_ROUNDED_SQL(f'sum_{p}', f'sum_{p}')}, {_ROUNDED_SQL(f'(CASE WHEN n_{p} > 0 THEN sum_{p} / n_{p} END)', f'avg_{p}')}, isnan(sum_{p}) AS nan_{p}"
 
 _LIMITED_SQL = f"""WITH {READINGS_SQL},
 metric AS (SELECT series_id, min(labels['__name__']) AS metric_name FROM series_in GROUP BY 1),
@@ -106,10 +106,10 @@ cells AS (SELECT s.id, s.slot, s.mint + s.slot * s.step_ms AS slot_t, 5 * s.step
   FROM slots s LEFT JOIN occ o ON o.id = s.id AND o.slot = s.slot
   WINDOW w AS (PARTITION BY s.id ORDER BY s.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), x AS (PARTITION BY s.id ORDER BY s.slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
-_TAGS_SQL = """WITH t AS (SELECT series_id, name, value, count(*) AS m FROM series_tags GROUP BY ALL),
+_TAGS_SQL = f"""WITH t AS (SELECT series_id, name, value, count(*) AS m FROM series_tags GROUP BY ALL),
 s AS (SELECT series_id, count(*) AS r_n, count(CASE WHEN NOT isnan(v) THEN 1 END) AS r_v, sum(CASE WHEN NOT isnan(v) THEN v END) AS r_sum, min(CASE WHEN NOT isnan(v) THEN v END) AS r_min, max(CASE WHEN NOT isnan(v) THEN v END) AS r_max FROM samples_in GROUP BY 1)
 SELECT name, value, sum(m)::BIGINT AS left_rows, coalesce(sum(m * r_n), 0)::BIGINT AS pair_rows, coalesce(sum(m * r_v), 0)::BIGINT AS pair_values,
-CASE WHEN isfinite(sum(m * r_sum)) THEN round(sum(m * r_sum) + 0.00003, 0) END AS pair_sum, min(r_min) AS pair_min, max(r_max) AS pair_max
+{digits_sql("sum(m * r_sum)", 11)} AS pair_sum, min(r_min) AS pair_min, max(r_max) AS pair_max
 FROM t LEFT JOIN s USING (series_id) GROUP BY 1, 2"""
 
 SQL = {

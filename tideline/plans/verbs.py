@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import codec, timeutil, wire
+from tideline.functions import codec, encoding, timeutil, wire
 from tideline.functions import labels as L
 from tideline.operators import catalog, groups, intervals, merge, scan
 from tideline.operators.matchers import Eq, Re
-from tideline.plans.core import _FROM, _GROUP, _LIVE, _LONG, _SERIES, _TEXT, _V, DAY, T0, _fresh, _group_rows, _late_store, finite, registrations, samples, series
+from tideline.plans.core import _FROM, _GROUP, _LIVE, _LONG, _SERIES, _TEXT, _V, DAY, T0, _fresh, _group_rows, _late_store, _tombs, finite, registrations, samples, series
 from tideline.sources import loaders
 from tideline.sources.store import Store
 from tideline.sources.tables import table
@@ -212,6 +212,50 @@ def store_snapshot(spark, sf_dir):
     return finite(_late_store(spark, sf_dir, snapshot=20_000).query([Eq("region", "reg-south")], at=20_000).select("series_id", "t", "v"))
 
 
+_PATCHED = lambda sets: " UNION ALL ".join(f"SELECT id, t, {v} AS v, {k} AS s FROM query_samples WHERE t >= 0 AND {w}" for k, (w, v) in enumerate(sets))
+_PATCHES = [("true", "v"), ("id % 2 = 0", "t + 1.0"), ("id % 3 = 0", "t + 2.0"), ("id % 2 = 0 AND id % 3 = 0", "t + 3.0")]
+
+
+def _patched(spark, sf_dir, store: Store) -> Store:
+    """Samples, and three batches that write some of them again."""
+    rows = _results(spark, sf_dir).where("t >= 0")
+    for k, (where, v) in enumerate(_PATCHES):
+        store.append(rows.where(where.replace("id", "series_id")).select("series_id", "t", F.expr(v).cast("double").alias("v"), F.lit(k).cast("bigint").alias("seq")), k)
+        if k == 0 and not store.compact_at:
+            store.compact(1)
+    return store
+
+
+@register(f"WITH w AS ({_PATCHED(_PATCHES)}) {_BEST('w', 's DESC, v DESC NULLS LAST')}")
+def store_base_and_patches(spark, sf_dir):
+    """A merged base with patches beside it, merged as it is read."""
+    return finite(_patched(spark, sf_dir, _store_of(spark, sf_dir, DAY)).query(EVERYTHING).select("series_id", "t", "v"))
+
+
+@register(f"SELECT series_id, t, s::BIGINT AS seq, count(*) AS n FROM (SELECT id AS series_id, t, s FROM ({_PATCHED(_PATCHES)}) WHERE s > 0) GROUP BY ALL")
+def store_head(spark, sf_dir):
+    """What no compaction has taken in yet."""
+    return _patched(spark, sf_dir, _store_of(spark, sf_dir, DAY)).head().groupBy("series_id", "t", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"SELECT t // {DAY} * {DAY} AS p_start, count(DISTINCT s) FILTER (s > 0) >= 3 AS merged FROM ({_PATCHED(_PATCHES)}) GROUP BY 1")
+def store_patch_merge(spark, sf_dir):
+    """Partitions whose patches have come to three are merged, the others are left."""
+    store = _patched(spark, sf_dir, _store_of(spark, sf_dir, DAY))
+    before, due = store.patches(), set(store.compact(3))
+    return spark.createDataFrame([(p, p in due and not store.patches()[p]) for p in before], "p_start bigint, merged boolean")
+
+
+@register(f"WITH w AS ({_PATCHED(_PATCHES)}) SELECT *, true AS merged_in_time FROM ({_BEST('w', 's DESC, v DESC NULLS LAST')})")
+def store_auto_compact(spark, sf_dir):
+    """A store that merges a partition with the append that brings its second patch."""
+    store = _store_of(spark, sf_dir, 30 * DAY)
+    store.compact_at = 2
+    _patched(spark, sf_dir, store)
+    in_time = all(len(batches) < 2 for batches in store.patches().values())
+    return finite(store.query(EVERYTHING).select("series_id", "t", "v")).withColumn("merged_in_time", F.lit(in_time))
+
+
 # Groups
 
 
@@ -301,6 +345,50 @@ def chunk_overlap_samples(spark, sf_dir):
     return finite(merge.merged_chunks(chunks, own).select("series_id", "t", "v"))
 
 
+@register("WITH m AS (SELECT series_id, max(seq) AS mark FROM samples_in WHERE seq % 2 = 0 AND series_id % 5 > 0 AND seq < 400000 GROUP BY 1) SELECT series_id, t, seq, count(*) AS n FROM samples_in LEFT JOIN m USING (series_id) WHERE mark IS NULL OR seq > mark GROUP BY ALL")
+def log_replay(spark, sf_dir):
+    """The rows of a log after the flush marks of their series."""
+    log = samples(spark, sf_dir).select("series_id", "t", "seq")
+    flushed = log.where("seq % 2 = 0 AND series_id % 5 > 0 AND seq < 400000")
+    return merge.replay(log, flushed).groupBy("series_id", "t", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"WITH f AS (SELECT list_sort(map_entries(group_labels)) AS k, {_TEXT('group_labels')} AS labels, min(seq) AS first FROM group_in GROUP BY ALL) SELECT labels, row_number() OVER (ORDER BY first, k) AS series_id FROM f")
+def index_recovery(spark, sf_dir):
+    """Ids of label sets, given again from the log in which they arrived."""
+    log = table(spark, sf_dir, "group_in").select(F.col("group_labels").alias("labels"), "seq")
+    return catalog.recovered(log).select(L.text(L.from_key(F.col("label_key"))).alias("labels"), "series_id")
+
+
+@register(f"""SELECT (SELECT count(*) FROM (SELECT DISTINCT e.key, e.value FROM (SELECT unnest(map_entries(labels)) AS e FROM series_in))) AS tags, (SELECT count(*) FROM query_in) AS intervals,
+count(*) FILTER (m <= {_PURGE}) AS purged, count(*) FILTER (m > {_PURGE}) AS kept FROM (SELECT max(t) AS m FROM samples_in GROUP BY series_id)""")
+def catalog_cardinalities(spark, sf_dir):
+    return catalog.cardinalities(registrations(spark, sf_dir), _tombs(spark, sf_dir), catalog.time_bounds(samples(spark, sf_dir)), _PURGE)
+
+
+@register(f"""WITH n AS (SELECT t // {DAY} * {DAY} AS p_start, id, count(*) AS n FROM query_samples GROUP BY 1, 2)
+SELECT p_start, sum(n)::BIGINT AS samples, count(*) AS series, sum(ceil(n / 8.0::DOUBLE))::BIGINT AS chunks, (2 * count(*) FILTER (id IN (SELECT id FROM query_in)))::BIGINT AS tombstones FROM n GROUP BY 1""")
+def block_stats_full(spark, sf_dir):
+    own = scan.with_partition(table(spark, sf_dir, "query_samples").withColumnRenamed("id", "series_id"), DAY)
+    return catalog.block_stats(own, _tombs(spark, sf_dir))
+
+
+@register("""SELECT series_id, t, CASE WHEN NOT isnan(v) THEN v END AS v FROM (SELECT *, row_number() OVER (PARTITION BY series_id, t ORDER BY seq DESC) AS rn FROM (SELECT DISTINCT series_id, t, v, seq FROM samples_in)) WHERE rn = 1 AND seq % 10 <> 3""")
+def kv_delete(spark, sf_dir):
+    """Batches of writes in which every tenth deletes its key: later versions hide earlier ones, deletions hide all."""
+    rows = samples(spark, sf_dir).select("series_id", "t", "v", "seq").distinct().withColumn("gone", F.col("seq") % 10 == 3)
+    return finite(merge.visible(rows, ["series_id", "t"], "seq", "gone").select("series_id", "t", "v"))
+
+
+@register(f"""SELECT DISTINCT series_id, t, lpad(printf('%X', series_id), 16, '0') || lpad(printf('%X', t), 16, '0') AS key, CASE WHEN t >= {T0 + DAY} THEN 2 * (t - {T0 + DAY}) ELSE -2 * (t - {T0 + DAY}) - 1 END AS zigzag, true AS decoded FROM samples_in WHERE series_id >= 0 AND t >= 0""")
+def key_encoding(spark, sf_dir):
+    """Keys of samples as bytes, differences of times in zigzag, and both decoded again."""
+    own = samples(spark, sf_dir).select("series_id", "t").where("series_id >= 0 AND t >= 0").distinct()
+    coded = own.withColumn("bytes", encoding.sample_key(F.col("series_id"), F.col("t"))).withColumn("zigzag", encoding.zigzag(F.col("t") - (T0 + DAY)))
+    same = (encoding.from_big_endian(F.col("bytes")) == F.col("series_id")) & (encoding.from_big_endian(F.col("bytes"), 8) == F.col("t")) & (encoding.from_zigzag(F.col("zigzag")) == F.col("t") - (T0 + DAY))
+    return coded.select("series_id", "t", F.hex("bytes").alias("key"), "zigzag", same.alias("decoded"))
+
+
 # Labels, times, intervals
 
 

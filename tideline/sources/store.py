@@ -37,10 +37,13 @@ TWO_HOURS = 7_200_000
 
 
 class Store:
-    """The store under ``root``, with time partitions of ``width`` milliseconds."""
+    """The store under ``root``, with time partitions of ``width`` milliseconds.
 
-    def __init__(self, spark: SparkSession, root: str, width: int = TWO_HOURS) -> None:
-        self.spark, self.root, self.width = spark, root.rstrip("/"), width
+    With ``compact_at`` an append also merges the partitions it touched that have so many patches by then.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, width: int = TWO_HOURS, compact_at: int | None = None) -> None:
+        self.spark, self.root, self.width, self.compact_at = spark, root.rstrip("/"), width, compact_at
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -150,8 +153,10 @@ class Store:
             return False
         rows = scan.with_partition(samples.select("series_id", "t", "v", "seq"), self.width).withColumn("batch", F.lit(batch).cast("bigint"))
         checked = rows.withColumn("p_start", F.when(F.col("series_id").isNotNull() & F.col("t").isNotNull(), F.col("p_start")).otherwise(F.raise_error(F.lit("a sample needs a series and a time"))))
-        self._put(checked, self._commit_name(batch, writer))
+        touched = self._put(checked, self._commit_name(batch, writer))
         self._files().create(self._hadoop(f"commits/{self._commit_name(batch, writer)}"), True).close()
+        if self.compact_at:
+            self.compact(self.compact_at, only={int(p.split("=")[1]) for p in touched})
         return True
 
     def add(self, labelled: DataFrame, batch: int, writer: str = "main") -> DataFrame:
@@ -207,16 +212,25 @@ class Store:
         rows = scan.select(self.series(), self.samples(), matchers, mint, maxt, self.width, at)
         return intervals.delete(rows, self.tombs()) if self._exists("tombs") else rows
 
-    def compact(self, min_files: int = 3, snapshot: int | None = None, between: tuple[int, int] | None = None) -> list[int]:
-        """Merge the versions of partitions that hold at least ``min_files`` files; their numbers are returned.
+    def patches(self) -> dict[int, set[str]]:
+        """The batches of each partition that lie beside its merged base files, if it has any."""
+        parts = [p for p in self._listed("samples") if p.startswith("p_start=")]
+        return {int(p.split("=")[1]): {n.rpartition("-")[0] for n in self._listed(f"samples/{p}") if n.startswith("w-")} for p in parts}
+
+    def head(self) -> DataFrame:
+        """The versions that no compaction has taken in yet, as stored."""
+        return self.samples().where(F.startswith(F.col("_metadata.file_name"), F.lit("w-")))
+
+    def compact(self, min_patches: int = 3, snapshot: int | None = None, between: tuple[int, int] | None = None, only: set[int] | None = None) -> list[int]:
+        """Merge the base and patches of partitions that have patches of at least ``min_patches`` batches; their numbers are returned.
 
         ``snapshot`` is the oldest sequence number that reads still ask for: versions after it are kept, and the
-        newest up to it. ``between`` limits the work to partitions that begin in that inclusive range. The merged files are written
+        newest up to it. ``between`` limits the work to partitions that begin in that inclusive range, ``only`` to those named. The merged files are written
         beside the old ones, moved in, and only then do the old ones go. The list of partitions and files is metadata.
         """
-        parts = [p for p in self._listed("samples") if p.startswith("p_start=")]
-        starts = {int(p.split("=")[1]): [n for n in self._listed(f"samples/{p}") if n.endswith(".parquet")] for p in parts}
-        due = {s: names for s, names in starts.items() if len(names) >= min_files and (between is None or between[0] <= s <= between[1])}
+        wanted = lambda s: (between is None or between[0] <= s <= between[1]) and (only is None or s in only)
+        starts = [s for s, batches in self.patches().items() if len(batches) >= min_patches and wanted(s)]
+        due = {s: [n for n in self._listed(f"samples/p_start={s}") if n.endswith(".parquet")] for s in starts}
         if due:
             old = self.samples().where(F.col("p_start").isin(list(due)))
             kept = F.when(F.col("seq") > snapshot, F.col("seq")) if snapshot is not None else F.lit(None).cast("bigint")
