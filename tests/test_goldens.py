@@ -276,3 +276,19 @@ def test_replay(spark):
     log = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (3, None)], "series_id bigint, seq bigint")
     marks = spark.createDataFrame([(1, 1), (1, 2), (3, 9)], "series_id bigint, seq bigint")
     assert rows(merge.replay(log, marks)) == [(1, 3), (2, 1), (3, None)]
+
+
+def test_adapted_width(spark):
+    sizes = [100, 200, 250, 260, 1000, 100_000, 60, 124, 126, 0, None]
+    want = []
+    for size in sizes:
+        width = 7_200_000
+        if size and size > 250:
+            while width > 7_200_000 * 250 / size and width > 450_000:
+                width //= 2
+        elif size:
+            while width * 2 < 7_200_000 * 250 / size:
+                width *= 2
+        want.append(width)
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, size bigint").select("i", timeutil.adapted_width(F.lit(7_200_000), F.col("size"), 250).alias("w"))
+    assert [r.w for r in df.orderBy("i").collect()] == want

@@ -152,6 +152,8 @@ def test_compaction_keeps_what_snapshots_need(spark, tmp_path):
     assert store.compact(2, snapshot=2) == [0]
     assert rows(store.samples().where("p_start = 0"), "seq") == [(2,), (3,), (4,)]
     assert catalog.approximate_size(store.samples(), 0, 5).first().files == 2
+    store.append(spark.createDataFrame([(1, 5, 9.0, 9)], shape), 9)
+    assert rows(store.head(), "seq") == [(9,)] and store.suggested_width(10**9) > store.width >= store.suggested_width(1)
 
 
 def test_interrupted_replacement_of_a_table_is_read(spark, tmp_path):

@@ -22,6 +22,20 @@ def block_ranges(least: int, steps: int, factor: int) -> list[int]:
     return [least * factor**i for i in range(steps)]
 
 
+def adapted_width(width: Column, size: Column, budget: int, least: int = 450_000) -> Column:
+    """The width of partitions that would hold ``budget`` where partitions of ``width`` hold ``size``, by halves or doubles.
+
+    Halved until it is at most ``width * budget / size``, or at most ``least``; doubled as long as it stays below that. A ``size`` of 0 or
+    NULL leaves it as it is.
+    """
+    width = width.cast("double")
+    wanted = F.try_divide(width * budget, size)
+    halves = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.floor(width / F.pow(F.lit(2.0), k)) <= F.greatest(wanted, F.lit(least)))
+    doubles = F.filter(F.sequence(F.lit(1), F.lit(40)), lambda k: width * F.pow(F.lit(2.0), k) < wanted)
+    changed = F.when(size > budget, F.floor(width / F.pow(F.lit(2.0), F.get(halves, F.lit(0))))).otherwise(width * F.pow(F.lit(2.0), F.size(doubles)))
+    return F.when(wanted.isNotNull(), changed).otherwise(width).cast("bigint")
+
+
 def clamp(a: Column, b: Column, mint: Column | int, maxt: Column | int) -> tuple[Column, Column]:
     """The interval ``[a, b]`` limited to ``[mint, maxt]``."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (mint, maxt))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.readings import day
 from tideline.session import cut_lineage
 
 BLOCK = 4096  # grid slots of one result that are put in order, or generated, together
-SALTS = 8  # tasks over which the samples of a result within a day may be spread
+SALTS = 16  # keys over which the samples of a result are spread
 
 
 def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
@@ -20,16 +19,17 @@ def slot_readings(grids: DataFrame, samples: DataFrame) -> DataFrame:
     result with many samples is no heavy group afterwards.
     """
     grid = grids.select("id", "mint", "maxt", "step_ms")
-    # A result with most of the samples meets its grid in many tasks: by day and salt, of which the grid has a row each.
+    # A result with most of the samples meets its grid in several tasks, by salt, of which the grid has a row each; as the
+    # slots are grouped by a key of their own, the adaptive plan may split these further.
     rows = samples.select("id", "t", "v").where("v IS NOT NULL AND NOT isnan(v) AND t IS NOT NULL")
-    rows = rows.withColumn("day", day()).withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
-    spread = grid.withColumn("day", F.explode(F.sequence(day("mint"), day("maxt")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    inside = rows.join(spread, ["id", "day", "salt"]).where("t BETWEEN mint AND maxt").selectExpr("id", "(t - mint) div step_ms AS slot", "t", "v")
-    return inside.groupBy("id", "slot").agg(
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
+    spread = grid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = rows.join(spread, ["id", "salt"]).where("t BETWEEN mint AND maxt").selectExpr("named_struct('id', id, 'slot', (t - mint) div step_ms) AS at", "t", "v")
+    return inside.groupBy("at").agg(
         F.min(F.struct("t", (-F.col("v")).alias("w"))).alias("head"),
         F.max(F.struct("t", "v")).alias("tail"),
         F.count(F.lit(1)).alias("n"),
-    ).select("id", "slot", F.col("head.t").alias("first_t"), (-F.col("head.w")).alias("first_v"), F.col("tail.t").alias("last_t"), F.col("tail.v").alias("last_v"), "n")
+    ).select("at.id", "at.slot", F.col("head.t").alias("first_t"), (-F.col("head.w")).alias("first_v"), F.col("tail.t").alias("last_t"), F.col("tail.v").alias("last_v"), "n")
 
 
 def _slots(df: DataFrame, low: Column, high: Column) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import labels as L
+from tideline.functions import timeutil
 from tideline.operators import groups, intervals, scan
 from tideline.operators.ids import dense_ids
 from tideline.operators.matchers import Matcher
@@ -253,6 +254,12 @@ class Store:
             if name.startswith("p_start=") and int(name.split("=")[1]) + self.width <= ts:
                 self._files().delete(self._hadoop(f"samples/{name}"), True)
 
+    def suggested_width(self, budget: int) -> int:
+        """The width at which the partitions that are not merged yet would come to ``budget`` bytes; for a store to be opened anew."""
+        sizes = self.properties().join(self.head().select("p_start").distinct(), "p_start", "left_semi")
+        row = sizes.agg(F.sum("bytes").alias("bytes")).select(timeutil.adapted_width(F.lit(self.width), F.col("bytes"), budget).alias("width")).first()
+        return row.width
+
     def properties(self) -> DataFrame:
         """``(p_start, files, batches, samples, bytes)`` of each partition."""
         rows = self.samples().select("p_start", "batch", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
