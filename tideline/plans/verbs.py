@@ -452,7 +452,7 @@ def time_series_of_widths(spark, sf_dir):
     return spark.createDataFrame(list(zip(range(8), timeutil.block_ranges(TWO_HOURS, 8, 3), delays, strict=True)), "step bigint, width bigint, delay bigint")
 
 
-@register("""WITH s AS (SELECT id, count(*) * 16 AS size FROM query_samples GROUP BY 1), w AS (SELECT id, size, 7200000 * 4096 / size::DOUBLE AS wanted FROM s)
+@register("""WITH s AS (SELECT id, count(*) * 16 AS size FROM query_samples GROUP BY 1), w AS (SELECT id, size, 7200000::DOUBLE * 4096 / size AS wanted FROM s)
 SELECT id, size, CASE WHEN size > 4096 THEN floor(7200000 / pow(2, list_min(list_filter(range(0, 63), lambda k: floor(7200000 / pow(2, k)) <= greatest(wanted, 450000))))) ELSE 7200000 * pow(2, len(list_filter(range(1, 41), lambda k: 7200000 * pow(2, k) < wanted))) END::BIGINT AS width FROM w""")
 def adapted_width(spark, sf_dir):
     """For each result the width of partitions that would hold 4,096 bytes of its samples."""
