@@ -347,13 +347,28 @@ def test_pieces(spark, limit, overlap):
         assert [p.piece_no for p in pieces] == list(range(len(pieces)))
         assert pieces[0].start_char == 0 and pieces[-1].end_char == len(text)
         for p in pieces:
-            assert p.piece == text[p.start_char : p.end_char] and 0 < size(p.piece) <= p.n_tokens <= limit
+            assert p.piece == text[p.start_char : p.end_char] and 0 < size(p.piece) == p.n_tokens <= limit
         for a, b in itertools.pairwise(pieces):
             assert a.start_char < b.start_char <= a.end_char < b.end_char
             again = size(text[b.start_char : a.end_char])
             assert overlap <= again <= overlap + 40
 
 
+@pytest.mark.parametrize("limit", [40, 64, 300])
+def test_pieces_of_runs_keep_to_the_limit(spark, limit):
+    """Letters whose tokens do not add up: pieces of them are counted as they are."""
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("acgtn") for _ in range(3000)) for _ in range(30)] + [" ".join("".join(rnd.choice("acgnt") for _ in range(rnd.randrange(1, 400))) for _ in range(20)) for _ in range(10)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = splitting.split_oversized(frame, "doc_id", limit, 8).collect()
+    assert {r.doc_id for r in got} == {i for i, t in enumerate(texts) if size(t) > limit}
+    for r in got:
+        assert r.n_tokens == size(r.piece) <= limit and texts[r.doc_id][r.start_char : r.end_char] == r.piece
+    for i, text in enumerate(texts):
+        own = sorted((r.piece_no, r.start_char, r.end_char) for r in got if r.doc_id == i)
+        assert own[0][1] == 0 and own[-1][2] == len(text) and all(b[1] < a[2] for a, b in itertools.pairwise(own))
+
+
 def test_cuts_come_at_claims_and_lines(spark):
     text = "\n".join(f"{k}. Claim number {k} of the device, wherein the plate seals. It also turns." for k in range(1, 60))
     frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")

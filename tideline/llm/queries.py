@@ -260,14 +260,14 @@ def p9_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces whose text, tokenized again, is over the limit or over what is stated; pieces that repeat less of the one before
+    """Pieces whose text, tokenized again, is over the limit or not what is stated; pieces that repeat less of the one before
     than wanted (a tenth of that is conceded, as pieces may be cut inside a run of letters); texts not covered to their ends."""
     limit, overlap = _limit(spark, sf_dir, "piece")
     pieces = cut_lineage(_pieces(spark, sf_dir))
     texts = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
     ends = pieces.groupBy("doc_id").agg(F.min("start_char").alias("a"), F.max("end_char").alias("b")).join(texts, "doc_id")
     again = tokens.with_tokens(pieces.select("n_tokens", "piece"), ["n_tokens"], "piece")
-    sizes = again.agg(F.count_if((F.col("tokens") > limit) | (F.col("tokens") > F.col("n_tokens"))).alias("too_large"))
+    sizes = again.agg(F.count_if((F.col("tokens") > limit) | (F.col("tokens") != F.col("n_tokens"))).alias("too_large"))
     by_text = Window.partitionBy("doc_id").orderBy("piece_no")
     next_start = F.lead("start_char").over(by_text)
     repeated = pieces.withColumn("next", next_start).where("next IS NOT NULL").select(F.expr("substring(piece, next - start_char + 1, end_char - next)").alias("shared"))

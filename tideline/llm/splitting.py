@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +23,44 @@ _ENDS = ".!?;。！？；"
 PIECES = "piece_no int, start_char int, end_char int, n_tokens int, piece string"
 
 
-def legal_units(text: str, counter: TokenCounter, fine: int) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-    """Units of at most ``fine`` tokens, the most and the least tokens they make in a piece, and those of the text.
+class Units(NamedTuple):
+    """A text in units before which it may be cut."""
 
-    A cut before any unit is legal. Larger units are taken apart where the tokenizer's pattern cuts them,
-    which leaves the counts exact, and a single run of letters or marks that is still too large by characters, at
-    most four bytes each. Its parts make at most the tokens they have apart, and at least about their share of the run.
+    parts: list[str]
+    most: np.ndarray  # tokens that a unit makes in a piece, from above
+    least: np.ndarray  # and from below
+    exact: np.ndarray  # tokens, right for sums over whole runs
+    inside: np.ndarray  # whether the place before the unit lies inside a run
+    total: int  # tokens of the text
+
+
+def legal_units(text: str, counter: TokenCounter, fine: int) -> Units:
+    """Units of at most ``fine`` tokens.
+
+    Larger units are taken apart where the tokenizer's pattern cuts them, which leaves the counts exact, and a single run
+    of letters or marks that is still too large by characters, at most four bytes each. Its parts make hardly ever more than the
+    tokens they have apart, and at least about their share of the run; what a piece that begins or ends inside a run really has
+    must be counted once it is known.
     """
     parts = units(text)
     counts = counter.counts(parts)
     total = int(counts.sum())
     if not len(counts) or counts.max() <= fine:
-        return parts, counts, counts.astype(float), total
-    cut, most, least = [], [], []
+        return Units(parts, counts, counts.astype(float), counts, np.zeros(len(parts), dtype=bool), total)
+    cut, most, least, exact, inside = [], [], [], [], []
     step = max(1, fine // 4)
     for part, n in zip(parts, counts.tolist(), strict=True):
         for run in (part,) if n <= fine else _pattern().findall(part):
             whole = counter[run]
             own = [run] if whole <= fine else [run[i : i + step] for i in range(0, len(run), step)]
             apart = [counter[x] for x in own]
+            least += [x * SURE * whole / sum(apart) for x in apart] if len(own) > 1 else apart
+            apart[-1] += max(0, whole - sum(apart))
             cut += own
             most += apart
-            least += [x * SURE * whole / sum(apart) for x in apart] if len(own) > 1 else apart
-    return cut, np.array(most), np.array(least, dtype=float), total
+            exact += [0] * (len(own) - 1) + [whole]
+            inside += [False] + [True] * (len(own) - 1)
+    return Units(cut, np.array(most), np.array(least, dtype=float), np.array(exact), np.array(inside, dtype=bool), total)
 
 
 @cache
@@ -109,8 +125,8 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
     Each piece has at most ``limit`` tokens, counted with the tokenizer of ``vocabulary``. It ends before a
     claim or numbered paragraph if that leaves it at least half full, else at a line break, else after a
     sentence, else before a word. Each next piece begins so that it repeats the last ``overlap`` tokens of the
-    one before, or the little more up to a word. ``n_tokens`` is exact but for pieces cut inside a run of letters
-    (text without spaces), which may have a few tokens less. Pieces are verbatim: ``piece`` is ``text`` from ``start_char``
+    one before, or the little more up to a word. ``n_tokens`` is exact: pieces that begin or end inside a run of letters
+    (text without spaces) are counted again, and should one be over the limit, its text is cut anew with a limit lower by that much. Pieces are verbatim: ``piece`` is ``text`` from ``start_char``
     to ``end_char``, and together they cover it. A text within the limit, NULL or empty has no pieces. Texts of
     no more bytes than ``limit`` are left out before tokenizing, as a token has at least one byte. A text is a
     row of its own task's batch; nothing is shuffled. ``numbered`` is the pattern of what begins a claim or numbered paragraph.
@@ -124,33 +140,35 @@ def split_oversized(docs: DataFrame, key: str, limit: int, overlap: int, text: s
         counter, begins = TokenCounter.of(vocabulary), re.compile(numbered)
         for whole in batches:
             for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
-                keys, levels, most, least, sizes, texts = [], [], [], [], [], []
-                for i, body in enumerate(batch.column("_text").to_pylist()):
-                    own, high, low, total = legal_units(body, counter, fine)
-                    if total > limit:
-                        keys.append(i)
-                        texts.append(body)
-                        levels.append(boundary_levels(own, begins))
-                        most.append(high)
-                        least.append(low)
-                        sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
-                if keys:
-                    yield _emit(batch.column(key), keys, texts, levels, most, least, sizes)
-
-    def _emit(ids, keys, texts, levels, most, least, sizes) -> pa.RecordBatch:
-        lengths = np.array([len(c) + 1 for c in most])
+                found = [(i, body, legal_units(body, counter, fine)) for i, body in enumerate(batch.column("_text").to_pylist())]
+                yield from _emit(batch.column(key), [x for x in found if x[2].total > limit], counter, begins, limit)
+
+    def _emit(ids, found, counter, begins, most_tokens) -> Iterator[pa.RecordBatch]:
+        if not found:
+            return
+        lengths = np.array([len(u.parts) + 1 for _, _, u in found])
         end = np.cumsum(lengths) - 1
         first = end - lengths + 1
         # The place after the last unit closes a text; a gap of limit + 1 keeps the next text out of reach.
-        cum, low = (np.concatenate(([0], np.cumsum(np.concatenate([np.append(c, limit + 1) for c in counts]))[:-1])) for counts in (most, least))
-        level = np.concatenate([np.append(x, np.int8(CLAIM)) for x in levels])
-        chars = np.concatenate([np.append(np.concatenate(([0], np.cumsum(s)[:-1])), s.sum()) for s in sizes])
-        a, b = greedy_pieces(cum, low, level, first, end, limit, overlap)
+        cum, low, exact = (np.concatenate(([0], np.cumsum(np.concatenate([np.append(c, limit + 1) for c in counts]))[:-1])) for counts in zip(*[(u.most, u.least, u.exact) for _, _, u in found], strict=True))
+        level = np.concatenate([np.append(boundary_levels(u.parts, begins), np.int8(CLAIM)) for _, _, u in found])
+        inside = np.concatenate([np.append(u.inside, False) for _, _, u in found])
+        chars = np.concatenate([np.concatenate(([0], np.cumsum(np.fromiter(map(len, u.parts), np.int64, len(u.parts))))) for _, _, u in found])
+        a, b = greedy_pieces(cum, low, level, first, end, most_tokens, overlap)
         owner = np.searchsorted(end, a)
         number = np.arange(len(a)) - np.searchsorted(owner, owner)
-        pieces = [texts[o][s:e] for o, s, e in zip(owner, chars[a], chars[b], strict=True)]
-        columns = [ids.take(pa.array(np.array(keys)[owner])), pa.array(number, pa.int32()), pa.array(chars[a], pa.int32()), pa.array(chars[b], pa.int32()), pa.array(cum[b] - cum[a], pa.int32()), pa.array(pieces, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, [key, "piece_no", "start_char", "end_char", "n_tokens", "piece"])
+        pieces = [found[o][1][s:e] for o, s, e in zip(owner, chars[a], chars[b], strict=True)]
+        tokens = exact[b] - exact[a]
+        for i in np.flatnonzero(inside[a] | inside[b]):
+            tokens[i] = counter.count(pieces[i])
+        over = np.zeros(len(found), dtype=np.int64)
+        np.maximum.at(over, owner, tokens - limit)
+        good = np.flatnonzero(over[owner] <= 0)
+        rows = np.array([i for i, _, _ in found])[owner[good]]
+        columns = [ids.take(pa.array(rows)), *(pa.array(c[good], pa.int32()) for c in (number, chars[a], chars[b], tokens)), pa.array([pieces[i] for i in good], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [key, "piece_no", "start_char", "end_char", "n_tokens", "piece"])
+        for o in np.flatnonzero(over > 0):
+            yield from _emit(ids, [found[o]], counter, begins, max(most_tokens - int(over[o]), 2 * overlap + 1))
 
     long = docs.select(key, F.col(text).alias("_text")).where(F.octet_length("_text") > limit)
     return long.mapInArrow(split, f"`{key}` {kind}, {PIECES}")
