@@ -1,5 +1,7 @@
 """Small inputs with results worked out by hand."""
 
+import struct
+
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -292,3 +294,34 @@ def test_adapted_width(spark):
         want.append(width)
     df = spark.createDataFrame(list(enumerate(sizes)), "i int, size bigint").select("i", timeutil.adapted_width(F.lit(7_200_000), F.col("size"), 250).alias("w"))
     assert [r.w for r in df.orderBy("i").collect()] == want
+
+
+def test_binary_bodies():
+    from tideline.functions import proto
+
+    # Bodies written out by the rules of the wire format.
+    tag = bytes([0x0A, 1]) + b"a" + bytes([0x12, 1]) + b"b"
+    assert proto.encode("Tag", {"name": "a", "value": "b"}) == tag
+    sample = bytes([0x08, 1, 0x10]) + b"\xff" * 9 + bytes([1]) + bytes([0x1A, 2, 0, 3]) + bytes([0x22, 8, 0x0A, 6]) + tag + bytes([0x30, 0x96, 1]) + bytes([0x3A, 8]) + struct.pack("<d", 1.5)
+    fields = {"type": 1, "id": 2**64 - 1, "slots": [0, 3], "lset": {"tags": [{"name": "a", "value": "b"}]}, "t": 150, "v": [1.5]}
+    assert proto.encode("InsertSample", fields) == sample
+    assert proto.decode("InsertSample", sample) == fields | {"lsets": []}
+    unpacked = bytes([0x18, 0, 0x18, 3, 0x39]) + struct.pack("<d", 1.5) + bytes([0x98, 0x06, 7]) + bytes([0x30]) + b"\xff" * 9 + bytes([1])
+    got = proto.decode("InsertSample", unpacked)
+    assert got["slots"] == [0, 3] and got["v"] == [1.5] and got["t"] == -1 and got["lset"] is None
+    for broken in (b"\x0a\x05a", b"\x0b", b"\x32\x00"):
+        with pytest.raises((ValueError, IndexError)):
+            proto.decode("InsertSample", broken)
+    assert proto.decode("QueryRequest", proto.encode("QueryRequest", {"return_metric": 1, "mint": -5, "maxt": 2**62})) == {"return_metric": 1, "lset": None, "mint": -5, "maxt": 2**62}
+
+
+VALUES = st.fixed_dictionaries({"id": st.integers(0, 2**64 - 1), "slots": st.lists(st.integers(0, 2**32 - 1), max_size=4), "t": st.integers(-(2**63), 2**63 - 1), "v": st.lists(st.floats(allow_nan=False), max_size=4)})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(VALUES, max_size=4))
+def test_binary_bodies_round_trip(samples):
+    from tideline.functions import proto
+
+    back = proto.decode("InsertSamples", proto.encode("InsertSamples", {"samples": samples}))["samples"]
+    assert [{k: s[k] for k in ("id", "slots", "t", "v")} for s in back] == samples

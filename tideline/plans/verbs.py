@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import codec, encoding, timeutil, wire
+from tideline.functions import codec, encoding, proto, timeutil, wire
 from tideline.functions import labels as L
 from tideline.operators import catalog, groups, intervals, merge, scan
 from tideline.operators.matchers import Eq, Re
@@ -104,6 +104,25 @@ def wire_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.rejected(wire.parse_inserts(lines, keep=["seq"])).select("seq", "reason")
 
 
+@register("SELECT seq, t, slots[1]::INT AS first_slot, len(v)::INT AS n, CASE WHEN NOT isnan(v[1]) THEN v[1] END AS first_v, len(lsets)::INT AS members, lsets[1]['__name__'] AS first_name FROM group_in WHERE list_count(v) = len(v)")
+def proto_insert_round_trip(spark, sf_dir):
+    """Group inserts as binary bodies, and parsed again."""
+    own = table(spark, sf_dir, "group_in").where(~F.exists("v", lambda x: x.isNull()))
+    one = F.array(F.struct(F.lit(1).alias("type"), F.lit(None).cast("bigint").alias("id"), "slots", F.col("group_labels").alias("lset"), "lsets", "t", "v"))
+    back = own.select("seq", F.explode(proto.decoded_inserts(proto.encoded_inserts(one))).alias("r"))
+    first = F.get("r.lsets", F.lit(0))
+    return finite(back.select("seq", "r.t", F.get("r.slots", F.lit(0)).alias("first_slot"), F.size("r.v").alias("n"), F.get("r.v", F.lit(0)).alias("first_v"), F.size("r.lsets").alias("members"), F.try_element_at(first, F.lit("__name__")).alias("first_name")), "first_v")
+
+
+@register("SELECT id, metric['region'] AS region, t, CASE WHEN NOT isnan(v) THEN v END AS v FROM query_samples JOIN query_in USING (id) WHERE v IS NOT NULL")
+def proto_result_round_trip(spark, sf_dir):
+    """Results as binary bodies, a page a day, and read again."""
+    rows = table(spark, sf_dir, "query_samples").where("v IS NOT NULL").join(table(spark, sf_dir, "query_in").select("id", "metric"), "id")
+    pages = rows.groupBy("id", F.expr(f"t div {DAY}").alias("page")).agg(F.any_value("metric").alias("metric"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("values"))
+    back = pages.select(proto.decoded_result(proto.encoded_result(F.struct("id", "metric", "values"))).alias("r"))
+    return finite(back.select("r.id", F.try_element_at("r.metric", F.lit("region")).alias("region"), F.explode("r.values").alias("p")).select("id", "region", "p.t", "p.v"))
+
+
 # Store verbs
 
 
