@@ -65,12 +65,22 @@ def p1_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per day and pair of values of two tag names, for every two of ``PAIRED``."""
-    sets = _tags(spark, sf_dir).withColumn("tags", F.filter("tags", lambda x: x["name"].isin(PAIRED)))
-    active = _active(spark, sf_dir).join(sets, "series_id").select("series_id", "days", "tags", F.explode("tags").alias("a"))
-    pairs = _by_day(active.select("series_id", "days", "a", F.explode(F.expr("filter(tags, x -> x.name > a.name)")).alias("b")), "a", "b")
-    named = pairs.select("series_id", "day_no", F.col("a.name").alias("name_a"), F.col("a.value").alias("value_a"), F.col("b.name").alias("name_b"), F.col("b.value").alias("value_b"))
-    return _stated(distinct.distinct_counts(named, ["day_no", "name_a", "value_a", "name_b", "value_b"], "series_id", P))
+    """Per day and pair of values of two tag names, for every two of ``PAIRED``.
+
+    On the way tags are 64-bit hashes of name and value, as a row per series, day and pair is shuffled; names and values
+    come back with the counts.
+    """
+    code = lambda name, value: F.xxhash64(name, value)
+    paired = F.filter("tags", lambda x: x["name"].isin(PAIRED))
+    sets = _tags(spark, sf_dir).select("series_id", F.transform(paired, lambda x: F.struct(x["name"].alias("name"), code(x["name"], x["value"]).alias("h"))).alias("tags"))
+    first = _active(spark, sf_dir).join(sets, "series_id").select("series_id", "days", "tags", F.explode("tags").alias("x"))
+    pairs = first.select("series_id", "days", F.col("x.h").alias("a"), F.explode(F.expr("transform(filter(tags, y -> y.name > x.name), y -> y.h)")).alias("b"))
+    counts = distinct.distinct_counts(_by_day(pairs, "a", "b"), ["day_no", "a", "b"], "series_id", P)
+    names = table(spark, sf_dir, "series_tags").where(F.col("name").isin(PAIRED)).select("name", "value").distinct().withColumn("h", code(F.col("name"), F.col("value")))
+    for side in ("a", "b"):
+        own = names.select(F.col("name").alias(f"name_{side}"), F.col("value").alias(f"value_{side}"), F.col("h").alias(side))
+        counts = counts.join(own, side).drop(side)
+    return _stated(counts)
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
